@@ -91,3 +91,11 @@ class HashCache(dict):
 
     def array(self, words: list, dtype=np.uint64) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype, len(words))
+
+
+_PLAIN = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """Runs of ASCII letters and digits and of characters beyond ASCII, of the lower-cased text."""
+    return text.lower().encode("utf-8", "replace").translate(_PLAIN).split() if text else []
