@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Tokens are runs of letters and digits of the lower-cased text. Features, hashed to 32 bits and binary per text: each
-word, each word's stems (its first 4 and 5 bytes, one-word grams over stems, so that inflected forms are known), each pair of neighbours
+word, each word's stems (its first 4 to 8 bytes, one-word grams over stems, so that inflected forms are known), each pair of neighbours
 (bigram) and each pair with one word between (skip-gram). FTRL-proximal keeps a rate per coordinate, and its L1 term
 leaves most weights at zero; what is left is a sorted list of feature ids and weights of a few thousand entries, which is
 what is broadcast. A text's features are first looked up in a bitmap of the weights' low bits, so that almost all are
@@ -35,7 +35,7 @@ TRAIN_DOCS, EPOCHS = 4000, 4
 ALPHA, BETA, L1, L2 = 0.15, 1.0, 1.5, 1.0
 LEAST_DOCS = 2
 THRESHOLD = 0.3
-STEMS = (4, 5)
+STEMS = (4, 5, 6, 7, 8)
 BITMAP = 1 << 22
 
 
