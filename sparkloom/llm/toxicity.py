@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import crc_mod, mix64, plain_words, slices
 
-TRAIN_DOCS, EPOCHS = 4000, 4
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 1.5, 1.0
-LEAST_DOCS = 2
+TRAIN_DOCS, EPOCHS = 4000, 10
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 6.0, 1.0
+LEAST_DOCS = 3
 THRESHOLD = 0.3
 STEMS = (4, 5, 6, 7, 8)
 BITMAP = 1 << 22
