@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +37,8 @@ END = 2
 MAX_LENGTH = 16
 STRIDE = 128
 BLOCK_TOKENS = 1 << 16
-CACHE = 400_000
+CACHE = 500_000
+STOPS = ".,;:!?"
 NULL_ID = -(1 << 63)
 TOKENIZER = "word_bpe_49k.json"
 
@@ -144,7 +146,12 @@ def unpack(bits: bytes, starts: np.ndarray, counts: np.ndarray, lengths: bytes,
 
 
 class Encoder:
-    """A text's ids as little-endian unsigned 32-bit integers, the end id last."""
+    """A text's ids as little-endian unsigned 32-bit integers, the end id last.
+
+    Words' ids are remembered in two generations of ``most`` words each: when the young one is full it becomes the old
+    one, so words in use stay. A-Z are lower-cased first, as the vocabulary does (except where a special token could
+    arise by it), and a last stop is split off: a letter or digit and a stop are never in one pre-token.
+    """
 
     def __init__(self, path: str, end: int = END, most: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -152,17 +159,41 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.uint32(end).tobytes()
-        self.most, self.known = most, {}
+        self.most, self.young, self.old = most, {}, {}
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, missing: set[str]) -> None:
+        young, old = self.young, self.old
+        stems, rest = {}, []
+        for w in missing:
+            if (ids := old.get(w)) is not None:
+                young[w] = ids
+            elif w and w[-1] in STOPS and w[:-1].isalnum():
+                stems[w] = w[:-1]
+            else:
+                rest.append(w)
+        more = {s for s in stems.values() if s not in young} - set(rest)
+        for s in more:
+            if (ids := old.get(s)) is not None:
+                young[s] = ids
+            else:
+                rest.append(s)
+        young.update(zip(rest, self._encoded(rest), strict=True))
+        if stems:
+            stops = dict(zip(STOPS, self._encoded(list(STOPS)), strict=True))
+            for w, s in stems.items():
+                young[w] = young[s] + stops[w[-1]]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.split(" ") if t else [] for t in texts]
-        if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
-        missing = list({w for words in split for w in words}.difference(known))
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
+        split = [(t if "<|" in t else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")).split(" ") if t else [] for t in texts]
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        missing = set().union(*split).difference(self.young)
+        if missing:
+            self._learn(missing)
+        get = self.young.__getitem__
         return [b"".join(map(get, words)) + self.end for words in split]
 
 
