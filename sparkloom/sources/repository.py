@@ -14,8 +14,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.engine import Engine
+from sparkloom.operators.expr import Expr
 from sparkloom.operators.positions import placed
 from sparkloom.plans.compile import quoted
+from sparkloom.plans.select import SelectQuery
 from sparkloom.refusal import NoRows, Refusal, SeveralRows
 from sparkloom.sources.mapping import Naming
 from sparkloom.sources.store import Store, Transaction, rows_of, transact
@@ -202,10 +205,7 @@ class Repository:
     def find_by(self, where, limit: int = 0) -> list[dict]:
         """Aggregates whose root meets a criterion over ``source()``, or a Column."""
         df = self.store.table(self.name)
-        if hasattr(where, "reasons"):
-            from sparkloom.engine import Engine
-            from sparkloom.plans.select import SelectQuery
-
+        if isinstance(where, Expr):
             s = self.source()
             df = Engine(self.store.spark, self.store).compile(SelectQuery(select=s.all(), source=s, where=where, order_by=[s.of(k).asc() for k in self.key], limit=limit))
         else:
