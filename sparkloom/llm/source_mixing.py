@@ -206,5 +206,5 @@ def repeat_mixed(docs: DataFrame, sources: Column | None = None, seed: str = SEE
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("doc_id"), sources.alias("sources"), F.col("text").alias("text"))
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), F.lit(BUCKETS)).cast("int")
     m = packed.select("row", pattern_of(F.col("sources")).alias("pattern"), F.floor(F.log2(F.size(words_of(F.col("text"))) + F.lit(1))).cast("int").alias("stratum"), bucket.alias("bucket"))
-    taken = _taken(m, plan).filter("copies > 0")
+    taken = _taken(m.filter("stratum > 0"), plan).filter("copies > 0")  # a text without words is in stratum 0
     return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")

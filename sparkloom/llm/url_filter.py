@@ -61,7 +61,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     confirmed = F.col("full") == F.col("digest")
     if many:
         e = e.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)))
-        r = ready.withColumn("rsalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+        r = ready.withColumn("rsalt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
         met = e.join(r, (e["short"] == r["prefix"]) & (e["salt"] == r["rsalt"]) & confirmed, "left")
     else:
         met = e.join(F.broadcast(ready), (e["short"] == ready["prefix"]) & confirmed, "left")
