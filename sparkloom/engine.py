@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from string import Formatter
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 
+from sparkloom.operators.expr import Expr
 from sparkloom.operators.operations import Builder, Operation, Registry
-from sparkloom.plans.compile import Compiler
-from sparkloom.plans.select import SelectQuery
+from sparkloom.plans.compile import Compiler, Scope
+from sparkloom.plans.select import SelectQuery, Source
+from sparkloom.plans.statement import Statement
 from sparkloom.refusal import NoRows, Refusal, SeveralRows
 from sparkloom.sources.parquet import ParquetFolder
 from sparkloom.streaming import pulled
@@ -40,13 +43,24 @@ class Engine:
         """The one row; two are asked for, to tell one from several."""
         return only(self.compile(query))
 
-    def query(self, sql: str, *args: object) -> DataFrame:
-        """Hand-written SQL with bound ``?`` values, over this engine's tables."""
-        return self.spark.sql(sql, args=list(args)) if args else self.spark.sql(sql)
+    def query(self, sql: str | Statement, *args: object) -> DataFrame:
+        """Hand-written SQL with bound ``?`` values; ``{name}`` is a table of this engine."""
+        if isinstance(sql, Statement):
+            if sql.why:
+                raise Refusal(*sql.why)
+            sql, args = sql.text, sql.values
+        named = {name: self.table(name) for _, name, _, _ in Formatter().parse(sql) if name}
+        return self.spark.sql(sql, args=list(args) or None, **named)
 
-    def query_row(self, sql: str, *args: object) -> Row:
+    def query_row(self, sql: str | Statement, *args: object) -> Row:
         return only(self.query(sql, *args))
 
+    def column(self, source: Source, e: Expr) -> Column:
+        """A compiled criterion or computation over a source, for use beside hand-written DataFrame code on ``table(...).alias(label)``."""
+        if why := [*source.reasons(), *e.reasons()]:
+            raise Refusal(*why)
+        return Compiler(self.table, self.registry).column(e, Scope({source.label: self.table(source.name)}), {})
+
     def explain(self, query: SelectQuery) -> str:
         return self.compile(query)._jdf.queryExecution().toString()
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from enum import Enum
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.kinds import Kind
@@ -18,6 +19,7 @@ from sparkloom.operators.expr import Apply, Expr, Refused, Unsaid
 from sparkloom.operators.expr import apply as apply_
 from sparkloom.operators.operations import declare
 from sparkloom.plans.select import Source
+from sparkloom.refusal import Refusal
 
 _PARTS = r"[^\p{L}\p{Nd}]+"
 _WORDS = re.compile(r"[^\W_]+")
@@ -88,3 +90,32 @@ def matches(source: Source, searches: Sequence[Search], name: str, text: str) ->
     if not text:
         return Unsaid()
     return apply_(PREFIX_MATCH if found.match is Match.PREFIX else FRAGMENT_MATCH, columns[0], text, kind=Kind.TRUTH)
+
+
+def searchable(df: DataFrame, searches: Sequence[Search]) -> DataFrame:
+    """The rows with a stored column for each search: lower-case text for prefixes and fragments, words for words.
+
+    Written so, a prefix search on ``<name>_search`` reaches the Parquet scan, which skips files by their statistics.
+    """
+    for s in searches:
+        if why := s.reasons():
+            raise Refusal(*why)
+        columns = [F.col(f"`{c}`") for c in s.columns]
+        value = F.array_distinct(F.split(F.lower(F.concat_ws(" ", *columns)), _PARTS)) if s.match is Match.WORDS else F.lower(columns[0])
+        df = df.withColumn(f"{s.name}_search", value)
+    return df
+
+
+def unsearchable(df: DataFrame, searches: Sequence[Search]) -> DataFrame:
+    return df.drop(*[f"{s.name}_search" for s in searches])
+
+
+def matches_stored(s: Search, text: str) -> Column:
+    """The criterion of a search over the column that ``searchable`` stored."""
+    stored = F.col(f"`{s.name}_search`")
+    if s.match is Match.WORDS:
+        out = F.lit(True)
+        for w in words_of(text):
+            out = out & F.array_contains(stored, w)
+        return out
+    return stored.startswith(text.lower()) if s.match is Match.PREFIX else stored.contains(text.lower())

@@ -28,6 +28,10 @@ class Change:
     def rows(self, df: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def describe(self) -> str:
+        parts = ", ".join(f"{k} {getattr(v, 'simpleString', lambda v=v: v)()}" for k, v in vars(self).items() if v is not None and not callable(v))
+        return f"{type(self).__name__.lower()} of {parts}"
+
     def inverse(self, before: T.StructType) -> Change:
         """What undoes this on rows whose schema was ``before``."""
         raise NotImplementedError
@@ -230,6 +234,10 @@ class History:
             out += steps[::-1]
         return out
 
+    def statements(self, here: str, there: str) -> list[str]:
+        """What a migration between two versions does, a line for each change."""
+        return [c.describe() for c in self.between(here, there)]
+
     def validate(self, described: T.StructType) -> str | None:
         """The first difference between the latest version and a description, if any."""
         if self.faults:

@@ -10,12 +10,14 @@ from __future__ import annotations
 import datetime as dt
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.engine import Engine
 from sparkloom.operators.expr import Expr
+from sparkloom.operators.listing import Listing, Page, PageQuery
 from sparkloom.operators.positions import placed
 from sparkloom.plans.compile import quoted
 from sparkloom.plans.select import SelectQuery
@@ -221,6 +223,19 @@ class Repository:
             raise SeveralRows(f"several {self.name} are like that")
         return found[0]
 
+    def listing(self) -> Listing:
+        """A listing of roots; ``page`` reads the aggregates of one of its pages."""
+        return Listing(self.source(), self.key)
+
+    def page(self, engine: Engine, lst: Listing, q: PageQuery | None = None) -> Page:
+        """Whole aggregates of a page: beside the page itself, one plan per child table."""
+        page = lst.page(engine, q)
+        if not page.items:
+            return page
+        roots = self.store.spark.createDataFrame([tuple(r) for r in page.items], self.store.table(self.name).schema)
+        found = {tuple(v[f.name] for f in self.root.identity()): v for v in self.assemble(self._read(roots))}
+        return replace(page, items=[found[tuple(r[k] for k in self.key)] for r in page.items])
+
     # writing
 
     def changes(self, before: Rows, after: Rows) -> dict[str, tuple[list[dict], list[tuple]]]:

@@ -6,15 +6,19 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom import functions as fn
 from sparkloom.engine import Engine
 from sparkloom.operators import criteria as cr
 from sparkloom.operators.listing import PageQuery
 from sparkloom.operators.order_keys import LONGEST, even_keys, key_between
 from sparkloom.operators.positions import GAP, placed, rising
+from sparkloom.operators.search import Match, declare_search, matches_stored, searchable, unsearchable
+from sparkloom.plans.statement import DeleteQuery, InsertQuery, UpdateQuery, UpsertQuery, bind, compose, table
 from sparkloom.refusal import AlreadyThere, BrokenRule, Conflict, Irreversible, NoRows, NotInCollection, Refusal, SeveralRows
 from sparkloom.sources import migrate
 from sparkloom.sources.collection import FIRST, LAST, Collection, after, before
 from sparkloom.sources.evolve import Addition, History, Recomputation, Removal, Rename, Retype, migrate_rows, migrate_value
+from sparkloom.sources.execute import execute
 from sparkloom.sources.mapping import flattened, snake_case, unflattened
 from sparkloom.sources.repository import Repository
 from sparkloom.sources.store import Snapshot, Store, rows_of, transact
@@ -170,6 +174,49 @@ def test_transactions(store, spark):
     assert {r["id"]: r["text"] for r in store.table("note").collect()}[1] == "v11"
 
 
+def test_statements(store, spark):
+    t = derive(TAG)["tag"]
+    with store.transaction() as x:
+        x.create(t)
+    s = t.source()
+    assert execute(store, InsertQuery("tag", ["id", "name"], [(1, "a"), (2, "b"), (3, "c")])) == 3
+    assert execute(store, UpsertQuery("tag", ["id", "name"], [(3, "cc"), (4, "d")], ["id"])) == 2
+    assert execute(store, UpsertQuery("tag", ["id"], [(3,), (1,)], ["id"])) == 0
+    assert execute(store, UpdateQuery(s, ["name"], [fn.concat(s.of("name"), "!")], cr.at_most(s.of("id"), 2))) == 2
+    assert execute(store, DeleteQuery(s, cr.equal(s.of("id"), 4))) == 1 and execute(store, DeleteQuery(s, cr.equal(s.of("id"), 4))) == 0
+    assert sorted(map(tuple, store.table("tag").collect())) == [(1, "a!"), (2, "b!"), (3, "cc")]
+    for wrong in (InsertQuery("tag", ["id", "name"], [(1,)]), UpdateQuery(s, ["name", "id"], ["x"]), UpsertQuery("tag", ["name"], [("x",)], ["id"]), InsertQuery("tag", [], []), DeleteQuery(s, cr.equal(s.of("nope"), 1))):
+        with pytest.raises(Refusal):
+            execute(store, wrong)
+    with pytest.raises(AlreadyThere):
+        execute(store, InsertQuery("tag", ["id", "name"], [(1, "x")]))
+    e = Engine(spark, store)
+    assert e.query_row(compose("SELECT count(*) AS n FROM ", table("tag"), " WHERE id > ", bind(1), " AND name < ", bind("z")))["n"] == 2
+    with pytest.raises(Refusal):
+        e.query(compose("SELECT ", bind(object())))
+    assert store.table("tag").alias("tag").filter(e.column(s, cr.like(s.of("name"), "%!"))).count() == 2
+    assert compose("b").with_prefix("a").text == "ab"
+
+
+def test_whole_aggregates_in_a_page(lists, spark):
+    lists.bulk([{"id": i, "name": f"l{i}", "tracks": [song(k) for k in range(i)], "tags": [1]} for i in range(1, 6)])
+    lst = lists.listing().page_size(2).sort("name", lists.source().of("name").desc())
+    e = Engine(spark, lists.store)
+    page = lists.page(e, lst)
+    assert [(v["id"], len(v["tracks"]), v["tags"]) for v in page.items] == [(5, 5, [1]), (4, 4, [1])]
+    assert [v["id"] for v in lists.page(e, lst, PageQuery(after=page.next)).items] == [3, 2]
+
+
+def test_stored_search(spark, tmp_path):
+    s = [declare_search("name", ["name"], Match.PREFIX), declare_search("all", ["name", "more"], Match.WORDS)]
+    df = searchable(spark.createDataFrame([(1, "Alien", "one two"), (2, "Other", "TWO alien")], "id long, name string, more string"), s)
+    df.write.parquet(str(tmp_path / "s"))
+    df = spark.read.parquet(str(tmp_path / "s"))
+    some = df.filter(matches_stored(s[0], "ALI"))
+    assert [r["id"] for r in some.collect()] == [1] and "StringStartsWith(name_search,ali)" in some._jdf.queryExecution().toString()
+    assert df.filter(matches_stored(s[1], "two, Alien")).count() == 2 and unsearchable(df, s).columns == ["id", "name", "more"]
+
+
 def test_collection(store, spark):
     film, watch = (derive(Object(n, (Field("id", ID, identity=True),)))[n] for n in ("film", "watchlist"))
     c = Collection(store, watch, "films", film)
