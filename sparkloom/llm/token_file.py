@@ -7,9 +7,9 @@ of its documents with their token counts, ``bits`` (each document begins on a by
 of every ``STRIDE``-th token of each document. Decoding runs all checkpoints of a block in step, a table look-up of
 ``MAX_LENGTH`` bits for each token.
 
-Two passes over the texts: ids are counted (a sum per id, at most the vocabulary's size reaches the driver), then
-documents are encoded where they are read, and only their codes are shuffled, to the part of their doc_id: parts are
-bounded by quantiles of the ids. An id that many rows share is several quantiles at once, and its rows are dealt over all
+Texts are tokenized once, into a table in the shared folder, and their ids counted on the way (a sum per id; at most the
+vocabulary's size reaches the driver). Then documents are coded where that table is read, and only their codes are
+shuffled, to the part of their doc_id: parts are bounded by quantiles of the ids. An id that many rows share is several quantiles at once, and its rows are dealt over all
 parts between those, so it is no single task.
 
 Defined cases: a null text is an empty one, and gives the end id alone; null doc_ids come first; rows of the same doc_id
@@ -25,6 +25,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -145,12 +146,31 @@ def unpack(bits: bytes, starts: np.ndarray, counts: np.ndarray, lengths: bytes,
     return out
 
 
+def byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable Latin-1 as itself, the others in order from U+0100 on. Only those that differ."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: chr(0x100 + i) for i, b in enumerate(b for b in range(0x100) if b not in printable)}
+
+
+class Generation(dict):
+    """Words' ids; one that isn't there is learned."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word):
+        return self.learn(word)
+
+
 class Encoder:
     """A text's ids as little-endian unsigned 32-bit integers, the end id last.
 
     Words' ids are remembered in two generations of ``most`` words each: when the young one is full it becomes the old
     one, so words in use stay. A-Z are lower-cased first, as the vocabulary does (except where a special token could
-    arise by it), and a last stop is split off: a letter or digit and a stop are never in one pre-token.
+    arise by it), and a last stop is split off: a letter or digit and a stop are never in one pre-token. A word of
+    lower-case letters in composed form is what the library's normaliser and pre-tokenizer would leave of it, one
+    pre-token, so the library's model takes it directly; every other word takes the library's whole way.
     """
 
     def __init__(self, path: str, end: int = END, most: int = CACHE):
@@ -158,43 +178,47 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.end = np.uint32(end).tobytes()
-        self.most, self.young, self.old = most, {}, {}
+        self.stops = dict(zip(STOPS, self._encoded(list(STOPS)), strict=True))
+        self.most, self.young, self.old = most, Generation(self._learn), {}
 
     def _encoded(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self, missing: set[str]) -> None:
-        young, old = self.young, self.old
-        stems, rest = {}, []
-        for w in missing:
-            if (ids := old.get(w)) is not None:
-                young[w] = ids
-            elif w and w[-1] in STOPS and w[:-1].isalnum():
-                stems[w] = w[:-1]
+    def _ids(self, word: str) -> bytes:
+        if not word.isascii():
+            if not word.isalpha() or word != word.lower() or not is_normalized("NFC", word):
+                return self._encoded([word])[0]
+            word = word.encode().decode("latin-1").translate(self.letters)
+        elif not (word.isalpha() and word.islower()):
+            return self._encoded([word])[0]
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _learn(self, word: str) -> bytes:
+        if (known := self.old.get(word)) is None:
+            if word and word[-1] in self.stops and word[:-1].isalnum():
+                stem = word[:-1]
+                known = (self.young.get(stem) or self.old.get(stem) or self._ids(stem)) + self.stops[word[-1]]
             else:
-                rest.append(w)
-        more = {s for s in stems.values() if s not in young} - set(rest)
-        for s in more:
-            if (ids := old.get(s)) is not None:
-                young[s] = ids
-            else:
-                rest.append(s)
-        young.update(zip(rest, self._encoded(rest), strict=True))
-        if stems:
-            stops = dict(zip(STOPS, self._encoded(list(STOPS)), strict=True))
-            for w, s in stems.items():
-                young[w] = young[s] + stops[w[-1]]
+                known = self._ids(word)
+        self.young[word] = known
+        return known
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t if "<|" in t else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")).split(" ") if t else [] for t in texts]
         if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
-        missing = set().union(*split).difference(self.young)
-        if missing:
-            self._learn(missing)
-        get = self.young.__getitem__
-        return [b"".join(map(get, words)) + self.end for words in split]
+            self.young, self.old = Generation(self._learn), dict(self.young)
+        get, end = self.young.__getitem__, self.end
+        out = []
+        for t in texts:
+            if not t:
+                out.append(end)
+                continue
+            if "<|" not in t:
+                t = t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+            out.append(b"".join(map(get, t.split(" "))) + end)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -207,21 +231,46 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def count_ids(docs: DataFrame, tokenizer: str, size: int) -> np.ndarray:
-    """How often each id occurs in all texts, end ids included."""
+IDS = "doc_id long, n long, ids binary, counts binary"
+
+
+def stage_ids(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
+    """Every text's ids, in 2 bytes each where the vocabulary allows, written to the shared folder; and a row per task with its counts of ids."""
+    narrow = "<u2" if size <= 1 << 16 else "<u4"
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, kinds = np.zeros(size, np.int64), (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        made = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, list) else c for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n", "ids", "counts"])
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, z in slices(texts, 1 << 18):
+                raw = encoder(tokenizer)(texts[a:z])
+                ids = np.frombuffer(b"".join(raw), "<u4")
+                own += np.bincount(ids, minlength=size)
+                n = [len(x) // 4 for x in raw]
+                ends, short = np.cumsum([0, *n]), ids.astype(narrow)
+                yield made(batch.column(0)[a:z], n, [short[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], [None] * len(n))
+        yield made([None], [None], [None], [own.tobytes()])
+
+    path = fresh_path(docs.sparkSession, "token-ids")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    read.mapInArrow(encode, IDS).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(IDS).parquet(path)
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def count_ids(staged: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs in all texts, end ids included: the sum of the tasks' counts."""
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(size, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, z in slices(texts):
-                own += np.bincount(np.frombuffer(b"".join(encoder(tokenizer)(texts[a:z])), "<u4"), minlength=size)
+            for counts in batch.column(0).drop_null().to_pylist():
+                own += np.frombuffer(counts, np.int64)
         some = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(own[some], pa.int64())], ["id", "n"])
 
     out = np.zeros(size, np.int64)
-    rows = docs.select(F.col("text").alias("text")).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
-    for r in rows:
+    for r in staged.select("counts").mapInArrow(unfold, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
         out[r["id"]] = r["n"]
     return out
 
@@ -235,29 +284,30 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end: int = END,
 
     spark = docs.sparkSession
     size = max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), end + 1)
-    lengths = code_lengths(count_ids(docs, tokenizer, size))
+    staged = stage_ids(docs, tokenizer, size)
+    lengths = code_lengths(count_ids(staged, size))
     codes = canonical_codes(lengths)
     spark.createDataFrame([(bytes(lengths), stride, end)], "lengths binary, stride int, end int").coalesce(1).write.parquet(f"{out_dir}/codebook")
     sent = spark.sparkContext.broadcast((codes, lengths))
-
+    rows = staged.filter("n is not null").select("doc_id", "n", "ids")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    found = docs.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else []
+    key = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
+    found = rows.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else []
     bounds = np.array(found or [], np.int64)
+    narrow = "<u2" if size <= 1 << 16 else "<u4"
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, lengths = sent.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            keys = batch.column(2).to_numpy(zero_copy_only=False)
+            raw, n = batch.column(2).to_pylist(), batch.column(1).to_numpy()
+            keys = batch.column(0).fill_null(NULL_ID).to_numpy()
             first, last = np.searchsorted(bounds, keys, "left"), np.searchsorted(bounds, keys, "right")
-            for a, z in slices(texts):
-                raw = encoder(tokenizer)(texts[a:z])
-                n = [len(x) // 4 for x in raw]
-                packed = pack(np.frombuffer(b"".join(raw), "<u4"), np.cumsum([0, *n]), codes, lengths, stride)
-                spread = np.array([zlib.crc32(x) for x in raw], np.int64) + np.arange(a, z)
+            for a, z in slices(raw):
+                packed = pack(np.frombuffer(b"".join(raw[a:z]), narrow), np.concatenate([[0], np.cumsum(n[a:z])]), codes, lengths, stride)
+                spread = np.array([zlib.crc32(x) for x in raw[a:z]], np.int64) + np.arange(a, z)
                 part = first[a:z] + spread % (last[a:z] - first[a:z] + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column(0)[a:z], pa.array(n, pa.int64()), pa.array([x for x, _ in packed], pa.binary()), pa.array([c.astype("<u8").tobytes() if len(c) > 1 else b"" for _, c in packed], pa.binary())], ["part", "doc_id", "n", "bits", "checkpoints"])
+                marks = [c.astype("<u8").tobytes() if len(c) > 1 else b"" for _, c in packed]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column(0)[a:z], batch.column(1)[a:z], pa.array([x for x, _ in packed], pa.binary()), pa.array(marks, pa.binary())], ["part", "doc_id", "n", "bits", "checkpoints"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, before, rows, held = -1, 0, 0, [], 0
@@ -286,7 +336,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end: int = END,
         if rows:
             yield made()
 
-    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), key.alias("key")).mapInArrow(encode, "part int, doc_id long, n long, bits binary, checkpoints binary")
+    coded = rows.mapInArrow(pack_rows, "part int, doc_id long, n long, bits binary, checkpoints binary")
     order = [F.col("part"), F.col("doc_id").asc_nulls_first(), F.xxhash64("bits"), F.col("n")]
     coded.repartitionById(parts, F.col("part")).sortWithinPartitions(*order).mapInArrow(blocks, BLOCKS).write.parquet(f"{out_dir}/blocks")
 
