@@ -235,8 +235,10 @@ def verdicts(block: Block, texts: list[str | None], cache: HashCache, similarity
     """(text, items found in it) of the texts that hold any."""
     h, bounds = _hashes(texts, cache)
     places, seeds = block.hits(h, bounds[1:])
+    if not len(places):
+        return
     doc = np.searchsorted(bounds[1:], places, "right")
-    edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else []
+    edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     for a, z in zip(edges, [*edges[1:], len(doc)], strict=True):
         i = int(doc[a])
         found = judge(block, h[bounds[i] : bounds[i + 1]], places[a:z] - bounds[i], seeds[a:z], similarity)
