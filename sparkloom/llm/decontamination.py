@@ -162,12 +162,11 @@ def _hashes(texts: list[str | None], cache: HashCache) -> tuple[np.ndarray, np.n
     return cache.array([w for x in split for w in x]), np.cumsum([0, *map(len, split)])
 
 
-def blocks_of(benchmark: DataFrame, docs: DataFrame, block_words: int = BLOCK_WORDS) -> list[Block]:
-    """The benchmark's blocks, with the rarity of their seeds counted over all documents."""
+def blocks_of(benchmark: DataFrame, docs: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
+    """The benchmark's blocks one by one, with the rarity of their seeds counted over all documents."""
     items = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").alias("text")).filter("text is not null")
     size = F.sum(F.char_length("text"))
     n = max(1, -(-int(items.agg(size).first()[0] or 0) // (6 * block_words)))
-    out, documents = [], None
     for k in range(n):
         own = items.filter(F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(n)) == k).collect()  # a block
         block = block_of(sorted(((r["item_id"], r["text"]) for r in own), key=lambda x: (x[0] is None, x[0], x[1])))
@@ -194,8 +193,7 @@ def blocks_of(benchmark: DataFrame, docs: DataFrame, block_words: int = BLOCK_WO
         documents = found.pop(-1, 0)
         for s, c in found.items():
             block.rare[s] = c <= max(1, RARE_SHARE * documents)
-        out.append(block)
-    return out
+        yield block
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -204,9 +202,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     schema = "row long, doc_id long, item_id long, similarity double, score double, first_word long, last_word long, n_items long"
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-    blocks = blocks_of(benchmark, docs)
     read = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    for block in blocks:
+    for block in blocks_of(benchmark, docs):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

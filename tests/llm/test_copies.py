@@ -172,7 +172,7 @@ def test_decontamination(spark, tmp_path, empty):
     assert found[16]["n_items"] == 2 and found[16]["item_id"] in (2, 60) and all(r["similarity"] >= 0.8 for r in found.values())
     clean = decontamination.keep_clean(docs, bench)
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {r[0] for r in rows} - expected
-    blocks = decontamination.blocks_of(bench, docs, block_words=20)
+    blocks = list(decontamination.blocks_of(bench, docs, block_words=20))
     assert len(blocks) > 1 and sum(len(b.ids) for b in blocks) == 14
     assert decontamination.contaminated(empty, bench).collect() == [] and decontamination.contaminated(docs, bench.limit(0)).collect() == []
     assert decontamination.keep_clean(docs, bench.limit(0)).count() == len(rows)
