@@ -17,6 +17,7 @@ from sparkloom.operators.listing import PageQuery, listing
 from sparkloom.operators.operations import declare, function
 from sparkloom.operators.search import Match, declare_search, matches
 from sparkloom.plans.select import SelectQuery, columns_equal, from_, inner_join, left_join, with_
+from sparkloom.plans.statement import bind, compose, table
 from sparkloom.sources.evolve import Addition, History, Recomputation, Removal, Rename, Retype, migrate_rows
 from sparkloom.sources.mapping import assembled, flattened, taken_apart, unflattened
 from sparkloom.sources.parquet import ParquetFolder
@@ -261,6 +262,12 @@ def _whole(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
     return t.run(with_=[totals], select=select, source=c, joins=[left_join(s, columns_equal(s, "customer", c, "c_custkey"))])
 
 
+@registered("SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'O' GROUP BY o_orderpriority")
+def composed_statement(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return t.engine.query(compose("SELECT o_orderpriority, count(*) AS n FROM ", table("orders"), " WHERE o_totalprice > ", bind(100000.0), " AND o_orderstatus = ", bind("O"), " GROUP BY o_orderpriority"))
+
+
 @registered(WHOLE.format(least=8))
 def whole_specification(spark, sf_dir):
     return _whole(spark, sf_dir, 8)
@@ -463,6 +470,23 @@ def window_partition_total(spark, sf_dir):
     return t.run(select=[*named(o, "o_orderkey"), fn.max_(o.of("o_totalprice")).over(w).as_("best"), fn.count().over(w).as_("n")], source=o)
 
 
+@registered("SELECT o_orderkey, count(*) OVER (ORDER BY o_orderdate DESC) AS newer, max(o_totalprice) OVER (ORDER BY o_orderstatus, o_orderpriority) AS high, CAST(sum(o_custkey) OVER () AS BIGINT) AS keys FROM orders")
+def window_over_all(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    o = t["orders"]
+    newer = fn.count().over(Window(order_by=[o.of("o_orderdate").desc()]))
+    high = fn.max_(o.of("o_totalprice")).over(Window(order_by=[o.of("o_orderstatus").asc(), o.of("o_orderpriority").asc()]))
+    return t.run(select=[*named(o, "o_orderkey"), newer.as_("newer"), high.as_("high"), fn.sum_(o.of("o_custkey")).over(Window()).as_("keys")], source=o)
+
+
+@registered("SELECT d.doc_id, count(*) OVER (ORDER BY l.quality DESC NULLS LAST) AS place FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def window_over_all_nulls(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    d, lab = t["documents"].as_("d"), t["labels"].as_("l")
+    place = fn.count().over(Window(order_by=[lab.of("quality").desc().nulls_last()]))
+    return t.run(select=[*named(d, "doc_id"), place.as_("place")], source=d, joins=[left_join(lab, columns_equal(d, "doc_id", lab, "doc_id"))])
+
+
 @registered("SELECT c_nationkey, c_mktsegment, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY c_nationkey) AS BIGINT) AS of_nation FROM customer GROUP BY c_nationkey, c_mktsegment")
 def window_over_group(spark, sf_dir):
     t = Tables(spark, sf_dir)

@@ -26,6 +26,9 @@ from sparkloom.refusal import Refusal
 
 Tables = Callable[[str], DataFrame]
 
+#: How parts of an aggregate are put together.
+COMBINED = {op.ROW_COUNT: F.sum, op.VALUE_COUNT: F.sum, op.SUMMATION: F.sum, op.WHOLE_TOTAL: F.sum, op.MAXIMUM: F.max, op.MINIMUM: F.min}
+
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
@@ -100,7 +103,10 @@ class Compiler:
             df = df.filter(self.column(q.having, scope, named))
         windows = {w.identity(): w for e in [*(s.expr for s in q.selections()), *(o.expr for o in q.order_by)] for w in self._windows(e)}
         for i, (k, w) in enumerate(windows.items()):
-            df = df.withColumn(f"_w{i}", self.column(w, scope, named, hidden))
+            if outer is None and self._combines(w):
+                df = self._running(df, w, f"_w{i}", scope, named, hidden)
+            else:
+                df = df.withColumn(f"_w{i}", self.column(w, scope, named, hidden))
             hidden[k] = f"_w{i}"
         if q.order_by:
             df = df.orderBy(*[self.ordering(o, scope, named, hidden) for o in q.order_by])
@@ -118,6 +124,30 @@ class Compiler:
     def _windows(self, e: Expr) -> list[Over]:
         return [e] if isinstance(e, Over) else [w for c in e.children() for w in self._windows(c)]
 
+    def _combines(self, w: Over) -> bool:
+        """A window over all rows whose aggregate can be put together from parts."""
+        return not w.window.partition_by and isinstance(w.expr, Apply) and w.expr.op in COMBINED and w.expr.op not in self.registry.taught and op.OVER_WINDOW not in self.registry.taught
+
+    def _running(self, df: DataFrame, w: Over, name: str, scope: Scope, named: dict[str, DataFrame], hidden: dict[tuple, str]) -> DataFrame:
+        """A window without partitions, without sending all rows to one task.
+
+        Without an order it is one value of all rows: a scalar subquery. With one it depends on the order's values alone, as
+        peers share it: rows are aggregated by those values, the window runs over the distinct values, and joins back.
+        """
+        part = self._applied(w.expr, scope, named, hidden)
+        if not w.window.order_by:
+            return df.withColumn(name, self._finished(w.expr, df.select(part.alias("_p")).scalar()))
+        orders = [self.column(o.expr, scope, named, hidden) for o in w.window.order_by]
+        keys = [f"{name}_k{j}" for j in range(len(orders))]
+        values = df.groupBy(*[c.alias(k) for c, k in zip(orders, keys, strict=True)]).agg(part.alias("_p"))
+        by = [self.ordering(Ordering(Col(k), o.descending, o.nulls), Scope({}), {}) for k, o in zip(keys, w.window.order_by, strict=True)]
+        total = COMBINED[w.expr.op](F.col("_p")).over(SparkWindow.orderBy(*by))
+        values = values.select(*keys, self._finished(w.expr, total).alias(name))
+        same = F.lit(True)
+        for c, k in zip(orders, keys, strict=True):
+            same = same & c.eqNullSafe(F.col(k))
+        return df.join(values, same)
+
     # expressions
 
     def kind(self, e: Expr, scope: Scope) -> Kind:
