@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import crc_mod, mix64, plain_words, slices
+from sparkloom.llm.common import crc_mod, mix64, plain_words, slices, staged
 
 TRAIN_DOCS, EPOCHS = 4000, 10
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 6.0, 1.0
@@ -37,6 +37,7 @@ LEAST_DOCS = 3
 THRESHOLD = 0.3
 STEMS = (4, 5, 6, 7, 8)
 BITMAP = 1 << 22
+SKETCH = 1 << 24
 
 
 class Words(dict):
@@ -151,9 +152,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, train_do
         for pdf in batches:
             yield pd.DataFrame([(i, int(y), np.unique(features([t], words)[0]).tobytes()) for i, y, t in zip(pdf["doc_id"], pdf["toxic"], pdf["text"], strict=True)], columns=["doc_id", "toxic", "f"])
 
-    got = texts.select("doc_id", "toxic", "text").mapInPandas(extract, "doc_id long, toxic int, f binary").toPandas().sort_values(["doc_id", "f"], kind="stable")
-    y = got["toxic"].to_numpy(float)
-    model = ftrl([np.frombuffer(x, np.uint32) for x in got["f"]], y)
+    # written once and read twice, a partition at a time: the driver holds one partition and what is learned from
+    found = staged(texts.select("doc_id", "toxic", "text").mapInPandas(extract, "doc_id long, toxic int, f binary"), "toxicity-sample")
+    seen = np.zeros(SKETCH, np.uint8)  # in how many texts a feature is, at least: features that share a place are counted together
+    for r in found.select("f").toLocalIterator():
+        at = np.frombuffer(r["f"], np.uint32) & np.uint32(SKETCH - 1)
+        seen[at] = np.minimum(seen[at], 254) + 1
+    rows = []
+    for r in found.toLocalIterator():
+        f = np.frombuffer(r["f"], np.uint32)
+        rows.append((r["doc_id"], r["toxic"], f[seen[f & np.uint32(SKETCH - 1)] >= LEAST_DOCS].tobytes()))
+    rows.sort()
+    y = np.array([r[1] for r in rows], float)
+    model = ftrl([np.frombuffer(r[2], np.uint32) for r in rows], y)
     if 0 < y.sum() < len(y):  # from the sample's shares to those of all labelled rows
         model.intercept += float(np.log(n[1] / n[0]) - np.log(y.sum() / (len(y) - y.sum())))
     return model
