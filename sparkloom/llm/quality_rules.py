@@ -10,8 +10,8 @@ character classes and the reference's, and the same for its histogram of common
 References are sums over *all* documents of a language: every language with at least ``LANG_SHARE`` of the corpus' words
 has one (so 1/LANG_SHARE at most), and its common words are those with at least ``WORD_SHARE`` of its words (so
 1/WORD_SHARE at most); both bounds hold at any input size, and only these bounded tables reach the driver. A document
-passes if some reference is within ``MAX_CHARS`` and ``MAX_WORDS``. Guards: under ``MIN_CHARS_N`` words neither distance
-is judged, under ``MIN_WORDS_N`` the word distance is not, as short histograms diverge by chance.
+passes if some reference is within ``MAX_CHARS`` and ``MAX_WORDS``. Guards against short histograms, which diverge by
+chance: both limits are wider by ``SLACK`` / number of words, and under ``MIN_JUDGED`` words nothing is judged.
 
 Only DataFrame functions run here. Windows are compared by XXH64 over the words' XXH64 (64-bit, so two different windows
 of one text count as equal with a chance of about n^2 / 2^65).
@@ -30,8 +30,8 @@ SPACES = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 LANG_SHARE, WORD_SHARE = 0.01, 0.005
-MIN_CHARS_N, MIN_WORDS_N = 20, 50
-MAX_CHARS, MAX_WORDS = 0.33, 0.40
+MIN_JUDGED, SLACK = 20, 2.0
+MAX_CHARS, MAX_WORDS = 0.30, 0.36
 #: Character classes by pattern; letters are what is left of the words' characters.
 CLASSES = {"upper": "[\\p{Lu}]", "digit": "[0-9]", "stop": "[.,;:!?'\"()\\-]", "symbol": "[#*$%&|<>@^~=+_/\\\\{}\\[\\]]"}
 
@@ -148,7 +148,8 @@ def judge_quality(docs: DataFrame, refs: list[dict] | None = None, max_chars: fl
         by_words = js_distance([*shares, rest], [*r["shares"], max(0.0, 1 - sum(r["shares"]))])
         by_lang.append(F.struct(by_chars.alias("c"), by_words.alias("w")))
     b = b.withColumn("by_lang", F.array(*by_lang) if by_lang else F.array().cast("array<struct<c:double,w:double>>"))
-    near = F.exists("by_lang", lambda x: ((F.col("n_words") < MIN_CHARS_N) | (x["c"] <= max_chars)) & ((F.col("n_words") < MIN_WORDS_N) | (x["w"] <= max_words)))
+    more = SLACK / n
+    near = (F.col("n_words") < MIN_JUDGED) | F.exists("by_lang", lambda x: (x["c"] <= max_chars + more) & (x["w"] <= max_words + more))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return b.select(
         "doc_id",

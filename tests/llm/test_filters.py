@@ -100,7 +100,8 @@ def test_quality(spark, docs, rows):
             by_chars = plain_distance(plain_classes(text or "", c[1]), r["chars"])
             shares = [words.count(w) / max(1, len(words)) for w in r["words"]]
             by_words = plain_distance([*shares, max(0.0, 1 - sum(shares))], [*r["shares"], max(0.0, 1 - sum(r["shares"]))])
-            near |= (c[0] < quality_rules.MIN_CHARS_N or by_chars <= quality_rules.MAX_CHARS) and (c[0] < quality_rules.MIN_WORDS_N or by_words <= quality_rules.MAX_WORDS)
+            more = quality_rules.SLACK / max(1, c[0])
+            near |= c[0] < quality_rules.MIN_JUDGED or (by_chars <= quality_rules.MAX_CHARS + more and by_words <= quality_rules.MAX_WORDS + more)
         expected[(i, *c, failed, not failed and near)] += 1
     assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"]) for r in got) == expected
     assert {r["doc_id"]: r["kept"] for r in got}[903] is False
