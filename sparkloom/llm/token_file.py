@@ -14,8 +14,8 @@ parts between those, so it is no single task.
 
 Defined cases: a null text is an empty one, and gives the end id alone; null doc_ids come first; rows of the same doc_id
 follow each other, in an order that their codes settle; an empty table gives an empty file and an empty result. Texts are
-encoded by the tokenizers library word by word (between U+0020): no pre-token of the vocabulary spans a space, so the ids
-are those of the whole text, and a word's ids are remembered. Columns other than doc_id and text are neither read nor returned.
+encoded by the tokenizers library word by word (between ASCII white space): no pre-token of the vocabulary spans white
+space, so the ids are those of the whole text, and a word's ids are remembered. Columns other than doc_id and text are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -38,8 +38,9 @@ END = 2
 MAX_LENGTH = 16
 STRIDE = 128
 BLOCK_TOKENS = 1 << 16
-CACHE = 500_000
-STOPS = ".,;:!?"
+CACHE = 700_000
+STOPS = b".,;:!?*#$%&|<>)]}\""
+SIGMA = "\u03a3"  # lower-cased by its place in a word in Python, alone in the library
 NULL_ID = -(1 << 63)
 TOKENIZER = "word_bpe_49k.json"
 
@@ -168,9 +169,9 @@ class Encoder:
 
     Words' ids are remembered in two generations of ``most`` words each: when the young one is full it becomes the old
     one, so words in use stay. A-Z are lower-cased first, as the vocabulary does (except where a special token could
-    arise by it), and a last stop is split off: a letter or digit and a stop are never in one pre-token. A word of
-    lower-case letters in composed form is what the library's normaliser and pre-tokenizer would leave of it, one
-    pre-token, so the library's model takes it directly; every other word takes the library's whole way.
+    arise by it), and stops at a word's end are split off: they are one pre-token, and never one with a letter or digit.
+    A word of letters in composed form is one pre-token, which the library's normaliser only lower-cases, so the library's
+    model takes it directly; every other word takes the library's whole way.
     """
 
     def __init__(self, path: str, end: int = END, most: int = CACHE):
@@ -181,32 +182,41 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.end = np.uint32(end).tobytes()
-        self.stops = dict(zip(STOPS, self._encoded(list(STOPS)), strict=True))
         self.most, self.young, self.old = most, Generation(self._learn), {}
 
     def _encoded(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _ids(self, word: str) -> bytes:
-        if not word.isascii():
-            if not word.isalpha() or word != word.lower() or not is_normalized("NFC", word):
-                return self._encoded([word])[0]
-            word = word.encode().decode("latin-1").translate(self.letters)
-        elif not (word.isalpha() and word.islower()):
-            return self._encoded([word])[0]
-        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-
-    def _learn(self, word: str) -> bytes:
+    def _ids(self, word: bytes) -> bytes:
+        if word.isalpha():  # of bytes: ASCII letters, lower-case by now
+            plain = word.decode() if word.islower() else None
+        else:
+            own = word.decode("utf-8", "replace")
+            plain = None
+            if own.isalpha() and SIGMA not in own and is_normalized("NFC", own) and is_normalized("NFC", low := own.lower()) and low.isalpha():
+                plain = low.encode().decode("latin-1").translate(self.letters)  # the model's vocabulary writes bytes as letters
+        if plain is None:
+            return self._encoded([word.decode("utf-8", "replace")])[0]
+        return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+
+    def _known(self, word: bytes) -> bytes:
+        ids = dict.get(self.young, word) or self.old.get(word)
+        if ids is None:
+            ids = self.young[word] = self._ids(word)
+        return ids
+
+    def _learn(self, word: bytes) -> bytes:
         if (known := self.old.get(word)) is None:
-            if word and word[-1] in self.stops and word[:-1].isalnum():
-                stem = word[:-1]
-                known = (self.young.get(stem) or self.old.get(stem) or self._ids(stem)) + self.stops[word[-1]]
+            stem = word.rstrip(STOPS)
+            # lower-casing may end a letter in a mark, which is one pre-token with what follows
+            if stem and len(stem) < len(word) and (stem.isalnum() or stem.decode("utf-8", "replace").lower().isalnum()):
+                known = self._known(stem) + self._known(word[len(stem) :])
             else:
                 known = self._ids(word)
         self.young[word] = known
         return known
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def __call__(self, texts: list[bytes | str | None]) -> list[bytes]:
         if len(self.young) > self.most:
             self.young, self.old = Generation(self._learn), dict(self.young)
         get, end = self.young.__getitem__, self.end
@@ -215,9 +225,11 @@ class Encoder:
             if not t:
                 out.append(end)
                 continue
-            if "<|" not in t:
-                t = t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-            out.append(b"".join(map(get, t.split(" "))) + end)
+            if isinstance(t, str):
+                t = t.encode("utf-8", "replace")
+            if b"<|" not in t:
+                t = t.lower()
+            out.append(b"".join(map(get, t.split())) + end)
         return out
 
 
@@ -242,7 +254,7 @@ def stage_ids(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
         own, kinds = np.zeros(size, np.int64), (pa.int64(), pa.int64(), pa.binary(), pa.binary())
         made = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, list) else c for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n", "ids", "counts"])
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
             for a, z in slices(texts, 1 << 18):
                 raw = encoder(tokenizer)(texts[a:z])
                 ids = np.frombuffer(b"".join(raw), "<u4")
@@ -341,8 +353,8 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end: int = END,
     coded.repartitionById(parts, F.col("part")).sortWithinPartitions(*order).mapInArrow(blocks, BLOCKS).write.parquet(f"{out_dir}/blocks")
 
 
-def read_tokens(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32, ids (array<int>)."""
+def read_tokens(spark: SparkSession, out_dir: str, with_ids: bool = True) -> DataFrame:
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32 and, if wanted, ids (array<int>)."""
     book = spark.read.parquet(f"{out_dir}/codebook").first()
     lengths, stride = bytes(book["lengths"]), book["stride"]
     read = spark.read.schema(BLOCKS).parquet(f"{out_dir}/blocks")
@@ -365,11 +377,14 @@ def read_tokens(spark: SparkSession, out_dir: str) -> DataFrame:
                 ends = np.cumsum(counts)
                 own = ends - counts
                 crc = [zlib.crc32(ids[a:z].tobytes()) for a, z in zip(own, ends, strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(np.full(len(counts), row["part"]), pa.int32()), pa.array(own + row["first_token"], pa.int64()), pa.array(counts), pa.array(crc, pa.int64()), lists], ["doc_id", "part", "own", "n_tokens", "ids_crc32", "ids"])
+                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(np.full(len(counts), row["part"]), pa.int32()), pa.array(own + row["first_token"], pa.int64()), pa.array(counts), pa.array(crc, pa.int64())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    out = read.mapInArrow(decode, "doc_id long, part int, own long, n_tokens long, ids_crc32 long, ids array<int>")
-    return out.join(F.broadcast(starts), "part").select("doc_id", (F.col("base") + F.col("own")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    names = ["doc_id", "part", "own", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
+    out = read.mapInArrow(decode, "doc_id long, part int, own long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return out.join(F.broadcast(starts), "part").select("doc_id", (F.col("base") + F.col("own")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -382,4 +397,4 @@ def token_table(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Writes the token file to the shared folder and returns doc_id, start, n_tokens, ids_crc32 as read from it."""
     out = fresh_path(docs.sparkSession, "tokens")
     write_tokens(docs, out, tokenizer or tokenizer_path())
-    return read_tokens(docs.sparkSession, out).drop("ids")
+    return read_tokens(docs.sparkSession, out, with_ids=False)

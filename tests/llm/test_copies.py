@@ -238,7 +238,7 @@ def whole_ids(texts):
 
 def test_words_are_encoded_as_the_whole_text(rows):
     texts = [t for _, t, _, _ in rows]
-    texts += ["it's 'S I'LL  don't.", "e\u0301 E\u0301te \u212b \u1e9e \u0130x \u03a3\u03a3 \u03c3\u03c2", "a<|endoftext|>b <|ENDOFTEXT|> x", "tab\tnew\nline\u00a0nbsp\u2003em", "x2. 3.! .. ?! a,b. \u00b2. \u2155!", "\x00 \x7f \xad \ufeff", "\u4e2d\u6587\u3002 \U0001f600! na\u00efve, STRA\u00dfE", "\u0645\u0631\u062d\u0628\u0627. \u0939\u093f\u0928\u094d\u0926\u0940."]
+    texts += ["it's 'S I'LL  don't.", "e\u0301 E\u0301te \u212b \u1e9e \u0130x \u03a3\u03a3 \u03c3\u03c2", "a<|endoftext|>b <|ENDOFTEXT|> x", "tab\tnew\nline\u00a0nbsp\u2003em", "x2. 3.! .. ?! a,b. \u00b2. \u2155!", "a\x0bb\x0cc\rd\x85e\x1cf g", "Word*** of%%%\nThe$$$ \u00c9t\u00e9.### a<b> (c)] 'd'. e's, \u0130. \u0130b \u03a3. \u1e9e \u01c5x \ufb01x.", "\x00 \x7f \xad \ufeff", "\u4e2d\u6587\u3002 \U0001f600! na\u00efve, STRA\u00dfE", "\u0645\u0631\u062d\u0628\u0627. \u0939\u093f\u0928\u094d\u0926\u0940."]
     tiny = token_file.Encoder(token_file.tokenizer_path(), most=3)  # generations turn over all the time
     for e in (token_file.encoder(token_file.tokenizer_path()), tiny):
         got = [np.frombuffer(x, "<u4").tolist() for t in texts for x in e([t])]
