@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections import defaultdict
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -47,8 +47,9 @@ def canonical(v: object) -> object:
 
 
 class Repository:
-    def __init__(self, store: Store, root: Object, *others: Object, naming: Naming | None = None):
-        """``others``: objects that the root refers to."""
+    def __init__(self, store: Store, root: Object, *others: Object, naming: Naming | None = None, represent: Mapping[str, tuple[Callable, Callable]] | None = None):
+        """``others``: objects that the root refers to. ``represent``: by ``object.field``, how values are stored and read back."""
+        self.represent = dict(represent or {})
         self.store, self.root, self.naming = store, root, naming or Naming()
         tables = derive(root, *others, naming=self.naming)
         own = {self.naming.of(root.name)}
@@ -101,7 +102,8 @@ class Repository:
                 for m in f.type.fields:
                     add(m, f"{path}.{m.name}", None if v is None else v.get(m.name))
             else:
-                row[self.naming.of(path)] = v
+                stored = self.represent.get(f"{o.name}.{path}")
+                row[self.naming.of(path)] = stored[0](v) if stored and v is not None else v
 
         for f in o.fields:
             add(f, f.name, value.get(f.name))
@@ -166,7 +168,8 @@ class Repository:
             if isinstance(f.type, Object) and path not in o.documents:
                 made = {m.name: build(m, f"{path}.{m.name}") for m in f.type.fields}
                 return None if f.optional and all(v is None for v in made.values()) else made
-            return row.get(self.naming.of(path))
+            v, stored = row.get(self.naming.of(path)), self.represent.get(f"{o.name}.{path}")
+            return stored[1](v) if stored and v is not None else v
 
         return {f.name: build(f, f.name) for f in o.fields}
 

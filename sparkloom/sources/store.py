@@ -126,6 +126,7 @@ class Transaction:
 
     def __post_init__(self):
         self.base = self.snapshot.version
+        self.own: set[str] = set()
         self.snapshot = Snapshot(self.base, json.loads(json.dumps(self.snapshot.tables)))
 
     # definitions
@@ -157,6 +158,7 @@ class Transaction:
 
     def _write(self, name: str, df: DataFrame, kind: str = "rows") -> dict:
         path = os.path.join(name, uuid.uuid4().hex)
+        self.own.add(path)
         df.write.parquet(os.path.join(self.store.root, path))
         self.touched.add(name)
         self.writes += 1
@@ -166,7 +168,7 @@ class Transaction:
         own = self.snapshot.tables[name]
         own["layers"].append(layer)
         if len(own["layers"]) > COMPACT:
-            own["layers"] = [self._write(name, self.table(name))]
+            own["layers"] = [self._write(name, self.table(name))]  # rows that were checked before are checked once more
 
     def _schema(self, name: str) -> T.StructType:
         if name not in self.snapshot.tables:
@@ -246,21 +248,33 @@ class Transaction:
 
     # the end
 
+    def _changed(self, name: str, schema: T.StructType) -> DataFrame | None:
+        """The rows that this transaction wrote and that are still there; None if it only removed some."""
+        paths = [x["path"] for x in self.snapshot.tables[name]["layers"] if x["kind"] == "rows" and x["path"] in self.own]
+        if not paths:
+            return None
+        return self.store.spark.read.schema(schema).parquet(*[os.path.join(self.store.root, p) for p in paths])
+
     def check(self) -> None:
+        """Rules over what changed: a small change is held against keys of the table, but never reads all of it."""
         for name in sorted(self.touched & set(self.snapshot.tables)):
-            table = self.store.known.get(name)
-            if table is None:
+            table, schema = self.store.known.get(name), self._schema(name)
+            rows = self._changed(name, schema)
+            if table is None or rows is None:
                 continue
-            df = self.table(name)
-            if key := repeated(table, df):
-                raise AlreadyThere(f"{name} has two rows of one ({', '.join(key)})")
-            if why := broken(table, df):
+            current = self.table(name)
+            for key in (table.key, *table.unique):
+                known = " AND ".join(f"{quoted(k)} IS NOT NULL" for k in key)
+                touched = rows.filter(known).select(*map(quoted, key)).distinct()
+                if key and repeated(key, current.select(*map(quoted, key)).join(touched, list(key), "left_semi")):
+                    raise AlreadyThere(f"{name} has two rows of one ({', '.join(key)})")
+            if why := broken(table, rows):
                 raise BrokenRule(why)
             for ref in table.foreign_keys:
                 if ref.table in self.snapshot.tables:
                     there = self.table(ref.table).select(*[F.col(quoted(k)).alias(c) for c, k in zip(ref.columns, ref.keys, strict=True)])
-                    lost = df.filter(" AND ".join(f"{quoted(c)} IS NOT NULL" for c in ref.columns)).join(there, list(ref.columns), "left_anti")
-                    if lost.limit(1).collect():
+                    own = rows.filter(" AND ".join(f"{quoted(c)} IS NOT NULL" for c in ref.columns)).select(*map(quoted, ref.columns)).distinct()
+                    if own.join(there, list(ref.columns), "left_anti").limit(1).collect():
                         raise BrokenRule(f"{name} ({', '.join(ref.columns)}) refers to rows that {ref.table} doesn't have")
 
     def commit(self) -> None:

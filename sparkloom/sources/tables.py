@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -335,15 +335,25 @@ def broken(table: Table, df: DataFrame) -> str | None:
     return None
 
 
-def repeated(table: Table, df: DataFrame) -> tuple[str, ...] | None:
-    """The first key of the table that some rows share. Keys with a null in them are not compared, as in SQL."""
-    for key in (table.key, *table.unique):
-        if key:
-            some = df.filter(" AND ".join(f"{quoted(k)} IS NOT NULL" for k in key)).groupBy(*map(quoted, key)).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").limit(1).collect()
-            if some:
-                return key
-    return None
+def repeated(key: Sequence[str], df: DataFrame) -> bool:
+    """Whether some rows share the key. Keys with a null in them are not compared, as in SQL."""
+    known = df.filter(" AND ".join(f"{quoted(k)} IS NOT NULL" for k in key))
+    return bool(known.groupBy(*map(quoted, key)).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").limit(1).collect())
+
+
+@dataclass(frozen=True)
+class Index:
+    """Columns by which a table is clustered when it is written; Spark has no index, but Parquet skips by statistics."""
+
+    columns: tuple[str, ...]
+    unique: bool = False
+    include: tuple[str, ...] = ()
 
+    def reasons(self) -> list[str]:
+        return ["a unique index cannot include columns"] if self.unique and self.include else []
 
-def renamed(table: Table, name: str) -> Table:
-    return replace(table, name=name)
+    def clustered(self, df: DataFrame, partitions: int) -> DataFrame:
+        if why := self.reasons():
+            raise Refusal(*why)
+        columns = [F.col(quoted(c)) for c in self.columns]
+        return df.repartitionByRange(partitions, *columns).sortWithinPartitions(*columns)

@@ -22,7 +22,7 @@ from sparkloom.sources.execute import execute
 from sparkloom.sources.mapping import flattened, snake_case, unflattened
 from sparkloom.sources.repository import Repository
 from sparkloom.sources.store import Snapshot, Store, rows_of, transact
-from sparkloom.sources.tables import Field, Object, Reference, Rule, Scalar, Sequence_, derive, join_by_key
+from sparkloom.sources.tables import Field, Index, Object, Reference, Rule, Scalar, Sequence_, derive, join_by_key
 
 ID, TEXT, INT = Scalar("int64"), Scalar("text"), Scalar("int32")
 TRACK = Object("track", (Field("id", ID, identity=True), Field("title", TEXT), Field("seconds", Scalar("int32", (Rule("at_least", 1),)))))
@@ -207,6 +207,21 @@ def test_whole_aggregates_in_a_page(lists, spark):
     assert [v["id"] for v in lists.page(e, lst, PageQuery(after=page.next)).items] == [3, 2]
 
 
+def test_represented_fields(store):
+    o = Object("shelf", (Field("id", ID, identity=True), Field("tags", TEXT, optional=True)))
+    repo = Repository(store, o, represent={"shelf.tags": (",".join, lambda t: t.split(","))})
+    repo.create()
+    assert repo.save({"id": 1, "tags": ["a", "b"]}) == 1 and repo.save({"id": 1, "tags": ["a", "b"]}) == 0
+    assert repo.find(1) == {"id": 1, "tags": ["a", "b"]} and store.table("shelf").first()["tags"] == "a,b"
+
+
+def test_index_layout(spark):
+    df = Index(("k",)).clustered(spark.range(100).withColumn("k", F.col("id") % 10), 4)
+    assert df.rdd.getNumPartitions() <= 4
+    with pytest.raises(Refusal):
+        Index(("k",), unique=True, include=("id",)).clustered(df, 2)
+
+
 def test_stored_search(spark, tmp_path):
     s = [declare_search("name", ["name"], Match.PREFIX), declare_search("all", ["name", "more"], Match.WORDS)]
     df = searchable(spark.createDataFrame([(1, "Alien", "one two"), (2, "Other", "TWO alien")], "id long, name string, more string"), s)
