@@ -1,7 +1,8 @@
 """LM scoring: a log-bilinear neural model trained in numpy with noise-contrastive estimation.
 
 Tokens: words with A-Z lower-cased, then one end token a text. Counts of every token of the training texts are made over all of
-them. The model knows the ``VOCABULARY`` most frequent tokens; every other one is its class 0. With word vectors R, one
+them. The model knows the ``VOCABULARY`` most frequent tokens; every other one belongs to one of ``CLASSES`` classes by a hash of its
+first ``PREFIX`` bytes, and is that class to the model. With vectors R of words and classes, one
 matrix C_i for each of the two places before a token, and biases b, the score of w after (u, v) is
 (R[v] C_1 + R[u] C_2) . R[w] + b[w]. A text begins as if after two ends.
 
@@ -10,9 +11,9 @@ training text is read: each task fits the common start over its own texts, and t
 (one round of iterative parameter mixing); tasks are merged until each has about ``TASK_TOKENS`` tokens.
 
 Scoring is normalised exactly. As the score is a sum over places, exp(score) is a product of one factor per place, and
-the normalisers of all contexts are one matrix product of two vocabulary-square tables. A token of class 0 has the
-class' probability times its own share (c + 1) / (n + v + 1) of it, n and v being the count and number of the training
-tokens outside the vocabulary: probabilities over all tokens, unseen ones being one, sum to one.
+the normalisers of all contexts are one matrix product of two vocabulary-square tables. A token of a class has the
+class' probability times its own share (c + 1) / (n + v + 1) of it, n and v being the count and number of the class'
+training tokens: probabilities over all tokens, unseen ones being one in each class, sum to one.
 
 Counts of unboundedly many words are never broadcast: words with at least 1 / ``HEAD`` of all training tokens (so HEAD at
 most) are; the other occurrences, about an eighth of all, are joined to the counts by shuffle. No word is hot there, as hot ones
@@ -28,6 +29,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import crc_mod, lower_words, slices, staged
 
 VOCABULARY, DIM = 2048, 16
+CLASSES, PREFIX = 256, 3
 HEAD = 1 << 20
 BATCH, NOISE, RATE = 2048, 32, 0.1
 TASK_TOKENS = 3_000_000
@@ -47,18 +50,18 @@ LOG10 = float(np.log(10))
 
 @dataclass
 class Model:
-    """Fitted parameters and the counts that scoring needs; ``tables`` are made where they are used."""
+    """Fitted parameters and the counts that scoring needs. Rows: the classes, then the vocabulary."""
 
     vectors: np.ndarray
     places: np.ndarray  # (2, DIM, DIM)
     bias: np.ndarray
-    words: list[bytes]  # the head: those of the vocabulary first, from class 1 on
+    words: list[bytes]  # the head: those of the vocabulary first
     counts: np.ndarray
     known: int  # words of the vocabulary
     tokens: int
     types: int
-    rest_tokens: int
-    rest_types: int
+    class_tokens: np.ndarray
+    class_types: np.ndarray
 
 
 def count_tokens(docs: DataFrame, may_learn: Column) -> DataFrame:
@@ -84,11 +87,15 @@ def count_tokens(docs: DataFrame, may_learn: Column) -> DataFrame:
     return staged(texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
 
 
+def class_of(word: bytes) -> int:
+    return crc32(word[:PREFIX]) % CLASSES
+
+
 class Lookup(dict):
-    """Word to its place in the head; -1 for others, which are not kept."""
+    """Word to its place in the head; for others, which are not kept, -1 less their class."""
 
     def __missing__(self, word):
-        return -1
+        return -1 - crc32(word[:PREFIX]) % CLASSES
 
 
 def lookup(words: list[bytes]) -> Lookup:
@@ -96,7 +103,7 @@ def lookup(words: list[bytes]) -> Lookup:
 
 
 def places_of(texts: list[str | None], find: Lookup) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Head places of all tokens, the ends included, the texts' bounds among them, and the tokens."""
+    """Head places of all tokens (or -1 less a class), the ends included, the texts' bounds among them, and the tokens."""
     tokens: list[bytes] = []
     bounds = [0]
     for t in texts:
@@ -178,12 +185,12 @@ def train(docs: DataFrame, may_learn: Column, vocabulary: list[bytes], classes:
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, classes = sent.value
         find, trainer = lookup(vocabulary), Trainer(classes)
-        end = find[END] + 1
+        end = find[END] + CLASSES
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, z in slices(texts):
                 place, bounds, _ = places_of(texts[a:z], find)
-                trainer.fit(place + 1, bounds, end)
+                trainer.fit(np.where(place >= 0, place + CLASSES, -1 - place), bounds, end)
         if trainer.tokens:
             flat = np.concatenate([trainer.flat(), [1.0]]) * trainer.tokens
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["i", "x"])
@@ -208,15 +215,18 @@ def fit_model(docs: DataFrame, may_learn: Column, counts: DataFrame) -> tuple[Mo
         end = rest.pop(at) if at is not None else (counts.filter(F.col("word") == END.decode()).first()["n"], END)
         rest.insert(0, own.pop())
         own.append(end)
-    known = sum(n for n, _ in own)
-    classes = np.array([total["n"] - known, *(n for n, _ in own)], np.float64)
-    vocabulary = [w for _, w in own]
-    if total["n"]:
-        flat = train(docs, may_learn, vocabulary, classes, total["n"])
-    else:
-        flat = np.zeros(DIM + 2 * DIM * DIM + 1)
+    # tokens of each class: those of all its words, less the vocabulary's
+    by_class = counts.groupBy((F.crc32(F.substring(F.col("word").cast("binary"), 1, PREFIX)) % CLASSES).alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"))
+    tokens, types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    for r in by_class.collect():
+        tokens[r["k"]], types[r["k"]] = r["n"], r["v"]
+    for n, w in own:
+        tokens[class_of(w)] -= n
+        types[class_of(w)] -= 1
+    classes = np.concatenate([tokens, [n for n, _ in own]]).astype(np.float64)
+    flat = train(docs, may_learn, [w for _, w in own], classes, total["n"]) if total["n"] else np.zeros(CLASSES * DIM + 2 * DIM * DIM + CLASSES)
     k = len(classes)
-    model = Model(flat[: k * DIM].reshape(k, DIM), flat[k * DIM : k * DIM + 2 * DIM * DIM].reshape(2, DIM, DIM), flat[k * DIM + 2 * DIM * DIM :], [w for _, w in own + rest], np.array([n for n, _ in own + rest], np.float64), len(own), total["n"], total["v"], total["n"] - known, total["v"] - len(own))
+    model = Model(flat[: k * DIM].reshape(k, DIM), flat[k * DIM : k * DIM + 2 * DIM * DIM].reshape(2, DIM, DIM), flat[k * DIM + 2 * DIM * DIM :], [w for _, w in own + rest], np.array([n for n, _ in own + rest], np.float64), len(own), total["n"], total["v"], tokens, types)
     return model, counts.filter(F.col("n") < least)
 
 
@@ -231,22 +241,26 @@ class Scorer:
         self.normal = (np.log(np.maximum(z, 1e-300)) + top1[:, None] + top2[None, :]).astype(np.float32)  # [one before, two before]
         self.one, self.two = one.astype(np.float32), two.astype(np.float32)
         self.find = lookup(m.words)
-        self.logs = np.append(np.log10(m.counts + 1), 0.0)  # a place of -1 is the last: not in the head
-        self.classes = np.append(np.where(np.arange(len(m.words)) < m.known, np.arange(len(m.words)) + 1, 0), 0)
-        self.end = self.find[END] + 1 if m.tokens else 0
+        self.logs = np.append(np.log10(m.counts + 1), 0.0)  # the last is for those not in the head
+        self.classes = np.array([i + CLASSES if i < m.known else class_of(w) for i, w in enumerate(m.words)] + [0], np.int64)
+        self.end = self.find[END] + CLASSES if m.tokens else 0
         self.base = np.log10(m.tokens + m.types + 1)
-        self.rest = np.log10(m.rest_tokens + m.rest_types + 1)
+        self.shares = np.log10(np.append(m.class_tokens + m.class_types + 1, np.ones(m.known)))
+        self.learned = m.tokens > 0
 
     def __call__(self, texts: list[str | None]) -> tuple:
         """Per text: tokens, head tokens, and base and model scores but for what tail tokens add; and the tail tokens of all with their counts per text."""
         place, bounds, tokens = places_of(texts, self.find)
-        ids = self.classes[place]
+        head = place >= 0
+        at = np.where(head, place, len(self.logs) - 1)
+        ids = np.where(head, self.classes[at], -1 - place)
         one, two = contexts(ids, bounds, self.end)
-        p = (self.one[one, ids].astype(np.float64) + self.two[two, ids] - self.normal[one, two]) / LOG10
-        logs = self.logs[place]
-        p += np.where(ids == 0, logs - self.rest, 0.0)
+        logs = self.logs[at]
+        p = (self.one[one, ids].astype(np.float64) + self.two[two, ids] - self.normal[one, two]) / LOG10 + np.where(ids < CLASSES, logs, 0.0) - self.shares[ids]
+        if not self.learned:
+            p = logs - self.base
         starts, n = bounds[:-1], np.diff(bounds)
-        tail = np.flatnonzero(place < 0)
+        tail = np.flatnonzero(~head)
         per = np.bincount(np.searchsorted(bounds, tail, "right") - 1, minlength=len(texts))
         return n, n - per, np.add.reduceat(logs, starts) - n * self.base, np.add.reduceat(p, starts), [tokens[i] for i in tail], per
 

@@ -154,16 +154,19 @@ def test_language_model_is_normalised(docs):
     counts = language_model.count_tokens(docs, F.lit(True))
     model, tail = language_model.fit_model(docs, F.lit(True), counts)
     scorer = language_model.Scorer(model)
-    k = model.known + 1
+    k = model.known + language_model.CLASSES
     for one, two in ((0, 0), (1, 2), (k - 1, 0)):
         p = np.exp(scorer.one[one].astype(float) + scorer.two[two] - scorer.normal[one, two])
-        assert p.sum() == pytest.approx(1, abs=1e-4)
-    # class 0 is shared out among all tokens outside the vocabulary and one for unseen ones
+        assert len(p) == k and p.sum() == pytest.approx(1, abs=1e-4)
+    # a class is shared out among its tokens outside the vocabulary and one for unseen ones
     rest = Counter({r["word"]: r["n"] for r in counts.collect()})
     for w in model.words[: model.known]:
         del rest[w.decode()]
-    share = sum((c + 1) / (model.rest_tokens + model.rest_types + 1) for c in rest.values()) + 1 / (model.rest_tokens + model.rest_types + 1)
-    assert share == pytest.approx(1) and tail.columns == ["word", "n"]
+    shares = 1 / (model.class_tokens + model.class_types + 1)
+    for w, c in rest.items():
+        i = language_model.class_of(w.encode())
+        shares[i] += (c + 1) / (model.class_tokens[i] + model.class_types[i] + 1)
+    assert np.allclose(shares, 1) and tail.columns == ["word", "n"]
     # the tables give the scores that the vectors give
     r, c = model.vectors, model.places
     z = (r[2] @ c[0] + r[1] @ c[1]) @ r.T + model.bias
