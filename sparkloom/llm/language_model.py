@@ -26,9 +26,10 @@ their row; an empty table gives an empty result. Other columns are neither read
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
@@ -62,6 +63,7 @@ class Model:
     types: int
     class_tokens: np.ndarray
     class_types: np.ndarray
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def count_tokens(docs: DataFrame, may_learn: Column) -> DataFrame:
@@ -265,7 +267,7 @@ class Scorer:
         return n, n - per, np.add.reduceat(logs, starts) - n * self.base, np.add.reduceat(p, starts), [tokens[i] for i in tail], per
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
 def score_texts(docs: DataFrame, model: Model, tail: DataFrame, held_out: Column) -> DataFrame:
@@ -274,7 +276,7 @@ def score_texts(docs: DataFrame, model: Model, tail: DataFrame, held_out: Column
     train_tokens = int(model.tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(sent.value)
+        key = sent.value.name
         if key not in _scorers:  # kept for the worker's later tasks
             _scorers.clear()
             _scorers[key] = Scorer(sent.value)
