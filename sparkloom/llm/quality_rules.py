@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import staged
+
 SPACES = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -97,7 +99,7 @@ def references(docs: DataFrame, lang_share: float = LANG_SHARE, word_share: floa
     n_chars = F.char_length(F.array_join("words", ""))
     classes = d.select("lang", F.size("words").alias("n"), class_counts(F.col("text"), n_chars).alias("c"))
     sums = [F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
-    totals = classes.groupBy("lang").agg(F.sum("n").alias("n"), *sums)
+    totals = staged(classes.groupBy("lang").agg(F.sum("n").alias("n"), *sums), "quality-totals")  # read twice below
     # a language with a share has at least that share of all words: at most 1 / lang_share rows come back
     whole = totals.agg(F.sum("n")).first()[0] or 0
     rows = totals.filter(F.col("n") >= F.lit(max(1.0, whole * lang_share))).collect()
