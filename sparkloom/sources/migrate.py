@@ -18,7 +18,7 @@ from sparkloom.sources.evolve import History, migrate_rows
 from sparkloom.sources.store import Store, Transaction, locked, rows_of
 from sparkloom.sources.tables import Table
 
-LEDGER = Table("schema_version", (("aggregate", T.StringType(), False), ("version", T.StringType(), False)), ("aggregate",))
+LEDGER = "schema_version"
 MIGRATION_LOCK = "_migration_lock"
 
 
@@ -47,34 +47,39 @@ class Report:
     steps: tuple[str, ...] = field(default=())
 
 
-def current(store: Store, aggregate: str) -> str | None:
-    if LEDGER.name not in store.names():
+def ledger_table(name: str = LEDGER) -> Table:
+    return Table(name, (("aggregate", T.StringType(), False), ("version", T.StringType(), False)), ("aggregate",))
+
+
+def current(store: Store, aggregate: str, ledger: str = LEDGER) -> str | None:
+    if ledger not in store.names():
         return None
-    row = store.table(LEDGER.name).filter(F.col("aggregate") == F.lit(aggregate)).first()
+    row = store.table(ledger).filter(F.col("aggregate") == F.lit(aggregate)).first()
     return row["version"] if row else None
 
 
-def apply(store: Store, plans: Sequence[Plan]) -> list[Report]:
+def apply(store: Store, plans: Sequence[Plan], ledger: str = LEDGER) -> list[Report]:
     """All plans in one transaction; a failure leaves everything as it was. What is there already is left alone."""
     names = [p.history.name for p in plans]
     if len(set(names)) != len(names):
         raise Refusal("an aggregate is planned twice")
     for p in plans:
         p.history.place(p.target or p.history.latest().version)
-    store.describes(LEDGER)
+    table = ledger_table(ledger)
+    store.describes(table)
     out = []
     with locked(store.root, name=MIGRATION_LOCK), store.transaction() as t:
-        if LEDGER.name not in t.snapshot.tables:
-            t.create(LEDGER)
+        if ledger not in t.snapshot.tables:
+            t.create(table)
         for p in plans:
-            out.append(_one(store, t, p))
+            out.append(_one(store, t, p, ledger))
     return out
 
 
-def _one(store: Store, t: Transaction, plan: Plan) -> Report:
+def _one(store: Store, t: Transaction, plan: Plan, ledger: str) -> Report:
     h, target = plan.history, plan.target or plan.history.latest().version
-    here = current(store, h.name)
-    record = lambda v: t.upsert(LEDGER.name, rows_of(t, LEDGER.name, [{"aggregate": h.name, "version": v}]))
+    here = current(store, h.name, ledger)
+    record = lambda v: t.upsert(ledger, rows_of(t, ledger, [{"aggregate": h.name, "version": v}]))
     if here is None:
         schema = h.at(target).schema
         t.create(Table(plan.table.name, tuple((f.name, f.dataType, f.nullable) for f in schema.fields), plan.table.key, plan.table.unique, plan.table.foreign_keys))

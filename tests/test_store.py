@@ -48,6 +48,10 @@ def test_order_keys_in_one_gap():
         high = key_between(low, high)
         assert low < high
     assert len(high) <= LONGEST
+    ends = [key_between(None, None)]
+    for _ in range(300):
+        ends = [key_between(None, ends[0]), *ends, key_between(ends[-1], None)]
+    assert ends == sorted(set(ends)) and max(map(len, ends)) <= 8
     for n in (0, 1, 61, 500):
         keys = even_keys(n)
         assert keys == sorted(set(keys)) and len(keys) == n
@@ -284,6 +288,7 @@ def test_migration(store, spark):
     h = pallets()
     table = derive(Object("pallet", (Field("id", ID, identity=True), Field("reference", TEXT), Field("stored", TEXT, optional=True))))["pallet"]
     assert migrate.apply(store, [migrate.Plan(h, table, "1.0.0")])[0].steps == ("1.0.0",)
+    assert migrate.current(store, "pallet", "other_ledger") is None
     with store.transaction() as t:
         t.insert("pallet", rows_of(t, "pallet", [{"id": 1, "reference": "P-2", "stored": "Kiel"}]))
     seen = []
