@@ -35,16 +35,17 @@ def _key(value: int, places: int) -> str:
 def key_between(low: str | None, high: str | None) -> str:
     """A key between two others; None is the open end.
 
-    Beside an open end it is the next place of the key's own length, so that long runs of appending grow keys slowly;
-    between two keys, and where that place is taken up, the shortest key that halves the room best.
+    Beside an open end it is the next place of the key's own length, or of one digit more, so that long runs of appending
+    grow keys slowly; between two keys it is the shortest key that halves the room best.
     """
     if low is not None and high is not None and low >= high:
         raise Refusal(f"{low!r} is not before {high!r}")
     if (low is None) != (high is None):
-        end = low if high is None else high
-        beside = _value(end, len(end)) + (1 if high is None else -1)
-        if 0 < beside < BASE ** len(end):
-            return _key(beside, len(end))
+        end, step = (low, 1) if high is None else (high, -1)
+        for places in (len(end), len(end) + 1):
+            beside = _value(end, places) + step
+            if 0 < beside < BASE**places:
+                return _key(beside, places)
     places = 1
     while True:
         # both ends in units of the last place; a longer end is cut, and the low one then rounded up to stay behind it
