@@ -34,6 +34,7 @@ from sparkloom.llm.files import make_dir, open_in, open_out
 
 FRAME_BYTES = 1 << 19
 BUNDLE_BYTES = 1 << 30
+TASK_BYTES = 1 << 25
 MIN_DEDUP = 100
 LEVEL = 3
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -198,8 +199,9 @@ def read_bundles(index: DataFrame) -> DataFrame:
         if file is not None:
             file.close()
 
-    # neighbours of a frame go to one task; frames are of one size, so no bundle is a hot key
-    near = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "start")
+    # a frame's records go to one task, and frames are of one size; tasks by what they will read, as index rows are small
+    total = index.agg(F.sum("length")).first()[0] or 0
+    near = index.repartition(max(1, -(-total // TASK_BYTES)), "bundle", "frame").sortWithinPartitions("bundle", "frame", "start")
     return near.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
