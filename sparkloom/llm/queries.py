@@ -58,7 +58,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_quality(table(spark, sf_dir, "documents"))
+    return judge_quality(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -80,5 +80,59 @@ SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM p LEFT J
 """
 
 
+OP6_SQL = """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, p.digest AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.digest = f.digest AND n >= 100
+"""
+
+#: The references, both distances and the verdict, over whole texts.
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT uid, doc_id, lang, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+b AS (
+    SELECT uid, doc_id, lang, ws, len(ws) AS n, length(array_to_string(ws, '')) AS chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS c0, length(regexp_replace(t, '[^0-9]', '', 'g')) AS c1,
+        length(regexp_replace(t, '[^.,;:!?''"()\-]', '', 'g')) AS c2, length(regexp_replace(t, '[^#*$%&|<>@^~=+_/\\{}\[\]]', '', 'g')) AS c3
+    FROM w),
+dup AS (
+    SELECT uid, count(*) - count(DISTINCT line) AS n FROM (SELECT uid, unnest(string_split(t, chr(10))) AS line FROM d)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY uid),
+win AS (SELECT uid, i, ws[i:i + 7] AS g FROM (SELECT uid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+rep AS (
+    SELECT uid, count(DISTINCT i + k) AS n FROM (SELECT uid, i, count(*) OVER (PARTITION BY uid, g) AS c FROM win), (SELECT unnest(range(0, 8)) AS k)
+    WHERE c > 1 GROUP BY uid),
+tot AS (SELECT lang, sum(n) AS n, sum(c0) AS s0, sum(c1) AS s1, sum(c2) AS s2, sum(c3) AS s3, sum(chars - c0 - c1 - c2 - c3) AS s4 FROM b WHERE lang IS NOT NULL GROUP BY lang),
+ref AS (
+    SELECT lang, n, list_transform([s0, s1, s2, s3, s4], lambda s: s::DOUBLE / greatest(1, s0 + s1 + s2 + s3 + s4)) AS q
+    FROM tot WHERE n >= greatest(1.0, 0.01::DOUBLE * (SELECT sum(n) FROM tot))),
+ww AS (SELECT lang, uid, unnest(ws) AS word FROM b),
+com AS (
+    SELECT c.lang, c.word, c.n::DOUBLE / ref.n AS y FROM (SELECT lang, word, count(*) AS n FROM ww WHERE lang IS NOT NULL GROUP BY lang, word) c
+    JOIN ref ON c.lang = ref.lang WHERE c.n >= greatest(1.0, 0.005::DOUBLE * ref.n)),
+rest AS (SELECT lang, sum(y) AS y FROM com GROUP BY lang),
+own AS (SELECT uid, word, count(*) AS n FROM ww WHERE word IN (SELECT word FROM com) GROUP BY uid, word),
+hit AS (SELECT own.uid, com.lang, own.n::DOUBLE / greatest(1, b.n) AS x, y, (x + y) / 2 AS m FROM own JOIN com ON own.word = com.word JOIN b ON own.uid = b.uid),
+wsum AS (SELECT uid, lang, sum(x) AS x, sum(0.5 * (x * log2(x / m) + y * log2(y / m)) - 0.5 * y) AS j FROM hit GROUP BY uid, lang),
+pair AS (
+    SELECT b.uid, b.n, ref.q, list_transform([c0, c1, c2, c3, chars - c0 - c1 - c2 - c3], lambda c: greatest(c, 0)::DOUBLE / greatest(1, chars)) AS p,
+        greatest(0.0, 1 - coalesce(wsum.x, 0)) AS rx, greatest(0.0, 1 - coalesce(rest.y, 0)) AS ry, coalesce(wsum.j, 0) + 0.5 * coalesce(rest.y, 0) AS j
+    FROM b CROSS JOIN ref LEFT JOIN wsum ON wsum.uid = b.uid AND wsum.lang = ref.lang LEFT JOIN rest ON rest.lang = ref.lang),
+dist AS (
+    SELECT uid, n,
+        sqrt(greatest(0.0, list_sum(list_transform(range(1, 6), lambda i: 0.5 * (CASE WHEN p[i] > 0 THEN p[i] * log2(p[i] / ((p[i] + q[i]) / 2)) ELSE 0 END + CASE WHEN q[i] > 0 THEN q[i] * log2(q[i] / ((p[i] + q[i]) / 2)) ELSE 0 END))))) AS by_chars,
+        sqrt(greatest(0.0, j + 0.5 * (CASE WHEN rx > 0 THEN rx * log2(rx / ((rx + ry) / 2)) ELSE 0 END + CASE WHEN ry > 0 THEN ry * log2(ry / ((rx + ry) / 2)) ELSE 0 END))) AS by_words
+    FROM pair),
+near AS (SELECT uid, bool_or(by_chars <= 0.30::DOUBLE + 2.0::DOUBLE / greatest(1, n) AND by_words <= 0.36::DOUBLE + 2.0::DOUBLE / greatest(1, n)) AS ok FROM dist GROUP BY uid)
+SELECT doc_id, b.n AS n_words, chars AS word_chars, n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+    b.n < 20 OR 100 * coalesce(rep.n, 0) > 30 * b.n AS base_failed,
+    NOT (b.n < 20 OR 100 * coalesce(rep.n, 0) > 30 * b.n) AND coalesce(near.ok, true) AS kept
+FROM b LEFT JOIN dup USING (uid) LEFT JOIN rep USING (uid) LEFT JOIN near USING (uid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL}
+    return {"op1_url_filters": OP1_SQL, "op6_warc": OP6_SQL, "op10_quality_rules": OP10_SQL}
