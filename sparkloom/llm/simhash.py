@@ -174,4 +174,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(uid).alias("u"))
     nodes = staged(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first")), "simhash-nodes")
     stay = staged(classes(nodes, F.min("first")).select(F.col("first.u").alias(uid)).distinct(), "simhash-stay")
-    return rows.join(stay, uid, "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    # sorted and merged at every size: a switch between plans as inputs grow would hide what a larger run needs
+    return rows.join(stay.hint("merge"), uid, "left_semi").select(*[F.col(f"`{c}`") for c in names])
