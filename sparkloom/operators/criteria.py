@@ -10,7 +10,7 @@ from collections.abc import Iterable, Sequence
 
 from sparkloom.kinds import Kind
 from sparkloom.operators import operations as op
-from sparkloom.operators.expr import Apply, Expr, Nulls, Ordering, Refused, Sub, Unsaid, Val, apply, same_kind, term
+from sparkloom.operators.expr import Apply, Col, Expr, Nulls, Ordering, Refused, Sub, Unsaid, Val, apply, same_kind, term
 
 
 def every_row() -> Expr:
@@ -50,6 +50,11 @@ def at_least(a: object, b: object) -> Expr:
     return _compare(op.NO_LESS_THAN, a, b)
 
 
+def column_equals(name: str, value: object) -> Expr:
+    """An unqualified column and a value."""
+    return equal(Col(name), value)
+
+
 def in_(e: Expr, terms: Sequence[object]) -> Expr:
     """One of the terms; of none, no row."""
     terms = [term(t) for t in terms]

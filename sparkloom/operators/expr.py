@@ -9,7 +9,6 @@ from dataclasses import dataclass, field, replace
 from enum import Enum
 
 from sparkloom.kinds import Kind, kind_of_value
-from sparkloom.operators import operations as op
 from sparkloom.operators.operations import Operation
 
 
@@ -234,6 +233,3 @@ def aggregates_of(e: Expr) -> list[Apply]:
         inner = [x for a in e.expr.children() for x in aggregates_of(a)]
         return inner + [x for c in e.children()[1:] for x in aggregates_of(c)]
     return [x for c in e.children() for x in aggregates_of(c)]
-
-
-OVER = op.OVER_WINDOW

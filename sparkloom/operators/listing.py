@@ -20,7 +20,7 @@ from sparkloom.operators import operations as op
 from sparkloom.operators.criteria import after, and_, every_row
 from sparkloom.operators.expr import Apply, Col, Expr, Ordering, Selection, Val
 from sparkloom.plans.select import CTE, SelectQuery, Source, columns_equal, inner_join
-from sparkloom.refusal import PageQueryError, Refusal
+from sparkloom.refusal import PageCursorError, PageQueryError, Refusal
 
 DEFAULT_SIZE, LARGEST = 25, 100
 
@@ -149,7 +149,7 @@ class Listing:
     def cursor_at(self, values: Sequence[object], q: PageQuery | None = None) -> str:
         p = self.plan(q or PageQuery())
         if len(values) != len(p.order):
-            raise PageCursorErrorFor(len(values), len(p.order))
+            raise PageCursorError(f"a position of {len(values)} values where the order has {len(p.order)}")
         return cursor.encode(p.tag, values)
 
     def count(self, engine: Engine, where: Expr | None = None) -> int:
@@ -177,11 +177,6 @@ class Listing:
         return df.repartitionByRange(partitions, *columns).sortWithinPartitions(*columns)
 
 
-class PageCursorErrorFor(PageQueryError):
-    def __init__(self, got: int, wanted: int):
-        super().__init__(f"a position of {got} values where the order has {wanted}")
-
-
 def _equalities(e: Expr) -> list[str]:
     """Columns that a criterion holds to one value, through conjunctions and brackets."""
     if not isinstance(e, Apply):

@@ -80,6 +80,14 @@ class Join:
     how: str
 
 
+def select_columns(*names: str) -> list[Selection]:
+    return [Selection(Col(n)) for n in names]
+
+
+def select_terms(*terms: Expr) -> list[Selection]:
+    return [Selection(t) for t in terms]
+
+
 def inner_join(source: Source, on: Expr) -> Join:
     return Join(source, on, "inner")
 

@@ -50,6 +50,23 @@ def _path(path: str) -> Column:
     return F.col(".".join(quoted(p) for p in path.split(".")))
 
 
+def columns_of(schema: T.StructType, naming: Naming | None = None, documents: Sequence[str] = ()) -> list[str]:
+    """The flat columns of a described value, in its order."""
+    naming = naming or Naming()
+    return [naming.of(p) for p, _ in _leaves(schema, frozenset(documents))]
+
+
+def arguments_of(schema: T.StructType, value: Mapping[str, object], documents: Sequence[str] = ()) -> list[object]:
+    """A value's members in the order of ``columns_of``; what is absent is None."""
+    out = []
+    for path, _ in _leaves(schema, frozenset(documents)):
+        v: object = value
+        for part in path.split("."):
+            v = v.get(part) if isinstance(v, Mapping) else None
+        out.append(v)
+    return out
+
+
 def flattened(df: DataFrame, naming: Naming | None = None, documents: Sequence[str] = ()) -> DataFrame:
     """Value objects as columns; those listed in ``documents`` stay one column."""
     naming = naming or Naming()

@@ -13,7 +13,7 @@ from sparkloom.operators.expr import Unsaid, Window, apply, column, param, refus
 from sparkloom.operators.listing import PageQuery, listing
 from sparkloom.operators.operations import Registry, declare, flip, function, infix
 from sparkloom.operators.search import Match, declare_search, matches, words_of
-from sparkloom.plans.select import SelectQuery, from_, from_query, inner_join
+from sparkloom.plans.select import SelectQuery, from_, from_query, inner_join, select_columns, select_terms
 from sparkloom.refusal import NoRows, PageCursorError, PageQueryError, Refusal, SeveralRows
 
 
@@ -156,6 +156,11 @@ def test_one_row(spark, reviewed):
     assert reviewed.query_row("SELECT ? + ? AS x", 1, 2)["x"] == 3
 
 
+def test_unqualified_columns(reviewed):
+    q = SelectQuery(select=[*select_columns("id"), *select_terms(R.of("rating"))], source=from_("reviewed"), where=cr.column_equals("id", 3))
+    assert tuple(reviewed.row(q)) == (3, 5)
+
+
 def test_aggregates_and_windows(reviewed):
     rank = fn.count().over(Window(order_by=[fn.coalesce(R.of("rating"), 0).desc()]))
     rows = reviewed.compile(SelectQuery(select=[R.of("id").as_("id"), rank.as_("n")], source=R)).collect()

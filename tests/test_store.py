@@ -19,7 +19,7 @@ from sparkloom.sources import migrate
 from sparkloom.sources.collection import FIRST, LAST, Collection, after, before
 from sparkloom.sources.evolve import Addition, History, Recomputation, Removal, Rename, Retype, migrate_rows, migrate_value
 from sparkloom.sources.execute import execute
-from sparkloom.sources.mapping import flattened, snake_case, unflattened
+from sparkloom.sources.mapping import arguments_of, columns_of, flattened, snake_case, unflattened
 from sparkloom.sources.repository import Repository
 from sparkloom.sources.store import Snapshot, Store, rows_of, transact
 from sparkloom.sources.tables import Field, Index, Object, Reference, Rule, Scalar, Sequence_, derive, join_by_key
@@ -98,6 +98,8 @@ def test_nullable_value_object_round_trip(spark):
     got = {r["id"]: r["art"] for r in unflattened(flat, df.schema).collect()}
     assert got[2] is None and got[3] is None and got[1]["back"]["a"] == 1
     assert flattened(df, documents=["art"]).columns == ["id", "art"]
+    assert columns_of(df.schema) == flat.columns
+    assert arguments_of(df.schema, {"id": 1, "art": {"poster": "p", "back": None}}) == [1, "p", None, None]
 
 
 @pytest.fixture
