@@ -12,13 +12,13 @@ from collections import defaultdict
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.engine import Engine
 from sparkloom.operators.expr import Expr
 from sparkloom.operators.listing import Listing, Page, PageQuery
-from sparkloom.operators.positions import placed
+from sparkloom.operators.positions import GAP, placed
 from sparkloom.plans.compile import quoted
 from sparkloom.plans.select import SelectQuery
 from sparkloom.refusal import NoRows, Refusal, SeveralRows
@@ -328,6 +328,93 @@ class Repository:
 
         return transact(self.store, work)
 
+    def rows_of(self, nested: DataFrame) -> dict[str, DataFrame]:
+        """Nested rows, a row an aggregate with the object's fields, as rows of every table: projections and explodes only."""
+        out: dict[str, DataFrame] = {}
+
+        def go(o: Object, table: Table, rows: DataFrame, up: list[str]) -> None:
+            columns, below = [F.col(quoted(c)) for c in up], []
+
+            def add(f: Field, path: str, c: Column) -> None:
+                if isinstance(f.type, Sequence_) or (isinstance(f.type, Object) and f.type.identity()):
+                    below.append((f, path, c))
+                elif isinstance(f.type, Object) and path not in o.documents:
+                    for m in f.type.fields:
+                        add(m, f"{path}.{m.name}", c[m.name])
+                else:
+                    columns.append(c.alias(self.naming.of(path)))
+
+            for f in o.fields:
+                add(f, f.name, F.col("_value")[f.name])
+            own = rows.select(*columns, *[c.alias(f"_below_{i}") for i, (_, _, c) in enumerate(below)])
+            out[table.name] = own.select(*[F.col(quoted(n)) for n, _, _ in table.columns if n in own.columns])
+            for i, (f, path, _) in enumerate(below):
+                child = next(t for t in self.children(table.name) if t.field == path)
+                links = next(k for k in child.foreign_keys if k.table == table.name)
+                key = [F.col(quoted(k)).alias(c) for c, k in zip(links.columns, links.keys, strict=True)]
+                target = f.type.of if isinstance(f.type, Sequence_) else f.type
+                if not isinstance(f.type, Sequence_):
+                    go(target, child, own.filter(F.col(f"_below_{i}").isNotNull()).select(*key, F.col(f"_below_{i}").alias("_value")), list(links.columns))
+                    continue
+                listed = own.select(*key, F.posexplode(f"_below_{i}").alias(POSITION, "_value")).withColumn(POSITION, F.col(POSITION) * GAP)
+                if isinstance(target, Reference):
+                    other = next(c for c in child.key if c not in links.columns)
+                    out[child.name] = listed.select(*links.columns, F.col("_value").alias(other), POSITION)
+                else:
+                    go(target, child, listed, [*links.columns, POSITION])
+
+        go(self.root, self.layout[self.name], nested.select(F.struct("*").alias("_value")), [])
+        return out
+
+    def load(self, nested: DataFrame) -> int:
+        """Any number of new aggregates from nested rows: one distributed write per table. The number of roots."""
+
+        def work(t: Transaction) -> int:
+            rows = self.rows_of(nested)
+            return [t.insert(name, rows[name]) for name in self.layout][0]
+
+        return transact(self.store, work)
+
+    def nested(self, roots: DataFrame | None = None) -> DataFrame:
+        """All stored aggregates, or those of given roots, as nested rows: one aggregation and one join per child table."""
+        frames = self.frames(self.store.table(self.name) if roots is None else roots)
+
+        def build(o: Object, table: Table) -> DataFrame:
+            df = frames[table.name]
+            for child in self.children(table.name):
+                f = self._field(o, child.field)
+                target = f.type.of if isinstance(f.type, Sequence_) else f.type
+                links = next(k for k in child.foreign_keys if k.table == table.name)
+                if isinstance(target, Reference):
+                    inner = frames[child.name].withColumn("_value", F.col(quoted(next(c for c in child.key if c not in links.columns))))
+                else:
+                    inner = build(target, child)
+                place = F.col(POSITION) if not child.single else F.lit(0)
+                lists = inner.groupBy(*[F.col(quoted(c)).alias(f"_k{i}") for i, c in enumerate(links.columns)]).agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), F.col("_value").alias("v")))).alias("_list"))
+                values = F.transform("_list", lambda x: x["v"])
+                lists = lists.select(*[f"_k{i}" for i in range(len(links.columns))], (values if isinstance(f.type, Sequence_) else values[0]).alias(f"_field_{child.field}"))
+                on = [F.col(quoted(k)) == F.col(f"_k{i}") for i, k in enumerate(links.keys)]
+                empty = F.array().cast(lists.schema[f"_field_{child.field}"].dataType) if isinstance(f.type, Sequence_) else F.lit(None)
+                joined = df.join(lists, on, "left")
+                df = joined.select(*[F.col(quoted(c)) for c in df.columns], F.coalesce(F.col(quoted(f"_field_{child.field}")), empty).alias(f"_field_{child.field}"))
+
+            def value(f: Field, path: str) -> Column:
+                if isinstance(f.type, Sequence_) or (isinstance(f.type, Object) and f.type.identity()):
+                    return F.col(quoted(f"_field_{path}"))
+                if isinstance(f.type, Object) and path not in o.documents:
+                    made = F.struct(*[value(m, f"{path}.{m.name}").alias(m.name) for m in f.type.fields])
+                    if not f.optional:
+                        return made
+                    absent = F.lit(True)
+                    for m in f.type.fields:
+                        absent = absent & value(m, f"{path}.{m.name}").isNull()
+                    return F.when(~absent, made)
+                return F.col(quoted(self.naming.of(path)))
+
+            return df.withColumn("_value", F.struct(*[value(f, f.name).alias(f.name) for f in o.fields]))
+
+        return build(self.root, self.layout[self.name]).select("_value.*")
+
     def delete(self, identity: object) -> int:
         """The root and all beneath it; the number of roots that went."""
         return transact(self.store, lambda t: t.delete(self.name, self._is(t.table(self.name), identity)))

@@ -213,6 +213,18 @@ def test_whole_aggregates_in_a_page(lists, spark):
     assert [v["id"] for v in lists.page(e, lst, PageQuery(after=page.next)).items] == [3, 2]
 
 
+def test_nested_rows_in_bulk(lists, spark):
+    values = [{"id": i, "name": f"l{i}", "homePlace": {"city": "c", "zip": None} if i % 2 else None, "tracks": [song(k) for k in range(i)][::-1], "cover": {"id": i, "caption": "x"} if i % 3 == 0 else None, "tags": [3, 1][: i % 3]} for i in range(1, 8)]
+    track, place = "array<struct<id:long,title:string,seconds:int>>", "struct<city:string,zip:string>"
+    nested = spark.createDataFrame(values, f"id long, name string, homePlace {place}, tracks {track}, cover struct<id:long,caption:string>, tags array<long>")
+    assert lists.load(nested) == 7
+    for v in values:
+        assert lists.find(v["id"]) == v
+    got = sorted((r.asDict(recursive=True) for r in lists.nested().collect()), key=lambda v: v["id"])
+    assert got == values
+    assert lists.save(values[3]) == 0
+
+
 def test_represented_fields(store):
     o = Object("shelf", (Field("id", ID, identity=True), Field("tags", TEXT, optional=True)))
     repo = Repository(store, o, represent={"shelf.tags": (",".join, lambda t: t.split(","))})
