@@ -39,6 +39,15 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+BATCH_BYTES, _BATCH_SETTING, _BATCH_DEFAULT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches sent to Python hold about 8 MB, whatever the length of texts; a setting of the caller's own is left alone."""
+    if str(spark.conf.get(_BATCH_SETTING)).rstrip("b") == str(_BATCH_DEFAULT):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once to the shared folder and read again: cuts its lineage, and survives lost executors."""
     spark = df.sparkSession

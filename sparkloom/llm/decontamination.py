@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import HashCache, mix64, plain_words, slices
+from sparkloom.llm.common import HashCache, bound_batches, mix64, plain_words, slices
 
 SEED_WORDS, LEAST_WORDS, SIMILARITY = 4, 5, 0.8
 RARE_SHARE = 0.001
@@ -164,6 +164,7 @@ def _hashes(texts: list[str | None], cache: HashCache) -> tuple[np.ndarray, np.n
 
 def blocks_of(benchmark: DataFrame, docs: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
     """The benchmark's blocks one by one, with the rarity of their seeds counted over all documents."""
+    bound_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").alias("text")).filter("text is not null")
     size = F.sum(F.char_length("text"))
     n = max(1, -(-int(items.agg(size).first()[0] or 0) // (6 * block_words)))

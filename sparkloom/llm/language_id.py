@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import crc_mod, slices
+from sparkloom.llm.common import bound_batches, crc_mod, slices
 
 BUCKETS, DIM, SIZES = 1 << 16, 16, (2, 3, 4)
 TRAIN_DOCS, MAX_LANGS, EPOCHS, RATE = 4000, 200, 6, 0.5
@@ -130,6 +130,7 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[
 
 def fit_languages(docs: DataFrame, may_learn: Column, train_docs: int = TRAIN_DOCS) -> Model | None:
     """Learns from a bounded sample of the rows where ``may_learn``; None if there is no labelled row."""
+    bound_batches(docs.sparkSession)
     labelled = docs.select(F.col("doc_id").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").alias("text"), may_learn.alias("may")).filter("may and lang is not null and text is not null")
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
     if not counts:
@@ -169,6 +170,7 @@ def predict_texts(model: Model | None, texts: list[str | None]) -> tuple[list[st
 
 def identify_languages(docs: DataFrame, model: Model | None, held_out: Column | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every document."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,6 +186,7 @@ def identify_languages(docs: DataFrame, model: Model | None, held_out: Column |
 
 def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs``, all columns, that the model doesn't reject."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import crc_mod, lower_words, slices, staged
+from sparkloom.llm.common import bound_batches, crc_mod, lower_words, slices, staged
 
 VOCABULARY, DIM = 2048, 16
 CLASSES, PREFIX = 256, 3
@@ -85,6 +85,7 @@ def count_tokens(docs: DataFrame, may_learn: Column) -> DataFrame:
                     yield made()
         yield made()
 
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col("text").alias("text"), may_learn.alias("may")).filter("may").select("text")
     return staged(texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
 

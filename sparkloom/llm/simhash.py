@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import lower_words, slices, staged
+from sparkloom.llm.common import bound_batches, lower_words, slices, staged
 
 BITS, DISTANCE, SEGMENTS, SHINGLE, SEED = 64, 2, 8, 3, 42
 PAIRS_BELOW = 16
@@ -132,6 +132,7 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
             for a, z in slices(texts):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:z], pa.array(fingerprint_all(texts[a:z]))], ["doc_id", "fp"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -155,6 +156,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, one of each component: that of the smallest doc_id (null last), then the first read."""
+    bound_batches(docs.sparkSession)
     at, names = docs.columns.index("text"), docs.columns
     fp = next(c for c in ("fp", *(f"fp_{i}" for i in range(len(names) + 1))) if c.lower() not in {n.lower() for n in names})
     uid = f"{fp}_row"

@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import fresh_path, slices
+from sparkloom.llm.common import bound_batches, fresh_path, slices
 
 END = 2
 MAX_LENGTH = 16
 STRIDE = 128
 BLOCK_TOKENS = 1 << 16
-CACHE = 700_000
+CACHE = 500_000
 STOPS = b".,;:!?*#$%&|<>)]}\""
 SIGMA = "\u03a3"  # lower-cased by its place in a word in Python, alone in the library
 NULL_ID = -(1 << 63)
@@ -264,6 +264,7 @@ def stage_ids(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
                 yield made(batch.column(0)[a:z], n, [short[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], [None] * len(n))
         yield made([None], [None], [None], [own.tobytes()])
 
+    bound_batches(docs.sparkSession)
     path = fresh_path(docs.sparkSession, "token-ids")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     read.mapInArrow(encode, IDS).write.option("compression", "zstd").parquet(path)
@@ -355,6 +356,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end: int = END,
 
 def read_tokens(spark: SparkSession, out_dir: str, with_ids: bool = True) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32 and, if wanted, ids (array<int>)."""
+    bound_batches(spark)
     book = spark.read.parquet(f"{out_dir}/codebook").first()
     lengths, stride = bytes(book["lengths"]), book["stride"]
     read = spark.read.schema(BLOCKS).parquet(f"{out_dir}/blocks")

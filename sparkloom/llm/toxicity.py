@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import crc_mod, mix64, plain_words, slices, staged
+from sparkloom.llm.common import bound_batches, crc_mod, mix64, plain_words, slices, staged
 
 TRAIN_DOCS, EPOCHS = 4000, 10
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 6.0, 1.0
@@ -136,6 +136,7 @@ def ftrl(docs: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Weights:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, train_docs: int = TRAIN_DOCS) -> Weights:
+    bound_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(may_learn)
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
@@ -172,6 +173,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, train_do
 
 def score_toxicity(docs: DataFrame, model: Weights, held_out: Column, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import fresh_path, staged
+from sparkloom.llm.common import bound_batches, fresh_path, staged
 from sparkloom.llm.files import make_dir, open_in, open_out
 
 FRAME_BYTES = 1 << 19
@@ -169,6 +169,7 @@ def write_bundles(pages: DataFrame, out_dir: str, min_dedup: int = MIN_DEDUP, fr
 
     make_dir(out_dir)
     spark = pages.sparkSession
+    bound_batches(spark)
     index = _typed(pages, min_dedup).select("page_id", "url", "html", "digest", "refers_to").mapInArrow(write, INDEX)
     index.write.parquet(f"{out_dir}/index")
     return spark.read.schema(INDEX).parquet(f"{out_dir}/index")
