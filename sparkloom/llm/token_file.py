@@ -37,7 +37,7 @@ from sparkloom.llm.common import bound_batches, fresh_path, slices
 END = 2
 MAX_LENGTH = 16
 STRIDE = 128
-BLOCK_TOKENS = 1 << 16
+BLOCK_TOKENS = 1 << 18
 CACHE = 500_000
 STOPS = b".,;:!?*#$%&|<>)]}\""
 SIGMA = "\u03a3"  # lower-cased by its place in a word in Python, alone in the library
@@ -111,13 +111,15 @@ def pack(ids: np.ndarray, bounds: np.ndarray, codes: np.ndarray, lengths: np.nda
     counts = np.diff(bounds)
     at = total[:-1] + np.repeat(starts[:-1] * 8 - total[bounds[:-1]], counts)  # bit of each token
     words = np.zeros(int(starts[-1]) // 4 + 3, np.uint64)  # of 32 bits each, in the low half
-    room = 64 - (at & 31) - size
-    both = codes[ids].astype(np.uint64) << room.astype(np.uint64)  # a code of at most 32 bits lies in two words
-    slot = at >> 5
-    for part, place in ((both >> np.uint64(32), slot), (both & np.uint64(0xFFFFFFFF), slot + 1)):
-        if len(place):
-            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            words[place[first]] |= np.bitwise_or.reduceat(part, first)
+    if len(ids):
+        # a code of at most 32 bits, moved to its bit, lies in two words
+        both = (codes.astype(np.uint64) << (64 - lengths.astype(np.uint64)) % np.uint64(64))[ids] >> (at & 31).astype(np.uint64)
+        slot = at >> 5
+        first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+        words[slot[first]] = np.bitwise_or.reduceat(both >> np.uint64(32), first)
+        low = both & np.uint64(0xFFFFFFFF)
+        over = np.flatnonzero(low)  # the last code of a word at most
+        words[slot[over] + 1] |= low[over]
     raw = words.astype(">u4").tobytes()
     out = []
     for i in range(len(counts)):
@@ -216,6 +218,10 @@ class Encoder:
         self.young[word] = known
         return known
 
+    def rest(self) -> None:
+        """Between tasks only the young generation is kept: words not used since it began are rare."""
+        self.old = {}
+
     def __call__(self, texts: list[bytes | str | None]) -> list[bytes]:
         if len(self.young) > self.most:
             self.young, self.old = Generation(self._learn), dict(self.young)
@@ -262,6 +268,7 @@ def stage_ids(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
                 n = [len(x) // 4 for x in raw]
                 ends, short = np.cumsum([0, *n]), ids.astype(narrow)
                 yield made(batch.column(0)[a:z], n, [short[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], [None] * len(n))
+        encoder(tokenizer).rest()
         yield made([None], [None], [None], [own.tobytes()])
 
     bound_batches(docs.sparkSession)
