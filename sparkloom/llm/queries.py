@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import language_id, toxicity
-from sparkloom.llm.common import table
+from sparkloom.llm.common import spread, table
 from sparkloom.llm.decontamination import contaminated
 from sparkloom.llm.language_model import score_documents
 from sparkloom.llm.quality_rules import judge_quality
@@ -19,46 +19,46 @@ from sparkloom.llm.warc_bundle import bundle_pages
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"), rules_of(spark))
+    return judge_urls(spread(table(spark, sf_dir, "pages")), rules_of(spark))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held = table(spark, sf_dir, "documents"), toxicity.held_out()
+    docs, held = spread(table(spark, sf_dir, "documents")), toxicity.held_out()
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held)
     return toxicity.score_toxicity(docs, model, held)
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_table(table(spark, sf_dir, "documents"))
+    return token_table(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"))
+    return score_documents(spread(table(spark, sf_dir, "documents")))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(spread(table(spark, sf_dir, "documents")))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bundle_pages(table(spark, sf_dir, "pages"))
+    return bundle_pages(spread(table(spark, sf_dir, "pages")))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held = table(spark, sf_dir, "documents"), language_id.held_out()
+    docs, held = spread(table(spark, sf_dir, "documents")), language_id.held_out()
     return language_id.identify_languages(docs, language_id.fit_languages(docs, ~held), held)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_quality(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+    return judge_quality(spread(table(spark, sf_dir, "documents"))).drop("char_distance", "word_distance")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
