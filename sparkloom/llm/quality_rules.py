@@ -116,14 +116,20 @@ def references(docs: DataFrame, lang_share: float = LANG_SHARE, word_share: floa
     return out
 
 
-def js_distance(p: list[Column], q: list[float]) -> Column:
-    """Square root of the Jensen-Shannon divergence in bits."""
+def js_distance(p: Column, q: list[float]) -> Column:
+    """Square root of the Jensen-Shannon divergence in bits, of an array and a reference.
 
-    def part(x: Column, m: Column) -> Column:
-        return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
+    Written over arrays, not as a sum of columns: spelled out for every word of every language it would be a generated
+    method so large that compiling it takes the executor more memory than the data.
+    """
 
-    terms = [0.5 * (part(x, (x + y) / 2) + part(F.lit(float(y)), (x + y) / 2)) for x, y in zip(p, q, strict=True)]
-    return F.sqrt(F.greatest(sum(terms[1:], terms[0]), F.lit(0.0)))
+    def term(x: Column, y: Column) -> Column:
+        m = (x + y) / 2
+        both = x * F.log2(x / m) + F.when(y > 0, y * F.log2(y / m)).otherwise(F.lit(0.0))
+        return 0.5 * F.when(x > 0, both).otherwise(y)  # where x is 0, y log(y / m) is y
+
+    terms = F.zip_with(p, F.array(*[F.lit(float(y)) for y in q]), term)
+    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
 def judge_quality(docs: DataFrame, refs: list[dict] | None = None, max_chars: float = MAX_CHARS, max_words: float = MAX_WORDS) -> DataFrame:
@@ -137,19 +143,25 @@ def judge_quality(docs: DataFrame, refs: list[dict] | None = None, max_chars: fl
         common = F.transform(F.filter("words", lambda w: w.isin(known)), lambda w: F.array_position(listed, w).cast("int"))
     else:
         common = F.array().cast("array<int>")
-    b = b.withColumn("common", common).withColumn("classes", class_counts(F.col("text"), F.col("word_chars")))
-    b = b.drop("words", "text")
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
-    fits, by_lang = F.lit(not refs), []
-    for r in refs:
-        in_class = [F.greatest(F.col("classes")[i], F.lit(0.0)) / chars for i in range(len(CLASSES) + 1)]
-        shares = [(F.size("common") - F.size(F.array_remove("common", place[w]))) / n for w in r["words"]]
-        rest = F.greatest(F.lit(1.0) - sum(shares, F.lit(0.0)), F.lit(0.0))
-        by_chars = js_distance(in_class, r["chars"])
-        by_words = js_distance([*shares, rest], [*r["shares"], max(0.0, 1 - sum(r["shares"]))])
-        by_lang.append(F.struct(by_chars.alias("c"), by_words.alias("w")))
-    b = b.withColumn("by_lang", F.array(*by_lang) if by_lang else F.array().cast("array<struct<c:double,w:double>>"))
+    kind = "array<struct<c:double,w:double>>"
+
+    def shares(counts: Column, r: dict) -> Column:
+        """Of each common word of a reference, and of all other words."""
+        own = F.transform(F.array(*[F.lit(place[w]) for w in r["words"]]).cast("array<int>"), lambda i: F.get(counts, i - 1) / n)
+        return bound(own, lambda x: F.concat(x, F.array(F.greatest(F.lit(1.0) - F.aggregate(x, F.lit(0.0), lambda a, y: a + y), F.lit(0.0)))))
+
+    def distances(classes: Column, counts: Column) -> Column:
+        in_class = F.transform(classes, lambda c: F.greatest(c, F.lit(0.0)) / chars)
+        return F.array(*[F.struct(js_distance(in_class, r["chars"]).alias("c"), js_distance(shares(counts, r), [*r["shares"], max(0.0, 1 - sum(r["shares"]))]).alias("w")) for r in refs]).cast(kind)
+
+    b = b.withColumn("common", common).withColumn("classes", class_counts(F.col("text"), F.col("word_chars"))).drop("words", "text")
+    # how often each of the known words occurs; small expressions over a column, which Spark compiles one by one
+    counts = F.array(*[F.size("common") - F.size(F.array_remove("common", k + 1)) for k in range(len(known))]).cast("array<int>")
+    by_lang = bound(F.col("classes"), lambda cl: bound(counts, lambda k: distances(cl, k))) if refs else F.array().cast(kind)
+    b = b.withColumn("by_lang", by_lang)
+    fits = F.lit(not refs)
     more = SLACK / n
     near = (F.col("n_words") < MIN_JUDGED) | F.exists("by_lang", lambda x: (x["c"] <= max_chars + more) & (x["w"] <= max_words + more))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
