@@ -1,17 +1,19 @@
-"""Benchmark decontamination: rare n-gram seeds join documents to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: an item's rarest words join documents to it, Smith-Waterman alignment scores them.
 
-Words are runs of letters and digits of the lower-cased text. Seeds are the items' ``SEED_WORDS``-grams. A first pass over
-all documents counts in how many each seed occurs; a seed is rare if that is at most ``RARE_SHARE`` of the documents. A
-second pass finds each document's seeds again, groups them by item and place, and aligns the item with that place if
-it has a rare seed or two different ones: so a common phrase alone costs no alignment, and a passage that leaked into
-very many documents is still found by its several seeds.
+Words are runs of letters and digits of the lower-cased text. Alignment is local, over words: +1 for an equal pair, -0.5
+for an unequal pair or a skipped word. A document is contaminated by an item if its alignment has equal words for at least
+``SIMILARITY`` of the item's.
 
-Alignment is local, over words: +1 for an equal pair, -0.5 for an unequal pair or a skipped word. A document is
-contaminated by an item if its alignment has equal words for at least ``SIMILARITY`` of the item's. Four-word seeds, not
-five, find candidates: an item with a fifth of its words changed evenly has no run of five left but has runs of four.
+Which documents are aligned with an item follows from that criterion alone, so no edited copy is lost to it. An alignment
+that meets it leaves out at most a fifth of the item's n words, and as its score is above 0 it lies within 3 n words of
+text. So of any choice of the item's words, no more are absent from those 3 n words than a fifth of the item can hold: of
+its n / 5 + k rarest ones (its signature), k are there. A first pass over all documents counts how often each of the
+items' words occurs, and by that each item gets the k that costs least; the counts change no result. A second pass finds
+the signatures' words, and where a text has k of an item's within 3 n words, and as many words of the item as the
+criterion asks for, these are aligned. Copies in very many documents are all aligned, whatever their words' frequency.
 
-The benchmark is read in blocks of about ``BLOCK_WORDS`` words; a block's words and seeds are broadcast (about 40 bytes a
-word, so 40 MB at most), and all documents pass each block.
+The benchmark is read in blocks of about ``BLOCK_WORDS`` words; a block's words and signatures are broadcast (about 40
+bytes a word, so 40 MB at most), and all documents pass each block.
 
 Defined cases: items that are null or shorter than ``LEAST_WORDS`` are not searched, as chance repeats so few words; null
 and empty texts are clean; repeated items and rows are each judged; empty tables give empty results. Only doc_id and text
@@ -20,7 +22,7 @@ are read by ``contaminated``; ``keep_clean`` returns the columns of its input.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,53 +32,63 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import HashCache, bound_batches, mix64, plain_words, slices
+from sparkloom.llm.common import HashCache, bound_batches, plain_words, slices
 
-SEED_WORDS, LEAST_WORDS, SIMILARITY = 4, 5, 0.8
-RARE_SHARE = 0.001
+LEAST_WORDS, SIMILARITY = 5, 0.8
 GAP, UNEQUAL = 0.5, 0.5
+#: An alignment whose score is above 0 spans fewer words of text than this many times the item's.
+SPAN = 3
+#: What a pair of text and item costs that must be looked at, in occurrences of a signature's words; the most owners met at once.
+PAIR_COST, MOST_OWNED = 500, 1 << 22
 BLOCK_WORDS = 1_000_000
 BITMAP = 1 << 22
 
 
-def grams(h: np.ndarray, n: int = SEED_WORDS) -> np.ndarray:
-    """A hash for each run of n word hashes."""
-    if len(h) < n:
-        return np.empty(0, np.uint64)
-    out = h[: len(h) - n + 1].copy()
-    for k in range(1, n):
-        out = mix64(out) + h[k : len(h) - n + 1 + k]
-    return mix64(out)
+class Lookup:
+    """Sorted, distinct word hashes, found in long arrays of them by a bitmap first."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.bitmap = words, None
+
+    def __getstate__(self):
+        return {**self.__dict__, "bitmap": None}
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``h`` that hold one of the words, and which."""
+        if self.bitmap is None:
+            self.bitmap = np.zeros(BITMAP, bool)
+            self.bitmap[self.words & np.uint64(BITMAP - 1)] = True
+        some = np.flatnonzero(self.bitmap[h & np.uint64(BITMAP - 1)])
+        if not len(some) or not len(self.words):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.words, h[some]), len(self.words) - 1)
+        same = self.words[at] == h[some]
+        return some[same], at[same]
 
 
 @dataclass
 class Block:
-    """Items of the benchmark with an index of their seeds."""
+    """Items of the benchmark."""
 
     ids: list
     words: list[np.ndarray]  # word hashes of each item
-    seeds: np.ndarray  # sorted, distinct
-    owners: list[list[tuple[int, int]]]  # of each seed: (item, place)
-    rare: np.ndarray
-    bitmap: np.ndarray | None = None
+    known: Lookup  # of all items' words
+    often: np.ndarray  # how often each of them occurs in the documents
+    documents: int = 0
 
-    def __getstate__(self):
-        return {**self.__dict__, "bitmap": None}
 
-    def hits(self, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``h`` (texts begin at ``starts``) where a seed begins, and the seeds."""
-        if self.bitmap is None:
-            self.bitmap = np.zeros(BITMAP, bool)
-            self.bitmap[self.seeds & np.uint64(BITMAP - 1)] = True
-        g = grams(h)
-        if not len(g) or not len(self.seeds):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        some = np.flatnonzero(self.bitmap[g & np.uint64(BITMAP - 1)])
-        at = np.minimum(np.searchsorted(self.seeds, g[some]), len(self.seeds) - 1)
-        same = self.seeds[at] == g[some]
-        some, at = some[same], at[same]
-        inside = np.searchsorted(starts, some, "right") == np.searchsorted(starts, some + SEED_WORDS - 1, "right")
-        return some[inside], at[inside]
+@dataclass
+class Index:
+    """A block's items by the words of their signatures, for one similarity."""
+
+    ids: list
+    words: list[np.ndarray]
+    sizes: np.ndarray  # words of each item
+    need: np.ndarray  # of each item: equal words asked for
+    least: np.ndarray  # of each item: distinct words of its signature that a similar passage holds at least
+    signs: Lookup  # all signatures' words
+    first: np.ndarray  # of each of these words, where its items begin in owners; one more
+    owners: np.ndarray
 
 
 def word_cache() -> HashCache:
@@ -85,16 +97,47 @@ def word_cache() -> HashCache:
 
 def block_of(items: list[tuple]) -> Block:
     """``items``: (id, text)."""
-    cache, ids, words, owners = word_cache(), [], [], defaultdict(list)
+    cache, ids, words = word_cache(), [], []
     for i, text in items:
         h = cache.array(plain_words(text))
         if len(h) >= LEAST_WORDS:
-            for place, g in enumerate(grams(h).tolist()):
-                owners[g].append((len(ids), place))
             ids.append(i)
             words.append(h)
-    seeds = np.array(sorted(owners), np.uint64)
-    return Block(ids, words, seeds, [owners[g] for g in seeds.tolist()], np.ones(len(seeds), bool))
+    known = np.unique(np.concatenate(words)) if words else np.empty(0, np.uint64)
+    return Block(ids, words, Lookup(known), np.zeros(len(known), np.int64))
+
+
+def signature(times: np.ndarray, rate: np.ndarray, miss: int) -> tuple[int, int]:
+    """How many of an item's words, rarest first, make its signature, and how many of these a passage without ``miss`` words holds.
+
+    ``times``: how often the item has each distinct word; ``rate``: how often a document has it.
+    """
+    best, load = None, np.cumsum(rate)  # the item has more than ``miss`` words, so some size does
+    for size in range(1, min(len(times), miss + 8) + 1):
+        # the most words that can be absent are those that the item has fewest times
+        held = size - int(np.searchsorted(np.cumsum(np.sort(times[:size])), miss, "right"))
+        if held > 0:
+            cost = load[size - 1] + PAIR_COST * min(1.0, load[size - 1] ** held / math.factorial(held))
+            if best is None or cost < best[0]:
+                best = cost, size, held
+    return best[1:]
+
+
+def index_of(block: Block, similarity: float = SIMILARITY) -> Index:
+    sizes = np.array([len(w) for w in block.words], np.int64)
+    need = np.array([max(1, math.ceil(similarity * n)) for n in sizes.tolist()], np.int64)
+    least, words, owners = np.ones(len(sizes), np.int64), [], []
+    for i, w in enumerate(block.words):
+        own, times = np.unique(w, return_counts=True)
+        rate = block.often[np.searchsorted(block.known.words, own)] / max(1, block.documents)
+        order = np.argsort(rate, kind="stable")
+        size, least[i] = signature(times[order], rate[order], int(sizes[i] - need[i]))
+        words.append(own[order[:size]])
+        owners.append(np.full(size, i, np.int32))
+    words, owners = np.concatenate(words), np.concatenate(owners)
+    order = np.argsort(words, kind="stable")
+    signs, first = np.unique(words[order], return_index=True)
+    return Index(block.ids, block.words, sizes, need, least, Lookup(signs), np.append(first, len(words)), owners[order])
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, float, int, int]:
@@ -125,36 +168,27 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, float, int, int]:
     return best
 
 
-def judge(block: Block, h: np.ndarray, places: np.ndarray, seeds: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, float, float, int, int]]:
-    """Items that a text (word hashes ``h``) holds: (item, share of equal words, score, first word, one past the last)."""
-    by_item: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    for place, seed in zip(places.tolist(), seeds.tolist(), strict=True):
-        for item, own in block.owners[seed]:
-            by_item[item].append((place - own, place, seed))
-    out = []
-    for item, found in by_item.items():
-        words = block.words[item]
-        need, found_at = similarity * len(words), None
-        found.sort()
-        slack = len(words) // 2 + 2  # words that a similar passage may have more or fewer
-        group: list = []
-        for x in [*found, None]:
-            if x is not None and (not group or x[0] - group[-1][0] <= slack):
-                group.append(x)
-                continue
-            kinds = {s for _, _, s in group}
-            if len(kinds) > 1 or any(block.rare[s] for s in kinds):
-                a = max(0, min(d for d, _, _ in group) - slack)
-                z = min(len(h), max(d for d, _, _ in group) + len(words) + slack)
-                here = h[a:z]
-                if np.isin(words, here).sum() >= need:  # else no alignment can reach it
-                    equal, score, first, last = align(words, here)
-                    if equal >= need and (found_at is None or (equal, score) > found_at[:2]):
-                        found_at = equal, score, a + first, a + last
-            group = [x] if x is not None else []
-        if found_at is not None:
-            out.append((item, found_at[0] / len(words), found_at[1], found_at[2], found_at[3]))
-    return out
+def judge(of: Index, item: int, h: np.ndarray, places: np.ndarray, signs: np.ndarray) -> tuple[int, float, float, int, int] | None:
+    """The item in a text (word hashes ``h``) with its signature's words at ``places``: (item, share of equal words, score, first word, one past the last)."""
+    words, need, reach, found = of.words[item], int(of.need[item]), SPAN * int(of.sizes[item]), None
+    for group in np.split(np.arange(len(places)), np.flatnonzero(np.diff(places) >= reach) + 1):
+        if len(np.unique(signs[group])) < of.least[item]:
+            continue
+        a, z = max(0, int(places[group[0]]) - reach), min(len(h), int(places[group[-1]]) + reach)
+        own = np.isin(h[a:z], words)
+        before = np.concatenate([[0], np.cumsum(own)])
+        ends = np.minimum(np.arange(z - a) + reach, z - a)
+        starts = np.flatnonzero(own & (before[ends] - before[:-1] >= need))  # an alignment may begin here
+        if not len(starts):
+            continue
+        for run in np.split(starts, np.flatnonzero(np.diff(starts) > reach) + 1):
+            begin = a + int(run[0])
+            here = h[begin : a + int(ends[run[-1]])]
+            if np.isin(words, here).sum() >= need:  # else no alignment can reach it
+                equal, score, first, last = align(words, here)
+                if equal >= need and (found is None or (equal, score) > found[:2]):
+                    found = equal, score, begin + first, begin + last
+    return None if found is None else (item, found[0] / len(words), *found[1:])
 
 
 def _hashes(texts: list[str | None], cache: HashCache) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +197,7 @@ def _hashes(texts: list[str | None], cache: HashCache) -> tuple[np.ndarray, np.n
 
 
 def blocks_of(benchmark: DataFrame, docs: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
-    """The benchmark's blocks one by one, with the rarity of their seeds counted over all documents."""
+    """The benchmark's blocks one by one, with the occurrences of their words counted over all documents."""
     bound_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").alias("text")).filter("text is not null")
     size = F.sum(F.char_length("text"))
@@ -171,29 +205,26 @@ def blocks_of(benchmark: DataFrame, docs: DataFrame, block_words: int = BLOCK_WO
     for k in range(n):
         own = items.filter(F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(n)) == k).collect()  # a block
         block = block_of(sorted(((r["item_id"], r["text"]) for r in own), key=lambda x: (x[0] is None, x[0], x[1])))
-        if not len(block.seeds):
+        if not block.ids:
             continue
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             cache, of = word_cache(), sent.value
-            held, rows = np.zeros(len(of.seeds), np.int64), 0
+            held, rows = np.zeros(len(of.often), np.int64), 0
             for batch in batches:
                 texts = batch.column(0).to_pylist()
                 rows += len(texts)
                 for a, z in slices(texts):
-                    h, bounds = _hashes(texts[a:z], cache)
-                    places, seeds = of.hits(h, bounds[1:])
-                    doc = np.searchsorted(bounds[1:], places, "right")
-                    held += np.bincount(np.unique(doc * len(of.seeds) + seeds) % len(of.seeds), minlength=len(of.seeds))
+                    held += np.bincount(of.known.find(_hashes(texts[a:z], cache)[0])[1], minlength=len(held))
             some = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int64()), pa.array([rows, *held[some]], pa.int64())], ["seed", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int64()), pa.array([rows, *held[some]], pa.int64())], ["word", "n"])
 
-        counted = docs.select(F.col("text").alias("text")).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()  # at most a row for each seed of the block
-        found = {r["seed"]: r["n"] for r in counted}
-        documents = found.pop(-1, 0)
-        for s, c in found.items():
-            block.rare[s] = c <= max(1, RARE_SHARE * documents)
+        counted = docs.select(F.col("text").alias("text")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # at most a row for each word of the block
+        found = {r["word"]: r["n"] for r in counted}
+        block.documents = found.pop(-1, 0)
+        for w, c in found.items():
+            block.often[w] = c
         yield block
 
 
@@ -205,14 +236,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
     read = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     for block in blocks_of(benchmark, docs):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+        sent = docs.sparkSession.sparkContext.broadcast(index_of(block, similarity))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             cache, of = word_cache(), sent.value
             for batch in batches:
                 texts, rows = batch.column(2).to_pylist(), []
                 for a, z in slices(texts):
-                    for i, found in verdicts(of, texts[a:z], cache, similarity):
+                    for i, found in verdicts(of, texts[a:z], cache):
                         item, share, score, first, last = min(found, key=lambda x: (-x[1], -x[2], x[0]))
                         rows.append((batch.column(0)[a + i].as_py(), batch.column(1)[a + i].as_py(), of.ids[item], share, score, first, last, len(found)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names)
@@ -229,19 +260,45 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     return out.drop("row")
 
 
-def verdicts(block: Block, texts: list[str | None], cache: HashCache, similarity: float = SIMILARITY) -> Iterator[tuple[int, list]]:
+def verdicts(of: Index, texts: list[str | None], cache: HashCache) -> Iterator[tuple[int, list]]:
     """(text, items found in it) of the texts that hold any."""
     h, bounds = _hashes(texts, cache)
-    places, seeds = block.hits(h, bounds[1:])
-    if not len(places):
-        return
+    places, signs = of.signs.find(h)
     doc = np.searchsorted(bounds[1:], places, "right")
-    edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    for a, z in zip(edges, [*edges[1:], len(doc)], strict=True):
-        i = int(doc[a])
-        found = judge(block, h[bounds[i] : bounds[i + 1]], places[a:z] - bounds[i], seeds[a:z], similarity)
-        if found:
-            yield i, found
+    # texts by about MOST_OWNED items of their words, one at least
+    owned = np.cumsum(of.first[signs + 1] - of.first[signs])
+    a = 0
+    while a < len(places):
+        past = int(np.searchsorted(owned, (owned[a - 1] if a else 0) + MOST_OWNED, "right"))
+        z = len(places) if past >= len(places) else max(int(np.searchsorted(doc, doc[past])), int(np.searchsorted(doc, doc[a], "right")))
+        yield from _found(of, h, bounds, doc[a:z], places[a:z], signs[a:z])
+        a = z
+
+
+def _found(of: Index, h: np.ndarray, bounds: np.ndarray, doc: np.ndarray, places: np.ndarray, signs: np.ndarray) -> Iterator[tuple[int, list]]:
+    times = of.first[signs + 1] - of.first[signs]
+    hit = np.repeat(np.arange(len(places)), times)
+    item = of.owners[np.arange(len(hit)) - np.repeat(np.cumsum(times) - times, times) + of.first[signs][hit]].astype(np.int64)
+    pair = doc[hit] * len(of.ids) + item
+    order = np.argsort(pair, kind="stable")
+    pair, item, place, sign = pair[order], item[order], places[hit][order], signs[hit][order]
+    # as many of an item's signature as it asks for, near enough
+    last = np.arange(len(pair)) + of.least[item] - 1
+    inside, last = last < len(pair), np.minimum(last, len(pair) - 1)
+    near = inside & (pair[last] == pair) & (place[last] - place < SPAN * of.sizes[item])
+    now, out = -1, []
+    for p in np.unique(pair[near]).tolist():
+        i, one = divmod(p, len(of.ids))
+        if i != now and out:
+            yield now, out
+            out = []
+        now = i
+        a, z = np.searchsorted(pair, p), np.searchsorted(pair, p, "right")
+        found = judge(of, one, h[bounds[i] : bounds[i + 1]], place[a:z] - bounds[i], sign[a:z])
+        if found is not None:
+            out.append(found)
+    if out:
+        yield now, out
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -249,7 +306,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     at = docs.columns.index("text")
     out = docs
     for block in blocks_of(benchmark, docs):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+        sent = docs.sparkSession.sparkContext.broadcast(index_of(block, similarity))
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             cache = word_cache()
@@ -257,7 +314,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
                 texts = batch.column(at).to_pylist()
                 for a, z in slices(texts):
                     clean = np.ones(z - a, bool)
-                    clean[[i for i, _ in verdicts(sent.value, texts[a:z], cache, similarity)]] = False
+                    clean[[i for i, _ in verdicts(sent.value, texts[a:z], cache)]] = False
                     yield batch.slice(a, z - a).filter(pa.array(clean))
 
         out = out.mapInArrow(keep, docs.schema)

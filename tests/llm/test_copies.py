@@ -178,6 +178,46 @@ def test_decontamination(spark, tmp_path, empty):
     assert decontamination.keep_clean(docs, bench.limit(0)).count() == len(rows)
 
 
+EDITS = {
+    "insert": lambda w: [x for i, y in enumerate(w) for x in ([y, f"new{i}"] if i % 3 == 2 else [y])],
+    "insert_all": lambda w: [x for i, y in enumerate(w) for x in (y, f"new{i}")],
+    "replace": lambda w: ["changed" if i % 4 == 3 and i // 4 < len(w) // 5 else y for i, y in enumerate(w)],
+    "leave_out": lambda w: [y for i, y in enumerate(w) if not (i % 4 == 3 and i // 4 < len(w) // 5)],
+}
+
+
+@pytest.mark.parametrize("edit", sorted(EDITS))
+def test_evenly_edited_copies_are_found(spark, tmp_path, edit):
+    """Whatever the whole-text alignment finds, also where a third of all rows are copies."""
+    rng = random.Random(12)
+    items = [(n, " ".join(rng.choice(["the", "of", "and", f"w{rng.randrange(4000)}", f"w{rng.randrange(60)}"]) for _ in range(n))) for n in (5, 6, 7, 10, 11, 15, 20, 34, 50)] + [(99, "a " * 9 + "bee")]
+    noise = lambda n: [f"w{rng.randrange(4000)}" if rng.random() < 0.6 else rng.choice(["the", "of", "and"]) for _ in range(n)]
+    rows = [(i, " ".join([*noise(30), *EDITS[edit](t.split()), *noise(40)]), "en", "s") for i, t in items]
+    rows += [(1000 + k, rows[6][1], "en", "s") for k in range(40)] + [(2000 + k, " ".join(noise(120)), "en", "s") for k in range(70)]
+    path = str(tmp_path / "d.parquet")
+    frame(spark, rows).repartition(3).write.parquet(path)
+    got = {r["doc_id"]: r["n_items"] for r in decontamination.contaminated(spark.read.parquet(path), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    cache, expected = decontamination.word_cache(), Counter()
+    for i, text, _, _ in rows:
+        for _, t in items:
+            w = cache.array(plain_words(t))
+            expected[i] += decontamination.align(w, cache.array(plain_words(text)))[0] >= 0.8 * len(w)
+    assert got == +expected and set(got) >= {i for i, _ in items[:-1]} | set(range(1000, 1040))
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.integers(0, 9), min_size=5, max_size=14), st.lists(st.integers(0, 12), max_size=60), st.lists(st.integers(0, 30), min_size=13, max_size=13))
+def test_signatures_lose_nothing(item, text, often):
+    block = decontamination.block_of([(1, " ".join(f"w{x}" for x in item))])
+    cache = decontamination.word_cache()
+    rate = {cache[b"w%d" % x]: often[x] for x in range(10)}
+    block.often[:] = [rate[int(w)] for w in block.known.words]
+    block.documents = 20
+    of, h = decontamination.index_of(block), cache.array([b"w%d" % x for x in text])
+    if decontamination.align(block.words[0], h)[0] >= 0.8 * len(item):
+        assert [i for i, _ in decontamination.verdicts(of, ["", " ".join(f"w{x}" for x in text)], cache)] == [1]
+
+
 def test_decontamination_in_blocks(spark, tmp_path, monkeypatch):
     rng = random.Random(6)
     items = [(i, sentence(rng, "en", 20)) for i in range(6)]
