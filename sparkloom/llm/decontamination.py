@@ -13,7 +13,8 @@ the signatures' words, and where a text has k of an item's within 3 n words, and
 criterion asks for, these are aligned. Copies in very many documents are all aligned, whatever their words' frequency.
 
 The benchmark is read in blocks of about ``BLOCK_WORDS`` words; a block's words and signatures are broadcast (about 40
-bytes a word, so 40 MB at most), and all documents pass each block.
+bytes a word, so 40 MB at most), and all documents pass each block. With several blocks the documents are first staged with
+a row number, by which the blocks' verdicts are merged.
 
 Defined cases: items that are null or shorter than ``LEAST_WORDS`` are not searched, as chance repeats so few words; null
 and empty texts are clean; repeated items and rows are each judged; empty tables give empty results. Only doc_id and text
@@ -25,6 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import HashCache, bound_batches, plain_words, slices
+from sparkloom.llm.common import HashCache, bound_batches, plain_words, slices, staged
 
 LEAST_WORDS, SIMILARITY = 5, 0.8
 GAP, UNEQUAL = 0.5, 0.5
@@ -235,7 +237,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
     read = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    for block in blocks_of(benchmark, docs):
+    blocks = blocks_of(benchmark, docs)
+    ahead = list(islice(blocks, 2))
+    if len(ahead) > 1:  # a pass over a shuffle may number its rows anew; what is staged keeps its numbers
+        read = staged(read, "decontamination-rows")
+    for block in chain(ahead, blocks):
         sent = docs.sparkSession.sparkContext.broadcast(index_of(block, similarity))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -254,7 +260,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    if len(parts) > 1:  # rows are numbered alike in each pass over the same scan
+    if len(parts) > 1:
         best = F.max_by(F.struct(*names[1:-1]), F.struct("similarity", "score"))
         out = out.groupBy("row").agg(best.alias("b"), F.sum("n_items").alias("n_items")).select("row", "b.*", "n_items")
     return out.drop("row")

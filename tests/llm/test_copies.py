@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkloom.llm import decontamination, simhash, token_file
+from sparkloom.llm import decontamination, queries, simhash, token_file
 from sparkloom.llm.common import plain_words
 from tests.llm.conftest import frame, sentence
 
@@ -232,6 +232,28 @@ def test_decontamination_in_blocks(spark, tmp_path, monkeypatch):
     assert [r["doc_id"] for r in decontamination.keep_clean(docs, bench).collect()] == [99]
 
 
+def test_verdicts_of_blocks_meet_whatever_the_order_of_rows(spark, tmp_path, monkeypatch):
+    """A shuffle's rows arrive in any order; here each pass sees another one."""
+    rng = random.Random(7)
+    items = [(i, sentence(rng, "en", 20)) for i in range(6)]
+    rows = [(i % 30, f"{sentence(rng, 'de', 20)} {items[i % 6][1]} {items[(i + 1) % 6][1]}", "en", "s") for i in range(60)]
+    folder = tmp_path / "sf"
+    frame(spark, rows).repartition(2).write.parquet(str(folder / "documents.parquet"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench.write.parquet(str(folder / "benchmark.parquet"))
+    docs = spark.read.parquet(str(folder / "documents.parquet")).select("doc_id", "text")
+    whole = decontamination.blocks_of
+    monkeypatch.setattr(decontamination, "blocks_of", lambda b, d: whole(b, d, 10))
+
+    def any_order(frames):
+        for pdf in frames:
+            yield pdf.sample(frac=1)
+
+    twice = Counter({(i, 2): 2 for i in range(30)})
+    assert Counter((r["doc_id"], r["n_items"]) for r in decontamination.contaminated(docs.mapInPandas(any_order, docs.schema), bench).collect()) == twice
+    assert Counter((r["doc_id"], r["n_items"]) for r in queries.op8_decontamination(spark, str(folder)).collect()) == twice
+
+
 @settings(deadline=None, max_examples=80)
 @given(st.lists(st.integers(0, 10**9), min_size=0, max_size=60), st.integers(6, 16))
 def test_code_lengths(counts, most):
