@@ -3,10 +3,12 @@
 A text is lower-cased, all but letters (ASCII letters and every other byte beyond ASCII) becomes white space, and each
 run of 2, 3 and 4 bytes that lies in a word or touches its edge is hashed into ``BUCKETS`` rows of an embedding. The
 text's vector is their average, and a linear softmax over it gives the languages' probabilities. As both are linear, a
-trained model is folded into one table of bucket by language, which is what is broadcast (about 2 MB for 4 languages).
+model of up to ``DIM`` languages is folded into one table of bucket by language (about 2 MB for 4 languages); one of more
+is broadcast as embedding and weights (about 8 MB, and 128 bytes a language).
 
 Training: a bounded sample of labelled rows, ``TRAIN_DOCS`` documents over all languages, each language alike, drawn by a
-hash of the id; at most ``MAX_LANGS`` languages, the most frequent. A part of the sample is kept out of the fit and gives the
+hash of the id, and about ``LEAST_EACH`` of each language where there are so many that they would get fewer. Every label is
+learned: a language that the draw or the fit would leave out gets a row. A part of the sample is kept out of the fit and gives the
 temperature (by likelihood) and the rejection threshold: a document is rejected if its calibrated score is below the
 score that ``1 - REJECT_SHARE`` of the correctly labelled kept-out documents exceed, ``MAX_THRESHOLD`` at most, or if it is
 ``und``. Short excerpts of each document are trained on too, so that short texts score well.
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import bound_batches, crc_mod, slices
 
 BUCKETS, DIM, SIZES = 1 << 16, 16, (2, 3, 4)
-TRAIN_DOCS, MAX_LANGS, EPOCHS, RATE = 4000, 200, 6, 0.5
+TRAIN_DOCS, LEAST_EACH, EPOCHS, RATE = 4000, 8, 6, 0.5
 REJECT_SHARE, MAX_THRESHOLD = 0.001, 0.5
+#: Probabilities held at once.
+MOST_CELLS = 1 << 22
 UNKNOWN = "und"
 _KEEP = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 _ASCII_LETTER = re.compile(r"[A-Za-z]")
@@ -68,21 +72,23 @@ def buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     langs: list[str]
-    table: np.ndarray  # (BUCKETS + 1, languages); the last row is zero
+    table: np.ndarray  # (BUCKETS + 1, languages), or (BUCKETS + 1, DIM) where there are weights; the last row is zero
     bias: np.ndarray
     temperature: float
     threshold: float
+    weights: np.ndarray | None = None  # (DIM, languages)
 
 
 def logits(model: Model, texts: list[str | None]) -> np.ndarray:
     runs, starts = buckets(texts)
-    out = np.zeros((len(texts), len(model.langs)))
+    out = np.zeros((len(texts), model.table.shape[1]))
     count = np.zeros(len(texts))
     for row in runs:
         count += np.add.reduceat((row != BUCKETS).astype(np.int64), starts)
-        for j in range(len(model.langs)):
+        for j in range(out.shape[1]):
             out[:, j] += np.add.reduceat(model.table[row, j], starts)
-    return out / np.maximum(count, 1)[:, None] + model.bias
+    out /= np.maximum(count, 1)[:, None]
+    return (out if model.weights is None else out @ model.weights) + model.bias
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -116,30 +122,34 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[
                 # the average spreads a step over the text's runs; their number gives the step its size back
                 e[own] -= rate * min(len(own), 64) * share[:, None] * back
     e[BUCKETS] = 0
-    table = e @ w
+    folded = len(langs) <= DIM
+    table, weights = (e @ w, None) if folded else (e, w)
     table[BUCKETS] = 0
     check = np.flatnonzero(held) if held.any() else fit
-    z = np.array([(docs[i][1] / max(1, docs[i][1].sum())) @ table[docs[i][0]] + b for i in check])
+    check = rng.permutation(check)[: max(1, MOST_CELLS // len(langs))] if len(check) * len(langs) > MOST_CELLS else check
+    z = np.array([(docs[i][1] / max(1, docs[i][1].sum())) @ table[docs[i][0]] for i in check])
+    z = (z if folded else z @ w) + b
     right = y[check]
     best = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=lambda t: -np.log(softmax(z / t)[np.arange(len(z)), right] + 1e-12).mean())
     p = softmax(z / best)
     sure = np.sort(p.max(axis=1)[p.argmax(axis=1) == right])
     threshold = float(min(MAX_THRESHOLD, sure[int(len(sure) * REJECT_SHARE)])) if len(sure) else 0.0
-    return Model(langs, table, b, best, threshold)
+    return Model(langs, table, b, best, threshold, weights)
 
 
 def fit_languages(docs: DataFrame, may_learn: Column, train_docs: int = TRAIN_DOCS) -> Model | None:
     """Learns from a bounded sample of the rows where ``may_learn``; None if there is no labelled row."""
     bound_batches(docs.sparkSession)
     labelled = docs.select(F.col("doc_id").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").alias("text"), may_learn.alias("may")).filter("may and lang is not null and text is not null")
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language
     if not counts:
         return None
     langs = sorted(r["lang"] for r in counts)
-    each = max(1, train_docs // len(langs))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, each / r["n"])))])
+    each = max(LEAST_EACH, train_docs // len(langs))
+    shares = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in counts], "lang string, share double"))
     drawn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("language")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = labelled.filter(F.col("lang").isin(langs)).filter(drawn < share[F.col("lang")]).select("lang", "text", (crc_mod(F.concat_ws("/", "doc_id", F.lit("calibrate")), 6) == 0).alias("held"))
+    held = (crc_mod(F.concat_ws("/", "doc_id", F.lit("calibrate")), 6) == 0).alias("held")
+    sample = labelled.join(shares, "lang").filter(drawn < F.col("share")).select("lang", "text", held)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -150,7 +160,13 @@ def fit_languages(docs: DataFrame, may_learn: Column, train_docs: int = TRAIN_DO
                 rows.append((lang, ids.astype("<u2").tobytes(), np.minimum(n, 65535).astype("<u2").tobytes(), held))
             yield pd.DataFrame(rows, columns=["lang", "ids", "n", "held"])
 
-    got = sample.mapInPandas(features, "lang string, ids binary, n binary, held boolean").toPandas()
+    kinds = "lang string, ids binary, n binary, held boolean"
+    got = sample.mapInPandas(features, kinds).toPandas()
+    if missed := sorted(set(langs) - set(got["lang"])):  # not drawn at all: a row each
+        own = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in missed], "lang string"))
+        one = labelled.join(own, "lang").groupBy("lang").agg(F.min_by("text", F.xxhash64("doc_id", "text")).alias("text"))
+        got = pd.concat([got, one.select("lang", "text", F.lit(False).alias("held")).mapInPandas(features, kinds).toPandas()])
+    got["held"] = got["held"].astype(bool) & (~got["held"].astype(bool)).groupby(got["lang"]).transform("any")  # each language is fitted
     got = got.sort_values(["lang", "ids", "n"], kind="stable").reset_index(drop=True)  # the order of arrival doesn't matter
     number = {x: i for i, x in enumerate(langs)}
     data = [(np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(n, "<u2").astype(float)) for i, n in zip(got["ids"], got["n"], strict=True)]
@@ -162,6 +178,10 @@ def predict_texts(model: Model | None, texts: list[str | None]) -> tuple[list[st
     known = np.array([has_letter(t) for t in texts], bool)
     if model is None or not len(texts):
         return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    most = max(1, MOST_CELLS // len(model.langs))
+    if len(texts) > most:
+        parts = [predict_texts(model, texts[a : a + most]) for a in range(0, len(texts), most)]
+        return [x for p in parts for x in p[0]], np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
     p = softmax(logits(model, texts) / model.temperature)
     best = p.argmax(axis=1)
     score = np.where(known, p[np.arange(len(texts)), best], 0.0)

@@ -54,6 +54,21 @@ def test_language_id(many):
     assert kept.columns == docs.columns and kept.count() == sum(not r["rejected"] for r in got.values())
 
 
+def test_every_language_is_learned(spark):
+    """More labels than fit a folded table, some of them with one row."""
+    rng = random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:03}": ["".join(rng.choice(letters) for _ in range(6)) for _ in range(6)] for k in range(230)}
+    rows = [(x, n) for k, x in enumerate(words) for n in range(1 if k % 10 == 0 else 40)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words[x]) for _ in range(40)), x) for i, (x, _) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language_id.fit_languages(docs, F.lit(True), train_docs=1200)
+    assert model.langs == sorted(words) and model.table.shape == (language_id.BUCKETS + 1, language_id.DIM)
+    texts = [" ".join(w * 5) for w in words.values()]
+    langs, _, _ = language_id.predict_texts(model, texts)
+    common = [k for k in range(230) if k % 10]
+    assert sum(langs[k] == f"l{k:03}" for k in common) >= 0.95 * len(common)
+
+
 def test_language_id_odd(spark, many, docs, rows, empty):
     model = language_id.fit_languages(many[0], F.lit(True))
     got = language_id.identify_languages(docs, model, language_id.held_out()).collect()
