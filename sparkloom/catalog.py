@@ -342,6 +342,13 @@ def seconds_between(spark, sf_dir):
     return t.run(select=[*named(a, "event_id"), fn.seconds(b.of("ts"), a.of("ts")).as_("gap")], source=a, joins=[inner_join(b, columns_equal(a, "user_id", b, "user_id"))], where=where)
 
 
+@registered("SELECT event_id, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id))) / 1e6 AS gap FROM events")
+def seconds_since_first(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    e = t["events"]
+    return t.run(select=[*named(e, "event_id"), fn.seconds(e.of("ts"), fn.min_(e.of("ts")).over(Window([e.of("user_id")]))).as_("gap")], source=e)
+
+
 # predicates
 
 

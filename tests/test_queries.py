@@ -42,6 +42,10 @@ def test_query_equals_sql(spark, duck, name):
     assert plain([tuple(r) for r in df.collect()], df.columns) == plain(cur.fetchall(), columns)
 
 
+def test_seconds_over_all_events(spark):
+    assert catalog.queries()["seconds_since_first"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
 def plan(df):
     return df._jdf.queryExecution().toString()
 
