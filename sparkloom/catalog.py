@@ -73,6 +73,14 @@ def filter_compare(spark, sf_dir):
     return t.run(select=named(o, "o_orderkey", "o_totalprice", "o_orderstatus"), source=o, where=where)
 
 
+@registered("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_totalprice >= 150000 AND o_totalprice < 200000 AND o_orderstatus <> 'F' AND o_totalprice <= 190000 AND o_custkey > 10")
+def filter_compare_all(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    o = t["orders"]
+    where = cr.and_(cr.at_least(o.of("o_totalprice"), 150000.0), cr.below(o.of("o_totalprice"), 200000.0), cr.not_equal(o.of("o_orderstatus"), "F"), cr.at_most(o.of("o_totalprice"), 190000.0), cr.above(o.of("o_custkey"), 10))
+    return t.run(select=named(o, "o_orderkey", "o_totalprice", "o_orderstatus"), source=o, where=where)
+
+
 @registered("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 def top_k(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -581,6 +589,13 @@ def nulls_first(spark, sf_dir):
     return t.run(select=named(r, "doc_id", "q"), source=r, order_by=[r.of("q").asc().nulls_first(), r.of("doc_id").asc()], limit=700)
 
 
+@registered("SELECT d.doc_id, l.quality AS q, count(*) OVER (ORDER BY l.quality ASC NULLS FIRST) AS place FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def nulls_first_over_all(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    r, _ = _nullable(t)
+    return t.run(select=[*named(r, "doc_id", "q"), fn.count().over(Window(order_by=[r.of("q").asc().nulls_first()])).as_("place")], source=r)
+
+
 @registered("SELECT * FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 31 OFFSET 90")
 def numbered_page(spark, sf_dir):
     t = Tables(spark, sf_dir)

@@ -46,6 +46,13 @@ def test_seconds_over_all_events(spark):
     assert catalog.queries()["seconds_since_first"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
 
 
+def test_bounded_queries_have_whole_ones(spark):
+    rows = catalog.queries()["nulls_first_over_all"](spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert max(r["place"] for r in rows if r["q"] is None) < min(r["place"] for r in rows if r["q"] is not None)
+    assert "o_orderkey <=" not in plan(catalog.queries()["filter_compare_all"](spark, SF))
+
+
 def plan(df):
     return df._jdf.queryExecution().toString()
 
