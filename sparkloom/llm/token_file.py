@@ -15,11 +15,13 @@ parts between those, so it is no single task.
 Defined cases: a null text is an empty one, and gives the end id alone; null doc_ids come first; rows of the same doc_id
 follow each other, in an order that their codes settle; an empty table gives an empty file and an empty result. Texts are
 encoded by the tokenizers library word by word (between ASCII white space): no pre-token of the vocabulary spans white
-space, so the ids are those of the whole text, and a word's ids are remembered. Columns other than doc_id and text are neither read nor returned.
+space, so the ids are those of the whole text, and a word's ids are remembered. A tokenizer that normalises or splits in
+any other way than ``BY_WORD`` says encodes whole texts. Columns other than doc_id and text are neither read nor returned.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -43,6 +45,11 @@ STOPS = b".,;:!?*#$%&|<>)]}\""
 SIGMA = "\u03a3"  # lower-cased by its place in a word in Python, alone in the library
 NULL_ID = -(1 << 63)
 TOKENIZER = "word_bpe_49k.json"
+#: The normaliser and the splits of a vocabulary whose pre-tokens lie between white space, in its file's own words.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
 
 
 def code_lengths(counts: np.ndarray, most: int = MAX_LENGTH) -> np.ndarray:
@@ -170,10 +177,11 @@ class Encoder:
     """A text's ids as little-endian unsigned 32-bit integers, the end id last.
 
     Words' ids are remembered in two generations of ``most`` words each: when the young one is full it becomes the old
-    one, so words in use stay. A-Z are lower-cased first, as the vocabulary does (except where a special token could
-    arise by it), and stops at a word's end are split off: they are one pre-token, and never one with a letter or digit.
-    A word of letters in composed form is one pre-token, which the library's normaliser only lower-cases, so the library's
-    model takes it directly; every other word takes the library's whole way.
+    one, so words in use stay. The vocabulary composes a text before it lower-cases it, so only ASCII may be lower-cased
+    ahead: a capital with a mark may have a composed form in lower case alone. Stops at a word's end are split off: they
+    are one pre-token, and never one with a letter or digit. A word of letters in composed form is one pre-token, which
+    the library's normaliser only lower-cases, so the library's model takes it directly; every other word takes the
+    library's whole way, and so does one with ``<|``, where a special token may be.
     """
 
     def __init__(self, path: str, end: int = END, most: int = CACHE):
@@ -181,6 +189,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = splits_at_white_space(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.end = np.uint32(end).tobytes()
@@ -190,15 +199,13 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _ids(self, word: bytes) -> bytes:
-        if word.isalpha():  # of bytes: ASCII letters, lower-case by now
-            plain = word.decode() if word.islower() else None
-        else:
-            own = word.decode("utf-8", "replace")
-            plain = None
-            if own.isalpha() and SIGMA not in own and is_normalized("NFC", own) and is_normalized("NFC", low := own.lower()) and low.isalpha():
+        own, plain = word.decode("utf-8", "replace"), None
+        if own.isalpha() and SIGMA not in own and is_normalized("NFC", own):
+            low = own.lower()
+            if low.isalpha():
                 plain = low.encode().decode("latin-1").translate(self.letters)  # the model's vocabulary writes bytes as letters
         if plain is None:
-            return self._encoded([word.decode("utf-8", "replace")])[0]
+            return self._encoded([own])[0]
         return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
 
     def _known(self, word: bytes) -> bytes:
@@ -210,8 +217,12 @@ class Encoder:
     def _learn(self, word: bytes) -> bytes:
         if (known := self.old.get(word)) is None:
             stem = word.rstrip(STOPS)
-            # lower-casing may end a letter in a mark, which is one pre-token with what follows
-            if stem and len(stem) < len(word) and (stem.isalnum() or stem.decode("utf-8", "replace").lower().isalnum()):
+            if b"<|" in word:
+                known = self._ids(word)
+            elif word.isascii() and (low := word.lower()) != word:
+                known = self.young[low]
+            # lower-casing, or taking apart what has no composed form, may end a letter in a mark, which is one pre-token with what follows
+            elif stem and len(stem) < len(word) and (stem.isalnum() or (own := stem.decode("utf-8", "replace")).lower().isalnum() and is_normalized("NFC", own)):
                 known = self._known(stem) + self._known(word[len(stem) :])
             else:
                 known = self._ids(word)
@@ -223,6 +234,9 @@ class Encoder:
         self.old = {}
 
     def __call__(self, texts: list[bytes | str | None]) -> list[bytes]:
+        if not self.by_word:
+            whole = [t.decode("utf-8", "replace") if isinstance(t, bytes) else t or "" for t in texts]
+            return [x + self.end for x in self._encoded(whole)]
         if len(self.young) > self.most:
             self.young, self.old = Generation(self._learn), dict(self.young)
         get, end = self.young.__getitem__, self.end
@@ -233,12 +247,21 @@ class Encoder:
                 continue
             if isinstance(t, str):
                 t = t.encode("utf-8", "replace")
-            if b"<|" not in t:
+            if t.isascii() and b"<|" not in t:
                 t = t.lower()
             out.append(b"".join(map(get, t.split())) + end)
         return out
 
 
+def splits_at_white_space(path: str) -> bool:
+    """Whether a tokenizer file normalises and splits as ``BY_WORD`` says, so that its words can be encoded one by one."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    splits = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    plain = all(not x["normalized"] and not x["lstrip"] and not x["rstrip"] and "<|" in x["content"] for x in told.get("added_tokens", []))
+    return plain and told.get("normalizer") == BY_WORD["normalizer"] and splits[0].get("pattern") == {"Regex": BY_WORD["pattern"]}
+
+
 _encoders: dict[str, Encoder] = {}
 
 

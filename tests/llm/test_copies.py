@@ -307,6 +307,31 @@ def test_words_are_encoded_as_the_whole_text(rows):
         assert got == whole_ids(texts)
 
 
+def test_words_with_marks_are_encoded_as_the_whole_text():
+    """Letters with combining marks, letters that the normaliser takes apart, special tokens; any string made of them."""
+    letters = [chr(c) for c in (*range(0x41, 0x250), *range(0x370, 0x400), *range(0x958, 0x960), *range(0x1E00, 0x1F00), 0xF4D, 0x212B, 0xFB1D) if chr(c).isalpha()]
+    marks = [chr(c) for c in (*range(0x300, 0x330), 0x331, 0x338, 0x345)]
+    texts = [f"{x}{m} a{x}{m}. {x}, B{x}." for x in letters for m in marks[::3] + ["\u030a", "\u0308", "\u0331", "\u030c"]]
+    rng = random.Random(5)
+    pool = [*letters[:300], *marks, *" \t\n.,;:!?*#$%&|<>)]}\"'\u00a0\u0085\x1c0123\u03a3\u03c3\u03c2\u0130", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|>", "'s", "'LL"]
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randint(1, 25))) for _ in range(20_000)]
+    want = [np.array(x, "<u4").tobytes() for x in whole_ids(texts)]
+    for e in (token_file.encoder(token_file.tokenizer_path()), token_file.Encoder(token_file.tokenizer_path(), most=40)):
+        assert [t for t, a, b in zip(texts, e(texts), want, strict=True) if a != b] == []
+
+
+def test_other_tokenizers_encode_whole_texts(rows):
+    """One that keeps white space and capitals: its pre-tokens span what lies between words."""
+    from tokenizers import Tokenizer
+
+    path = token_file.tokenizer_path("byte_bpe_50k.json")
+    texts = [r[1] for r in rows]
+    library = Tokenizer.from_file(path)
+    e = token_file.Encoder(path)
+    assert not e.by_word
+    assert [np.frombuffer(x, "<u4").tolist() for x in e(texts)] == [[*library.encode(t or "", add_special_tokens=False).ids, token_file.END] for t in texts]
+
+
 def test_token_table(spark, docs, rows, empty):
     got = sorted(token_file.token_table(docs).collect(), key=lambda r: r["start"])
     ids = whole_ids([t for _, t, _, _ in rows])
