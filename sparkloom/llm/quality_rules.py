@@ -5,24 +5,29 @@ Base counts, with words ``[^\x20\x09-\x0D]+`` (a null text has none): ``n_words`
 ``n_repeat_words``, words inside 8-word windows that occur twice or more in the text. ``base_failed``: fewer than 20 words, or
 over 30 % repeated words.
 
-Verdict: for each language reference, the Jensen-Shannon distance (base 2, 0 to 1) between the document's histogram of
-character classes and the reference's, and the same for its histogram of common words (one more bin for all others).
-References are sums over *all* documents of a language: every language with at least ``LANG_SHARE`` of the corpus' words
-has one (so 1/LANG_SHARE at most), and its common words are those with at least ``WORD_SHARE`` of its words (so
-1/WORD_SHARE at most); both bounds hold at any input size, and only these bounded tables reach the driver. A document
-passes if some reference is within ``MAX_CHARS`` and ``MAX_WORDS``. Guards against short histograms, which diverge by
-chance: both limits are wider by ``SLACK`` / number of words, and under ``MIN_JUDGED`` words nothing is judged.
+Verdict: a document is compared to the reference of its language by the Jensen-Shannon distance (base 2, 0 to 1) between
+histograms of character classes, and between histograms of common words (one more bin for all others). References are sums
+over *all* documents of a language, and every language has one, whatever its share: a row of a table that is joined by
+language. A language's common words are those with at least ``WORD_SHARE`` of its words (so 1/WORD_SHARE at most). A
+document passes if it is within both limits. That of characters is ``MAX_CHARS``; that of words is ``ABSENT`` of the distance at
+which a text without any common word is, so that such a text fails in every language.
+
+Guards against short histograms: of n and N draws from one distribution over k bins, the divergence by chance is about
+1 / (8 ln 2) * (1/n + 1/N) times a chi-square of k - 1 degrees; the limits' squares are wider by its mean and ``SPREADS``
+standard deviations. Under ``MIN_JUDGED`` words nothing is judged.
 
 Only DataFrame functions run here. Windows are compared by XXH64 over the words' XXH64 (64-bit, so two different windows
 of one text count as equal with a chance of about n^2 / 2^65).
 
 Defined cases: null or empty text: all counts 0, base_failed; repeated rows each get their row; documents with a null
-language add to no reference but are judged like others; if no language has a reference the verdict is true; empty
-tables give empty results. Only the columns named are read, so other columns cannot clash.
+language add to no reference and pass if they are within the limits of any; a document whose language has no reference (given
+references, or a language without words) isn't judged: its verdict is true; empty tables give empty results. Only the columns named are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +36,12 @@ from sparkloom.llm.common import staged
 SPACES = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
-LANG_SHARE, WORD_SHARE = 0.01, 0.005
-MIN_JUDGED, SLACK = 20, 2.0
-MAX_CHARS, MAX_WORDS = 0.30, 0.36
-#: Character classes by pattern; letters are what is left of the words' characters.
+WORD_SHARE = 0.005
+MIN_JUDGED, SPREADS = 20, 3.0
+MAX_CHARS, ABSENT = 0.30, 0.7
+REFERENCE = "lang string, n double, chars array<double>, words array<string>, shares array<double>"
+#: Character classes by pattern; letters are what is left of the words' characters. PLAIN ones are in none of them.
+PLAIN = "[a-z\\x20\\x09-\\x0D]"
 CLASSES = {"upper": "[\\p{Lu}]", "digit": "[0-9]", "stop": "[.,;:!?'\"()\\-]", "symbol": "[#*$%&|<>@^~=+_/\\\\{}\\[\\]]"}
 
 
@@ -61,7 +68,7 @@ def repeat_words(words: Column) -> Column:
             full = bound(bound(pairs, starts), spans)
             return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(full)
 
-        window = lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(WINDOW)])
+        window = lambda i: F.xxhash64(F.slice(hashes, i + 1, F.lit(WINDOW)))
         return bound(F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), window), marked)
 
     hashed = F.transform(words, lambda w: F.xxhash64(w))
@@ -70,8 +77,12 @@ def repeat_words(words: Column) -> Column:
 
 def class_counts(text: Column, n_chars: Column) -> Column:
     """Counts by class: those of CLASSES, then all other characters in words (letters, mostly)."""
-    counts = [F.char_length(F.regexp_replace(text, "[^" + p[1:-1] + "]+", "")) for p in CLASSES.values()]
-    return F.array(*[c.cast("double") for c in counts], (n_chars - sum(counts[1:], counts[0])).cast("double"))
+    rest = F.regexp_replace(text, PLAIN + "+", "")  # what may be in a class, a small part of most texts
+
+    def by_class(rest: Column) -> Column:
+        return F.array(*[F.char_length(F.regexp_replace(rest, "[^" + p[1:-1] + "]+", "")).cast("double") for p in CLASSES.values()])
+
+    return bound(bound(rest, by_class), lambda c: F.concat(c, F.array(n_chars - F.aggregate(c, F.lit(0.0), lambda a, x: a + x))))
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
@@ -92,78 +103,81 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def references(docs: DataFrame, lang_share: float = LANG_SHARE, word_share: float = WORD_SHARE) -> list[dict]:
-    """Per language: its class histogram and its common words with their shares. Two aggregations over all documents."""
+def references(docs: DataFrame, word_share: float = WORD_SHARE) -> DataFrame:
+    """Per language with words (``REFERENCE``): its words, class histogram, common words and their shares. Two aggregations over all documents."""
     d = docs.select(F.col("lang").alias("lang"), F.coalesce("text", F.lit("")).alias("text")).filter(F.col("lang").isNotNull())
-    d = d.withColumn("words", words_of(F.col("text")))
-    n_chars = F.char_length(F.array_join("words", ""))
-    classes = d.select("lang", F.size("words").alias("n"), class_counts(F.col("text"), n_chars).alias("c"))
+    words = words_of(F.col("text"))
     sums = [F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
-    totals = staged(classes.groupBy("lang").agg(F.sum("n").alias("n"), *sums), "quality-totals")  # read twice below
-    # a language with a share has at least that share of all words: at most 1 / lang_share rows come back
-    whole = totals.agg(F.sum("n")).first()[0] or 0
-    rows = totals.filter(F.col("n") >= F.lit(max(1.0, whole * lang_share))).collect()
-    if not rows:
-        return []
-    least = F.create_map(*[x for r in rows for x in (F.lit(r["lang"]), F.lit(max(1.0, r["n"] * word_share)))])
-    counted = d.filter(F.col("lang").isin([r["lang"] for r in rows])).select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    common = counted.filter(F.col("n") >= least[F.col("lang")]).collect()
-    out = []
-    for r in sorted(rows, key=lambda r: r["lang"]):
-        chars = [r[f"c{i}"] or 0.0 for i in range(len(CLASSES) + 1)]
-        words = sorted(((x["word"], x["n"] / r["n"]) for x in common if x["lang"] == r["lang"]), key=lambda x: (-x[1], x[0]))
-        out.append({"lang": r["lang"], "chars": [x / max(1.0, sum(chars)) for x in chars], "words": [w for w, _ in words], "shares": [s for _, s in words]})
-    return out
-
-
-def js_distance(p: Column, q: list[float]) -> Column:
-    """Square root of the Jensen-Shannon divergence in bits, of an array and a reference.
-
-    Written over arrays, not as a sum of columns: spelled out for every word of every language it would be a generated
-    method so large that compiling it takes the executor more memory than the data.
-    """
+    measured = d.select("lang", F.size(words).cast("double").alias("n"), class_counts(F.col("text"), F.char_length(F.array_join(words, ""))).alias("c"))
+    totals = staged(measured.groupBy("lang").agg(F.sum("n").alias("n"), *sums).filter("n > 0"), "quality-totals")  # read twice below
+    counted = d.select("lang", F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("m"))
+    common = counted.join(totals.select("lang", "n"), "lang").filter(F.col("m") >= F.greatest(F.lit(1.0), F.lit(word_share) * F.col("n")))
+    listed = common.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct((-F.col("m") / F.col("n")).alias("s"), "word"))).alias("l"))  # 1 / word_share at most
+    chars = F.array(*[F.col(f"c{i}") for i in range(len(CLASSES) + 1)])
+    whole = F.greatest(F.lit(1.0), F.aggregate("c", F.lit(0.0), lambda a, x: a + x))
+    refs = totals.select("lang", "n", chars.alias("c")).join(listed, "lang", "left").withColumn("l", F.coalesce("l", F.array().cast("array<struct<s:double,word:string>>")))
+    return staged(refs.select("lang", "n", F.transform("c", lambda x: x / whole).alias("chars"), F.transform("l", lambda x: x["word"]).alias("words"), F.transform("l", lambda x: -x["s"]).alias("shares")), "quality-references")
+
+
+def js_distance(p: Column, q: Column) -> Column:
+    """Square root of the Jensen-Shannon divergence in bits, of two arrays."""
 
     def term(x: Column, y: Column) -> Column:
         m = (x + y) / 2
         both = x * F.log2(x / m) + F.when(y > 0, y * F.log2(y / m)).otherwise(F.lit(0.0))
         return 0.5 * F.when(x > 0, both).otherwise(y)  # where x is 0, y log(y / m) is y
 
-    terms = F.zip_with(p, F.array(*[F.lit(float(y)) for y in q]), term)
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
+    return F.sqrt(F.greatest(F.aggregate(F.zip_with(p, q, term), F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
+
+
+def with_rest(shares: Column) -> Column:
+    """The shares, and what they leave of 1."""
+    return F.concat(shares, F.array(F.greatest(F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))))
+
+
+def limit(least: Column, bins: Column, n: Column, reference_n: Column) -> Column:
+    """``least``, wider by the divergence that samples of these sizes show by chance."""
+    free = F.greatest(bins - 1, F.lit(0)).cast("double")
+    chance = (free + SPREADS * F.sqrt(2 * free)) * (1 / (8 * math.log(2))) * (1 / n + 1 / reference_n)
+    return F.sqrt(least * least + chance)
+
+
+def _by_key(refs: DataFrame) -> DataFrame:
+    """For each language's key the list of its reference; for documents without a language, that of all."""
+    own = F.struct(*[x.split()[0] for x in REFERENCE.split(", ")])
+    each = refs.select(_key(F.col("lang")).alias("key"), F.array(own).alias("refs"))
+    return each.unionByName(refs.agg(F.collect_list(own).alias("refs")).select(_key(F.lit(None).cast("string")).alias("key"), "refs"))
+
+
+def _key(lang: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), lang), F.lit(""))
 
 
-def judge_quality(docs: DataFrame, refs: list[dict] | None = None, max_chars: float = MAX_CHARS, max_words: float = MAX_WORDS) -> DataFrame:
-    """Base columns, the distances to the nearest reference, base_failed and kept."""
+def judge_quality(docs: DataFrame, refs: DataFrame | None = None, max_chars: float = MAX_CHARS, absent: float = ABSENT) -> DataFrame:
+    """Base columns, the distances to the nearest reference, base_failed and kept. ``refs``: a table like that of ``references``."""
     refs = references(docs) if refs is None else refs
-    b = base_counts(docs)
-    known = sorted({w for r in refs for w in r["words"]})
-    place = {w: i + 1 for i, w in enumerate(known)}
-    if known:
-        listed = F.array(*[F.lit(w) for w in known])
-        common = F.transform(F.filter("words", lambda w: w.isin(known)), lambda w: F.array_position(listed, w).cast("int"))
-    else:
-        common = F.array().cast("array<int>")
+    b = base_counts(docs).withColumn("classes", class_counts(F.col("text"), F.col("word_chars"))).drop("text")
+    # references are one row a language, so small that Spark broadcasts them; should they not be, it joins by shuffle
+    b = b.withColumn("key", _key(F.col("lang"))).join(_by_key(refs), "key", "left")
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
-    kind = "array<struct<c:double,w:double>>"
-
-    def shares(counts: Column, r: dict) -> Column:
-        """Of each common word of a reference, and of all other words."""
-        own = F.transform(F.array(*[F.lit(place[w]) for w in r["words"]]).cast("array<int>"), lambda i: F.get(counts, i - 1) / n)
-        return bound(own, lambda x: F.concat(x, F.array(F.greatest(F.lit(1.0) - F.aggregate(x, F.lit(0.0), lambda a, y: a + y), F.lit(0.0)))))
-
-    def distances(classes: Column, counts: Column) -> Column:
-        in_class = F.transform(classes, lambda c: F.greatest(c, F.lit(0.0)) / chars)
-        return F.array(*[F.struct(js_distance(in_class, r["chars"]).alias("c"), js_distance(shares(counts, r), [*r["shares"], max(0.0, 1 - sum(r["shares"]))]).alias("w")) for r in refs]).cast(kind)
-
-    b = b.withColumn("common", common).withColumn("classes", class_counts(F.col("text"), F.col("word_chars"))).drop("words", "text")
-    # how often each of the known words occurs; small expressions over a column, which Spark compiles one by one
-    counts = F.array(*[F.size("common") - F.size(F.array_remove("common", k + 1)) for k in range(len(known))]).cast("array<int>")
-    by_lang = bound(F.col("classes"), lambda cl: bound(counts, lambda k: distances(cl, k))) if refs else F.array().cast(kind)
-    b = b.withColumn("by_lang", by_lang)
-    fits = F.lit(not refs)
-    more = SLACK / n
-    near = (F.col("n_words") < MIN_JUDGED) | F.exists("by_lang", lambda x: (x["c"] <= max_chars + more) & (x["w"] <= max_words + more))
+    in_class = F.transform("classes", lambda c: F.greatest(c, F.lit(0.0)) / chars)
+
+    def compared(r: Column) -> Column:
+        common = F.filter("words", lambda w: F.array_contains(r["words"], w))
+        own = bound(common, lambda found: F.transform(r["words"], lambda w: (F.size(found) - F.size(F.array_remove(found, w))) / n))
+        none = with_rest(F.transform(r["shares"], lambda x: x * 0.0))
+        known = with_rest(r["shares"])
+        most = bound(js_distance(none, known) * absent, lambda x: limit(x, F.size(r["shares"]) + 1, n, r["n"]))
+        return F.struct(
+            js_distance(in_class, r["chars"]).alias("c"),
+            limit(F.lit(max_chars), F.lit(len(CLASSES) + 1), n, r["n"]).alias("most_c"),
+            bound(own, lambda x: js_distance(with_rest(x), known)).alias("w"),
+            most.alias("most_w"),
+        )
+
+    b = b.withColumn("judged", F.transform("refs", compared))
+    near = F.col("judged").isNull() | (F.size("judged") < 1) | (F.col("n_words") < MIN_JUDGED) | F.exists("judged", lambda x: (x["c"] <= x["most_c"]) & (x["w"] <= x["most_w"]))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return b.select(
         "doc_id",
@@ -173,7 +187,7 @@ def judge_quality(docs: DataFrame, refs: list[dict] | None = None, max_chars: fl
         "n_dup_lines",
         "n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & (fits | near)).alias("kept"),
-        F.array_min(F.transform("by_lang", lambda x: x["c"])).alias("char_distance"),
-        F.array_min(F.transform("by_lang", lambda x: x["w"])).alias("word_distance"),
+        (~failed & near).alias("kept"),
+        F.array_min(F.transform("judged", lambda x: x["c"])).alias("char_distance"),
+        F.array_min(F.transform("judged", lambda x: x["w"])).alias("word_distance"),
     )

@@ -108,25 +108,27 @@ rep AS (
 tot AS (SELECT lang, sum(n) AS n, sum(c0) AS s0, sum(c1) AS s1, sum(c2) AS s2, sum(c3) AS s3, sum(chars - c0 - c1 - c2 - c3) AS s4 FROM b WHERE lang IS NOT NULL GROUP BY lang),
 ref AS (
     SELECT lang, n, list_transform([s0, s1, s2, s3, s4], lambda s: s::DOUBLE / greatest(1, s0 + s1 + s2 + s3 + s4)) AS q
-    FROM tot WHERE n >= greatest(1.0, 0.01::DOUBLE * (SELECT sum(n) FROM tot))),
+    FROM tot WHERE n > 0),
 ww AS (SELECT lang, uid, unnest(ws) AS word FROM b),
 com AS (
     SELECT c.lang, c.word, c.n::DOUBLE / ref.n AS y FROM (SELECT lang, word, count(*) AS n FROM ww WHERE lang IS NOT NULL GROUP BY lang, word) c
     JOIN ref ON c.lang = ref.lang WHERE c.n >= greatest(1.0, 0.005::DOUBLE * ref.n)),
-rest AS (SELECT lang, sum(y) AS y FROM com GROUP BY lang),
+rest AS (
+    SELECT lang, y, k, 1 - y AS ry, sqrt(greatest(0.0, 0.5 * y + 0.5 * (log2(2 / (2 - y)) + CASE WHEN y < 1 THEN (1 - y) * log2(2 * (1 - y) / (2 - y)) ELSE 0 END))) AS none
+    FROM (SELECT ref.lang, coalesce(sum(com.y), 0) AS y, count(com.y) AS k FROM ref LEFT JOIN com ON ref.lang = com.lang GROUP BY ref.lang)),
 own AS (SELECT uid, word, count(*) AS n FROM ww WHERE word IN (SELECT word FROM com) GROUP BY uid, word),
 hit AS (SELECT own.uid, com.lang, own.n::DOUBLE / greatest(1, b.n) AS x, y, (x + y) / 2 AS m FROM own JOIN com ON own.word = com.word JOIN b ON own.uid = b.uid),
 wsum AS (SELECT uid, lang, sum(x) AS x, sum(0.5 * (x * log2(x / m) + y * log2(y / m)) - 0.5 * y) AS j FROM hit GROUP BY uid, lang),
 pair AS (
-    SELECT b.uid, b.n, ref.q, list_transform([c0, c1, c2, c3, chars - c0 - c1 - c2 - c3], lambda c: greatest(c, 0)::DOUBLE / greatest(1, chars)) AS p,
-        greatest(0.0, 1 - coalesce(wsum.x, 0)) AS rx, greatest(0.0, 1 - coalesce(rest.y, 0)) AS ry, coalesce(wsum.j, 0) + 0.5 * coalesce(rest.y, 0) AS j
-    FROM b CROSS JOIN ref LEFT JOIN wsum ON wsum.uid = b.uid AND wsum.lang = ref.lang LEFT JOIN rest ON rest.lang = ref.lang),
+    SELECT b.uid, b.n, 1 / greatest(1, b.n)::DOUBLE + 1 / ref.n::DOUBLE AS draws, rest.k, rest.none, ref.q, list_transform([c0, c1, c2, c3, chars - c0 - c1 - c2 - c3], lambda c: greatest(c, 0)::DOUBLE / greatest(1, chars)) AS p,
+        greatest(0.0, 1 - coalesce(wsum.x, 0)) AS rx, greatest(0.0, rest.ry) AS ry, coalesce(wsum.j, 0) + 0.5 * rest.y AS j
+    FROM b JOIN ref ON b.lang = ref.lang OR b.lang IS NULL JOIN rest ON rest.lang = ref.lang LEFT JOIN wsum ON wsum.uid = b.uid AND wsum.lang = ref.lang),
 dist AS (
-    SELECT uid, n,
+    SELECT uid, (4 + 3 * sqrt(8)) / (8 * ln(2)) * draws AS more_chars, (k + 3 * sqrt(2 * k)) / (8 * ln(2)) * draws AS more_words, none,
         sqrt(greatest(0.0, list_sum(list_transform(range(1, 6), lambda i: 0.5 * (CASE WHEN p[i] > 0 THEN p[i] * log2(p[i] / ((p[i] + q[i]) / 2)) ELSE 0 END + CASE WHEN q[i] > 0 THEN q[i] * log2(q[i] / ((p[i] + q[i]) / 2)) ELSE 0 END))))) AS by_chars,
         sqrt(greatest(0.0, j + 0.5 * (CASE WHEN rx > 0 THEN rx * log2(rx / ((rx + ry) / 2)) ELSE 0 END + CASE WHEN ry > 0 THEN ry * log2(ry / ((rx + ry) / 2)) ELSE 0 END))) AS by_words
     FROM pair),
-near AS (SELECT uid, bool_or(by_chars <= 0.30::DOUBLE + 2.0::DOUBLE / greatest(1, n) AND by_words <= 0.36::DOUBLE + 2.0::DOUBLE / greatest(1, n)) AS ok FROM dist GROUP BY uid)
+near AS (SELECT uid, bool_or(by_chars <= sqrt(0.30::DOUBLE * 0.30::DOUBLE + more_chars) AND by_words <= sqrt(0.7::DOUBLE * none * 0.7::DOUBLE * none + more_words)) AS ok FROM dist GROUP BY uid)
 SELECT doc_id, b.n AS n_words, chars AS word_chars, n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
     b.n < 20 OR 100 * coalesce(rep.n, 0) > 30 * b.n AS base_failed,
     NOT (b.n < 20 OR 100 * coalesce(rep.n, 0) > 30 * b.n) AND coalesce(near.ok, true) AS kept

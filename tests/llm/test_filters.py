@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -74,34 +75,41 @@ def plain_classes(text, n_chars):
     return [max(0, x) / max(1, n_chars) for x in [*inside, n_chars - sum(inside)]]
 
 
+def plain_limit(least, bins, n, m):
+    chance = (bins - 1 + 3 * math.sqrt(2 * (bins - 1))) / (8 * math.log(2)) * (1 / max(1, n) + 1 / m)
+    return math.sqrt(least**2 + chance)
+
+
 def test_quality(spark, docs, rows):
     extra = [(900, "a b c d e f g h " * 30, "en", "s"), (901, "\n".join(["same line here", "", " ", "same line here"] * 9), "en", "s"), (902, "one two three four five six seven eight nine " * 2, "en", "s"), (903, "$$ ## ** || <> && %% " * 20, "en", "s")]
     from tests.llm.conftest import frame
 
     all_docs, all_rows = docs.unionByName(frame(spark, extra)), [*rows, *extra]
-    refs = quality_rules.references(all_docs)
+    refs = sorted(quality_rules.references(all_docs).collect(), key=lambda r: r["lang"])
     counted, totals = defaultdict(Counter), Counter()
     for _, text, lang, _ in all_rows:
         if lang is not None:
             words = re.findall(r"[^\x20\x09-\x0d]+", text or "")
             counted[lang].update(words)
             totals[lang] += len(words)
-    assert [r["lang"] for r in refs] == sorted(x for x in totals if totals[x] >= 0.01 * sum(totals.values()))
+    assert [r["lang"] for r in refs] == sorted(x for x in totals if totals[x])
     for r in refs:
         assert set(r["words"]) == {w for w, n in counted[r["lang"]].items() if n >= max(1, totals[r["lang"]] * quality_rules.WORD_SHARE)}
     got = quality_rules.judge_quality(all_docs).collect()
     expected = Counter()
-    for i, text, _, _ in all_rows:
+    for i, text, lang, _ in all_rows:
         c = plain_counts(text)
         failed = c[0] < 20 or 100 * c[4] > 30 * c[0]
         words = re.findall(r"[^\x20\x09-\x0d]+", text or "")
-        near = False
-        for r in refs:
+        own = [r for r in refs if r["lang"] == lang or lang is None]
+        near = not own or c[0] < quality_rules.MIN_JUDGED
+        for r in own:
             by_chars = plain_distance(plain_classes(text or "", c[1]), r["chars"])
             shares = [words.count(w) / max(1, len(words)) for w in r["words"]]
-            by_words = plain_distance([*shares, max(0.0, 1 - sum(shares))], [*r["shares"], max(0.0, 1 - sum(r["shares"]))])
-            more = quality_rules.SLACK / max(1, c[0])
-            near |= c[0] < quality_rules.MIN_JUDGED or (by_chars <= quality_rules.MAX_CHARS + more and by_words <= quality_rules.MAX_WORDS + more)
+            known = [*r["shares"], max(0.0, 1 - sum(r["shares"]))]
+            by_words = plain_distance([*shares, max(0.0, 1 - sum(shares))], known)
+            least = 0.7 * plain_distance([*[0.0] * len(shares), 1.0], known)
+            near |= by_chars <= plain_limit(quality_rules.MAX_CHARS, 5, c[0], r["n"]) and by_words <= plain_limit(least, len(known), c[0], r["n"])
         expected[(i, *c, failed, not failed and near)] += 1
     assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"]) for r in got) == expected
     assert {r["doc_id"]: r["kept"] for r in got}[903] is False
@@ -113,6 +121,42 @@ def test_quality_empty(docs, empty):
     assert bare.count() == 5
 
 
+def zipf_text(rng, words, n):
+    return " ".join(rng.choices(words, [1 / (k + 1) for k in range(len(words))], k=n))
+
+
+@pytest.mark.parametrize("n", [30, 80, 300])
+def test_clean_short_texts_are_kept(spark, n):
+    """Texts of one distribution, nearly all of whose words are common, diverge from their sum by chance alone; a rare language is no worse off."""
+    rng = random.Random(n)
+    many, few = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(62)], [f"q{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
+    rows = [(i, zipf_text(rng, many, n), "aa") for i in range(1500)] + [(i + 1500, zipf_text(rng, few, n), "bb") for i in range(2)]
+    rows += [(i + 1600, zipf_text(rng, many, n), None) for i in range(100)]  # judged by any reference
+    got = [r for r in quality_rules.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect() if not r["base_failed"]]
+    for part in (range(1500), range(1500, 1502), range(1600, 1700)):
+        own = [r["kept"] for r in got if r["doc_id"] in part]
+        assert sum(own) >= 0.95 * len(own)
+
+
+def test_texts_without_common_words_fail(spark):
+    """Long texts of letters in which no common word occurs, or one occurs far too often."""
+    rng = random.Random(4)
+    common, rare = [f"w{chr(97 + i)}" for i in range(20)], [f"x{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(2000)]
+
+    def text(n, share):
+        return " ".join(rng.choice(common) if rng.random() < share else rng.choice(rare) for _ in range(n))
+
+    rows = [(i, text(300, 0.35), "aa") for i in range(300)] + [(1000 + i, text(400, 0.0), "aa") for i in range(5)] + [(2000 + i, " ".join(rng.choice([common[0], rng.choice(rare)]) for _ in range(400)), "aa") for i in range(5)]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(kept[i] for i in range(300)) and not any(kept[i] for i in kept if i >= 1000)
+
+
+def test_languages_without_a_reference_are_not_judged(spark):
+    docs = spark.createDataFrame([(1, "some words of a text " * 2 + " ".join(f"n{i}" for i in range(30)), "aa")], "doc_id long, text string, lang string")
+    other = quality_rules.references(docs.selectExpr("doc_id", "'zz' AS lang", "'y ' || upper(text) AS text"))
+    assert quality_rules.judge_quality(docs, other).first()["kept"]
+
+
 def plain_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
