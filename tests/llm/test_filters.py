@@ -1,6 +1,7 @@
 """URL filters, quality rules, mixing and bundles against plain versions."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -125,6 +126,86 @@ def zipf_text(rng, words, n):
     return " ".join(rng.choices(words, [1 / (k + 1) for k in range(len(words))], k=n))
 
 
+def mixed(spark, rows):
+    """Words taken of each source by its target."""
+    got = source_mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = Counter(), {}
+    by_doc = {i: s for i, _, s in rows}
+    for r in got:
+        taken[by_doc[r["doc_id"]]] += r["taken"]
+        target[by_doc[r["doc_id"]]] = r["target"]
+    assert len(got) == len(rows)
+    return {s: taken[s] / target[s] for s in target}
+
+
+def test_mixing_splits_equal_rows(spark, monkeypatch):
+    """Rows of one doc_id and text, alone and as a third of a source; sources whose names hold odd characters."""
+    monkeypatch.setattr(source_mixing, "RUN", 64)
+    assert mixed(spark, [(1, "one two three four", "a")] * 1000)["a"] == pytest.approx(1, abs=0.005)
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randint(1, 60), rng.choice(["a\x01b", 'c"', "[]"])) for i in range(2000)] + [(5000, "hot " * 30, "hot")] * 700 + [(5001 + i, "x " * rng.randint(1, 60), "hot") for i in range(700)]
+    for share in mixed(spark, rows).values():
+        assert share == pytest.approx(1, abs=0.01)
+
+
+def test_mixing_is_the_same_in_any_layout(spark):
+    rows = [(i % 90, f"w{i % 90} " * (1 + i % 90 % 7), f"s{i % 90 % 2}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two = (Counter(map(tuple, source_mixing.mix(docs.repartition(n)).collect())) for n in (1, 5))
+    assert one == two
+    repeated = Counter(r["doc_id"] for r in source_mixing.repeat_mixed(docs.repartition(3)).collect())
+    wanted = Counter()
+    for (i, size, _, _, taken), n in one.items():
+        wanted[i] += n * taken // size
+    assert repeated == +wanted
+
+
+def plain_least_cost(supply, members, quota, copies):
+    """(words routed, least cost) over all flows: copy k of a pattern's words costs k * k each."""
+    routes = [(p, s) for p in supply for s in members[p]]
+    best = (0, 0)
+    for flow in itertools.product(*(range(min(quota[s], copies * supply[p]) + 1) for p, s in routes)):
+        by_p, by_s = Counter(), Counter()
+        for (p, s), n in zip(routes, flow, strict=True):
+            by_p[p] += n
+            by_s[s] += n
+        if all(by_s[s] <= quota[s] for s in quota) and all(by_p[p] <= copies * supply[p] for p in supply):
+            cost = sum(min(supply[p], max(0, by_p[p] - k * supply[p])) * k * k for p in supply for k in range(copies))
+            best = min(best, (-sum(flow), cost))
+    return -best[0], best[1]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_flow_costs_least(seed):
+    rng = random.Random(seed)
+    sources, copies = ["A", "B", "C"][: rng.randint(1, 3)], rng.randint(1, 3)
+    supply = {p: rng.randint(0, 3) for p in "xyz"[: rng.randint(1, 3)]}
+    members = {p: rng.sample(sources, min(len(sources), rng.randint(1, 2))) for p in supply}
+    quota = {s: rng.randint(0, 5) for s in sources}
+    flow = source_mixing.min_cost_flow(supply, members, quota, copies)
+    by_p, by_s = {p: sum(f.values()) for p, f in flow.items()}, Counter()
+    for p, f in flow.items():
+        assert set(f) <= set(members[p])
+        by_s.update(f)
+    assert all(by_s[s] <= quota[s] for s in by_s) and all(by_p[p] <= copies * supply[p] for p in supply)
+    cost = sum(min(supply[p], max(0, by_p[p] - k * supply[p])) * k * k for p in supply for k in range(copies))
+    assert (sum(by_p.values()), cost) == plain_least_cost(supply, members, quota, copies)
+
+
+def test_flow_of_many_patterns():
+    """A component of hundreds of patterns that share sources fills every quota it can."""
+    rng = random.Random(3)
+    sources = [f"s{i}" for i in range(12)]
+    members = {f"p{i}": rng.sample(sources, 3) for i in range(400)}
+    supply = {p: rng.randint(1, 10**6) for p in members}
+    quota = {s: sum(supply.values()) // 10 for s in sources}
+    flow = source_mixing.min_cost_flow(supply, members, quota)
+    by_s = Counter()
+    for f in flow.values():
+        by_s.update(f)
+    assert by_s == quota
+
+
 @pytest.mark.parametrize("n", [30, 80, 300])
 def test_clean_short_texts_are_kept(spark, n):
     """Texts of one distribution, nearly all of whose words are common, diverge from their sum by chance alone; a rare language is no worse off."""
