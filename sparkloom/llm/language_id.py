@@ -6,9 +6,10 @@ text's vector is their average, and a linear softmax over it gives the languages
 model of up to ``DIM`` languages is folded into one table of bucket by language (about 2 MB for 4 languages); one of more
 is broadcast as embedding and weights (about 8 MB, and 128 bytes a language).
 
-Training: a bounded sample of labelled rows, ``TRAIN_DOCS`` documents over all languages, each language alike, drawn by a
-hash of the id, and about ``LEAST_EACH`` of each language where there are so many that they would get fewer. Every label is
-learned: a language that the draw or the fit would leave out gets a row. A part of the sample is kept out of the fit and gives the
+Training: a bounded sample of labelled texts, ``TRAIN_DOCS`` over all languages, the same number of each language at most, or
+``LEAST_EACH`` of each where there are so many languages that they would get fewer. Equal texts count once, the texts of
+least hash are taken, and ``MOST_RUNS`` distinct runs of a text at most (the most frequent), so that what reaches the
+driver is bounded whatever rows repeat. Every label is learned: a language that the fit would leave out gets a text. A part of the sample is kept out of the fit and gives the
 temperature (by likelihood) and the rejection threshold: a document is rejected if its calibrated score is below the
 score that ``1 - REJECT_SHARE`` of the correctly labelled kept-out documents exceed, ``MAX_THRESHOLD`` at most, or if it is
 ``und``. Short excerpts of each document are trained on too, so that short texts score well.
@@ -27,13 +28,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bound_batches, crc_mod, slices
+from sparkloom.llm.common import bound_batches, crc_mod, slices, staged
 
 BUCKETS, DIM, SIZES = 1 << 16, 16, (2, 3, 4)
 TRAIN_DOCS, LEAST_EACH, EPOCHS, RATE = 4000, 8, 6, 0.5
+MOST_RUNS = 4096
 REJECT_SHARE, MAX_THRESHOLD = 0.001, 0.5
 #: Probabilities held at once.
 MOST_CELLS = 1 << 22
@@ -137,19 +139,30 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[
     return Model(langs, table, b, best, threshold, weights)
 
 
+def sample_texts(docs: DataFrame, may_learn: Column, train_docs: int = TRAIN_DOCS) -> DataFrame | None:
+    """(lang, text, hash) of the texts to learn from: distinct, a bounded number of each language; None if there is no labelled row."""
+    spark = docs.sparkSession
+    labelled = docs.select(F.col("lang").alias("lang"), F.col("text").alias("text"), may_learn.alias("may")).filter("may and lang is not null and text is not null")
+    labelled = labelled.select("lang", "text", F.xxhash64(F.lit("language"), "text").alias("hash"))
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()  # a row for each language
+    if not counts:
+        return None
+    each = max(LEAST_EACH, train_docs // len(counts))
+    # twice as many as wanted pass a threshold on the hash, so that no sort of all rows is needed; where few do, all are taken
+    shares = spark.createDataFrame([(r["lang"], min(1.0, 2 * (each + LEAST_EACH) / max(1, r["n"]))) for r in counts], "lang string, share double")
+    drawn = F.shiftrightunsigned("hash", 11) / float(1 << 53)
+    few = labelled.select("lang", "hash").join(shares, "lang").filter(drawn < F.col("share")).groupBy("lang", "hash").agg(F.count(F.lit(1)).alias("n"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("hash", 11), "hash"))  # of about twice ``each``
+    keys = staged(few.withColumn("place", first).filter(F.col("place") <= each).select("lang", "hash"), "language-sample")
+    return labelled.join(F.broadcast(keys), ["lang", "hash"]).groupBy("lang", "hash").agg(F.first("text").alias("text"))
+
+
 def fit_languages(docs: DataFrame, may_learn: Column, train_docs: int = TRAIN_DOCS) -> Model | None:
     """Learns from a bounded sample of the rows where ``may_learn``; None if there is no labelled row."""
     bound_batches(docs.sparkSession)
-    labelled = docs.select(F.col("doc_id").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").alias("text"), may_learn.alias("may")).filter("may and lang is not null and text is not null")
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language
-    if not counts:
+    sample = sample_texts(docs, may_learn, train_docs)
+    if sample is None:
         return None
-    langs = sorted(r["lang"] for r in counts)
-    each = max(LEAST_EACH, train_docs // len(langs))
-    shares = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in counts], "lang string, share double"))
-    drawn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("language")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    held = (crc_mod(F.concat_ws("/", "doc_id", F.lit("calibrate")), 6) == 0).alias("held")
-    sample = labelled.join(shares, "lang").filter(drawn < F.col("share")).select("lang", "text", held)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -157,17 +170,15 @@ def fit_languages(docs: DataFrame, may_learn: Column, train_docs: int = TRAIN_DO
             for lang, text, held in zip(pdf["lang"], pdf["text"], pdf["held"], strict=True):
                 runs, _ = buckets([text])
                 ids, n = np.unique(runs[runs != BUCKETS], return_counts=True)
-                rows.append((lang, ids.astype("<u2").tobytes(), np.minimum(n, 65535).astype("<u2").tobytes(), held))
+                most = np.sort(np.argsort(-n, kind="stable")[:MOST_RUNS])
+                rows.append((lang, ids[most].astype("<u2").tobytes(), np.minimum(n[most], 65535).astype("<u2").tobytes(), held))
             yield pd.DataFrame(rows, columns=["lang", "ids", "n", "held"])
 
-    kinds = "lang string, ids binary, n binary, held boolean"
-    got = sample.mapInPandas(features, kinds).toPandas()
-    if missed := sorted(set(langs) - set(got["lang"])):  # not drawn at all: a row each
-        own = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in missed], "lang string"))
-        one = labelled.join(own, "lang").groupBy("lang").agg(F.min_by("text", F.xxhash64("doc_id", "text")).alias("text"))
-        got = pd.concat([got, one.select("lang", "text", F.lit(False).alias("held")).mapInPandas(features, kinds).toPandas()])
+    held = (F.pmod("hash", F.lit(6)) == 0).alias("held")
+    got = sample.select("lang", "text", held).mapInPandas(features, "lang string, ids binary, n binary, held boolean").toPandas()
     got["held"] = got["held"].astype(bool) & (~got["held"].astype(bool)).groupby(got["lang"]).transform("any")  # each language is fitted
     got = got.sort_values(["lang", "ids", "n"], kind="stable").reset_index(drop=True)  # the order of arrival doesn't matter
+    langs = sorted(set(got["lang"]))
     number = {x: i for i, x in enumerate(langs)}
     data = [(np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(n, "<u2").astype(float)) for i, n in zip(got["ids"], got["n"], strict=True)]
     return train(data, got["lang"].map(number).to_numpy(np.int64), langs, got["held"].to_numpy(bool)) if data else None
