@@ -7,8 +7,9 @@ leaves most weights at zero; what is left is a sorted list of feature ids and we
 what is broadcast. A text's features are first looked up in a bitmap of the weights' low bits, so that almost all are
 dropped at a byte each.
 
-Training: a bounded sample of labelled rows, at most ``TRAIN_DOCS`` of each label, drawn by a hash of the id; the
-intercept is corrected for the labels' shares in all rows that may be learned from. Label 1 against 0; rows whose label
+Training: a bounded sample of labelled rows, at most ``TRAIN_DOCS`` ids of each label, those of least hash; of an id's
+rows the text of least hash is learned from, and of a text ``MOST_FEATURES`` features at most (those of least hash, the
+same ones in every text), so that what reaches the driver is bounded whatever rows repeat. The intercept is corrected for the labels' shares in all rows that may be learned from. Label 1 against 0; rows whose label
 is null are not learned from, and of an id with several labels the largest counts.
 
 Defined cases: null or empty text: the score of a text without features; no labels, or labels of one kind: every score
@@ -36,6 +37,7 @@ ALPHA, BETA, L1, L2 = 0.3, 1.0, 6.0, 1.0
 LEAST_DOCS = 3
 THRESHOLD = 0.3
 STEMS = (4, 5, 6, 7, 8)
+MOST_FEATURES = 1 << 14
 BITMAP = 1 << 22
 SKETCH = 1 << 24
 
@@ -142,16 +144,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, train_do
     if len(n) < 2:
         sure = 50.0 if 1 in n else -50.0
         return Weights(np.empty(0, np.uint32), np.empty(0), sure)
-    # some more than wanted are drawn by a threshold on the hash, so that no sort of all rows is needed
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, train_docs / n[1]))).otherwise(F.lit(min(1.0, train_docs / n[0])))
-    sample = known.filter(drawn < share)  # about 2 * train_docs ids at most
+    # twice as many as wanted pass a threshold on the hash, so that little is sorted
+    drawn = F.xxhash64(F.lit("toxicity"), F.col("doc_id").cast("string"))
+    share = lambda label: min(1.0, 2 * train_docs / n[label] + 1e-6)
+    of = lambda label: known.filter((F.col("toxic") == label) & (F.shiftrightunsigned(drawn, 11) / float(1 << 53) < share(label))).orderBy(drawn, "doc_id").limit(train_docs)
+    sample = staged(of(0).unionByName(of(1)), "toxicity-ids")  # 2 * train_docs rows at most
     texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # map-side, so that a hot id is a few rows by then
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         for pdf in batches:
-            yield pd.DataFrame([(i, int(y), np.unique(features([t], words)[0]).tobytes()) for i, y, t in zip(pdf["doc_id"], pdf["toxic"], pdf["text"], strict=True)], columns=["doc_id", "toxic", "f"])
+            yield pd.DataFrame([(i, int(y), np.unique(features([t], words)[0])[:MOST_FEATURES].tobytes()) for i, y, t in zip(pdf["doc_id"], pdf["toxic"], pdf["text"], strict=True)], columns=["doc_id", "toxic", "f"])
 
     # written once and read twice, a partition at a time: the driver holds one partition and what is learned from
     found = staged(texts.select("doc_id", "toxic", "text").mapInPandas(extract, "doc_id long, toxic int, f binary"), "toxicity-sample")

@@ -1,5 +1,6 @@
 """Language ID, toxicity and the language model: contracts, held-out accuracy, and exact parts against plain versions."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -97,6 +98,41 @@ def test_language_table_is_the_model():
         assert np.allclose(z, v @ w + model.bias)
 
 
+def plain_runs(text):
+    """Buckets of a text by enumeration of its runs of 2, 3 and 4 bytes."""
+    b = b" " + "".join(text or "").lower().encode() + b" "
+    b = bytes(x if x >= 0x80 or chr(x).isalpha() else 0x20 for x in b)
+    out = Counter()
+    for size in (2, 3, 4):
+        for i in range(len(b) - size + 1):
+            run = b[i : i + size]
+            if 0x20 not in run[1:-1] and run != b"  ":
+                salted = int.from_bytes(run, "little") + (size - 1) * 0x51ED27
+                out[(salted * 2654435761 & 0xFFFFFFFF) >> 16] += 1
+    return out
+
+
+def test_runs_by_enumeration():
+    texts = ["the cat", None, "", "a", "\u00c9t\u00e9 na\u00efve, 12 x-y", "  ", "\u4e2d\u6587 abc"]
+    runs, starts = language_id.buckets(texts)
+    for text, a, z in zip(texts, starts, [*starts[1:], runs.shape[1]], strict=True):
+        own = runs[:, a:z]
+        assert Counter(own[own != language_id.BUCKETS].tolist()) == plain_runs(text)
+
+
+@pytest.mark.parametrize("ids", ["shared", "null"])
+def test_the_sample_of_languages_is_bounded(spark, monkeypatch, ids):
+    """A third of the rows share an id, or a text; or all ids are null."""
+    monkeypatch.setattr(language_id, "LEAST_EACH", 4)
+    rows = [(None if ids == "null" or i % 3 == 0 else i, f"text {i} of many" if i % 7 else "one text again and again", ("en", "de", "fr")[i % 5 % 3]) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id.sample_texts(docs.repartition(3), F.lit(True), 90).collect()
+    per = Counter(r["lang"] for r in sample)
+    assert set(per) == {"en", "de", "fr"} and max(per.values()) <= 30 and min(per.values()) >= 25
+    assert len({(r["lang"], r["text"]) for r in sample}) == len(sample)
+    assert {tuple(r) for r in sample} == {tuple(r) for r in language_id.sample_texts(docs.repartition(7), F.lit(True), 90).collect()}
+
+
 def labels_of(spark, toxic):
     return spark.createDataFrame([*((i, 1, t, "odd") for i, t in toxic.items()), (None, 1, 1, "odd"), (3, 0, None, "odd"), (5, 1, toxic[5], "odd")], "doc_id long, quality int, toxic int, score string")
 
@@ -127,6 +163,55 @@ def test_toxicity_odd(spark, many, docs, rows, empty):
     assert {r["predicted"] for r in toxicity.score_toxicity(docs, sure, F.lit(False)).collect()} == {1}
 
 
+def plain_ftrl(docs, y, passes):
+    """FTRL-proximal a coordinate at a time."""
+    n = Counter(f for d in docs for f in set(d))
+    z, s = dict.fromkeys(n, 0.0), dict.fromkeys(n, 0.0)
+    zb = sb = 0.0
+
+    def weight(z, s, l1=toxicity.L1, l2=toxicity.L2):
+        return 0.0 if abs(z) <= l1 else -(z - math.copysign(l1, z)) / ((toxicity.BETA + math.sqrt(s)) / toxicity.ALPHA + l2)
+
+    for i in passes:
+        own = [f for f in docs[i] if n[f] >= toxicity.LEAST_DOCS]
+        w, b = {f: weight(z[f], s[f]) for f in own}, weight(zb, sb, 0.0, 0.0)
+        g = 1 / (1 + math.exp(-(sum(w.values()) + b))) - y[i]
+        for f in own:
+            z[f] += g - (math.sqrt(s[f] + g * g) - math.sqrt(s[f])) / toxicity.ALPHA * w[f]
+            s[f] += g * g
+        zb += g - (math.sqrt(sb + g * g) - math.sqrt(sb)) / toxicity.ALPHA * b
+        sb += g * g
+    return {f: w for f in n if (w := weight(z[f], s[f]))}, weight(zb, sb, 0.0, 0.0)
+
+
+def test_ftrl_and_score_against_plain_versions(monkeypatch):
+    monkeypatch.setattr(toxicity, "L1", 0.3)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["bad", "worse", "fine", "good", "word", "other"]) for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    y = np.array([float("bad" in t or rng.random() < 0.1) for t in texts])
+    found = [np.unique(toxicity.features([t], toxicity.Words())[0]) for t in texts]
+    model = toxicity.ftrl(found, y)
+    order = np.random.default_rng(11)
+    weights, bias = plain_ftrl([d.tolist() for d in found], y, [i for _ in range(toxicity.EPOCHS) for i in order.permutation(len(texts))])
+    assert model.intercept == pytest.approx(bias) and dict(zip(model.ids.tolist(), model.values.tolist(), strict=True)) == pytest.approx(weights)
+    assert len(weights) > 5
+    again = [*texts, None, "", "unseen"]
+    plain = [1 / (1 + math.exp(-bias - sum(weights.get(f, 0.0) for f in set(toxicity.features([t], toxicity.Words())[0].tolist())))) for t in again]
+    assert model.score(again, toxicity.Words()) == pytest.approx(plain)
+
+
+def test_the_sample_of_labels_is_bounded(spark, monkeypatch, many):
+    """A hot id, and equal texts, don't make the fit read more rows than its bound."""
+    docs, _, toxic = many
+    seen = []
+    monkeypatch.setattr(toxicity, "ftrl", lambda d, y, ftrl=toxicity.ftrl: (seen.append((len(d), max(map(len, d)))), ftrl(d, y))[1])
+    hot = spark.createDataFrame([(5, f"bad words {i}") for i in range(2000)], "doc_id long, text string")
+    toxicity.fit_toxicity(docs.select("doc_id", "text").unionByName(hot), labels_of(spark, toxic), F.lit(True), train_docs=50)
+    monkeypatch.setattr(toxicity, "MOST_FEATURES", 16)
+    toxicity.fit_toxicity(docs, labels_of(spark, toxic), F.lit(True), train_docs=50)
+    assert seen[0][0] <= 100 and seen[1][0] <= 100 and seen[1][1] <= 16
+
+
 def test_features():
     words = toxicity.Words(most=5)
     f, doc = toxicity.features(["a b c", None, "a b", ""], words)
