@@ -4,13 +4,13 @@ A rule is (host, path, verdict). It fits a URL whose host is the rule's or a sub
 the rule's. Of the rules that fit, the longest (host and path together) wins; of two as long, the one with the longer
 host. For a (host, path) that is listed with both verdicts, ``block`` holds.
 
-Every URL is expanded into the expressions that any rule could equal: the host's last k labels followed by the path's
-first n characters, for the (k, n) shapes that occur among the rules. Expressions meet rules in an equi-join on the
+Every URL is expanded into the expressions that any rule could equal: the host's last k labels, a slash (which no host
+holds, so that what is host and what is path can't be mistaken) and the path's first n characters, for the (k, n) shapes that occur among the rules. Expressions meet rules in an equi-join on the
 first 8 hex digits of their SHA-256; the full digest then confirms, as in safe-browsing lists. No expression is made for
 shapes that no rule has, so a long path costs no more than a short one.
 
-Defined cases: a null URL, or one without ``://``, has an empty host and path and fits no rule; rules with a null or
-empty host are ignored, a null rule path counts as empty; repeated pages each get their row; an empty table gives an
+Defined cases: a null URL, or one without ``://``, has an empty host and path and fits no rule; rules whose host is null,
+empty or holds what ends a host are ignored, a null rule path counts as empty; repeated pages each get their row; an empty table gives an
 empty result. Columns of the page table other than the two used are neither read nor returned.
 
 The rules are broadcast while they are at most ``BROADCAST_RULES`` (about 200 bytes each); beyond that they are
@@ -39,8 +39,8 @@ def path_of(url: Column) -> Column:
 def _prepared(rules: DataFrame) -> DataFrame:
     """One row per (host, path): labels of the host, expression, digest, prefix, verdict."""
     r = rules.select(ascii_lower(F.col("host")).alias("rh"), F.coalesce("path", F.lit("")).alias("rp"), F.col("verdict").alias("rv"))
-    r = r.filter((F.col("rh") != "") & F.col("rv").isNotNull()).groupBy("rh", "rp").agg(F.max("rv").alias("rv"))
-    r = r.withColumn("rule", F.concat("rh", "rp")).withColumn("digest", F.sha2("rule", 256))
+    r = r.filter(F.col("rh").rlike("^[^/?#]+$") & F.col("rv").isNotNull()).groupBy("rh", "rp").agg(F.max("rv").alias("rv"))
+    r = r.withColumn("rule", F.concat("rh", "rp")).withColumn("digest", F.sha2(F.concat_ws("/", "rh", "rp"), 256))
     return r.select("rh", "rule", "rv", "digest", F.substring("digest", 1, 8).alias("prefix"), F.size(F.split("rh", r"\.")).alias("k"), F.char_length("rp").alias("n"))
 
 
@@ -56,7 +56,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     labels, length = F.size(F.split("host", r"\.")), F.char_length("path")
     fits = F.filter(listed, lambda s: (s["k"] <= labels) & (s["n"] <= length))
     tail = lambda k: F.array_join(F.slice(F.split(F.col("host"), r"\."), labels - k + 1, k), ".")
-    expressions = F.transform(fits, lambda s: F.concat(tail(s["k"]), F.substring(F.col("path"), F.lit(1), s["n"])))
+    expressions = F.transform(fits, lambda s: F.concat(tail(s["k"]), F.lit("/"), F.substring(F.col("path"), F.lit(1), s["n"])))
     e = p.withColumn("expression", F.explode_outer(expressions)).withColumn("full", F.sha2("expression", 256)).withColumn("short", F.substring("full", 1, 8))
     confirmed = F.col("full") == F.col("digest")
     if many:
@@ -75,4 +75,4 @@ RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 
 
 def rules_of(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(str(r) for r in RULES) + " AS r(host, path, verdict)")

@@ -40,6 +40,14 @@ def test_urls(spark, most):
     assert Counter(tuple(r) for r in got.collect()) == Counter(expected)
 
 
+def test_host_and_path_are_kept_apart(spark):
+    """No rule fits by characters of the host that a URL has in its path, whatever the lengths of rules."""
+    rules = [("example.co", "m/", "block"), ("a.b", "/", "block"), ("x/y", "/z", "block"), ("c", None, "block")]
+    pages = spark.createDataFrame([(i, f"http://{u}") for i, u in enumerate(["example.com/en/x", "a.b/c", "x/y/z", "q.c?d", "example.co/m/"])], "page_id long, url string")
+    got = url_filter.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    assert [r["rule"] for r in sorted(got)] == [None, "a.b/", None, "c", None]
+
+
 def test_urls_sql_and_empty(spark):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
     duck = duckdb.connect()
