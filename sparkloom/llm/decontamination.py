@@ -1,4 +1,4 @@
-"""Benchmark decontamination: an item's rarest words join documents to it, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: rare seeds of an item, its rarest words, join documents to it, Smith-Waterman alignment scores them.
 
 Words are runs of letters and digits of the lower-cased text. Alignment is local, over words: +1 for an equal pair, -0.5
 for an unequal pair or a skipped word. A document is contaminated by an item if its alignment has equal words for at least
@@ -12,12 +12,16 @@ items' words occurs, and by that each item gets the k that costs least; the coun
 the signatures' words, and where a text has k of an item's within 3 n words, and as many words of the item as the
 criterion asks for, these are aligned. Copies in very many documents are all aligned, whatever their words' frequency.
 
-The benchmark is read in blocks of about ``BLOCK_WORDS`` words; a block's words and signatures are broadcast (about 40
+Seeds are n-grams of n = 1: a longer one is lost to edits that the criterion allows, for short items most of all. Items of
+any length are searched; of one with fewer than five words all must be there, so that items of a word or two mark every
+document with those words (``least_words`` leaves them out for those who want that).
+
+Items of one text are searched once and counted as often as they occur. The benchmark is read in blocks of about ``BLOCK_WORDS`` words; a block's words and signatures are broadcast (about 40
 bytes a word, so 40 MB at most), and all documents pass each block. With several blocks the documents are first staged with
 a row number, by which the blocks' verdicts are merged.
 
-Defined cases: items that are null or shorter than ``LEAST_WORDS`` are not searched, as chance repeats so few words; null
-and empty texts are clean; repeated items and rows are each judged; empty tables give empty results. Only doc_id and text
+Defined cases: items that are null or hold no word are in no text; null and empty texts are clean; repeated items count each, under
+the smallest of their ids; repeated rows are each judged; empty tables give empty results. Only doc_id and text
 are read by ``contaminated``; ``keep_clean`` returns the columns of its input.
 """
 
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import HashCache, bound_batches, plain_words, slices, staged
 
-LEAST_WORDS, SIMILARITY = 5, 0.8
+LEAST_WORDS, SIMILARITY = 1, 0.8
 GAP, UNEQUAL = 0.5, 0.5
 #: An alignment whose score is above 0 spans fewer words of text than this many times the item's.
 SPAN = 3
@@ -73,6 +77,7 @@ class Block:
     """Items of the benchmark."""
 
     ids: list
+    copies: list[int]  # how often the benchmark has each item
     words: list[np.ndarray]  # word hashes of each item
     known: Lookup  # of all items' words
     often: np.ndarray  # how often each of them occurs in the documents
@@ -84,6 +89,7 @@ class Index:
     """A block's items by the words of their signatures, for one similarity."""
 
     ids: list
+    copies: list[int]
     words: list[np.ndarray]
     sizes: np.ndarray  # words of each item
     need: np.ndarray  # of each item: equal words asked for
@@ -97,16 +103,18 @@ def word_cache() -> HashCache:
     return HashCache(xxhash.xxh64_intdigest)
 
 
-def block_of(items: list[tuple]) -> Block:
-    """``items``: (id, text)."""
-    cache, ids, words = word_cache(), [], []
-    for i, text in items:
+def block_of(items: list[tuple], least_words: int = LEAST_WORDS) -> Block:
+    """``items``: (id, text, copies). Those of the same words are one."""
+    cache, found = word_cache(), {}
+    for i, text, copies in items:
         h = cache.array(plain_words(text))
-        if len(h) >= LEAST_WORDS:
-            ids.append(i)
-            words.append(h)
+        if len(h) >= max(1, least_words):
+            one = found.setdefault(h.tobytes(), [i, 0, h])
+            one[0] = i if one[0] is None else one[0] if i is None else min(i, one[0])
+            one[1] += copies
+    words = [x[2] for x in found.values()]
     known = np.unique(np.concatenate(words)) if words else np.empty(0, np.uint64)
-    return Block(ids, words, Lookup(known), np.zeros(len(known), np.int64))
+    return Block([x[0] for x in found.values()], [x[1] for x in found.values()], words, Lookup(known), np.zeros(len(known), np.int64))
 
 
 def signature(times: np.ndarray, rate: np.ndarray, miss: int) -> tuple[int, int]:
@@ -139,7 +147,7 @@ def index_of(block: Block, similarity: float = SIMILARITY) -> Index:
     words, owners = np.concatenate(words), np.concatenate(owners)
     order = np.argsort(words, kind="stable")
     signs, first = np.unique(words[order], return_index=True)
-    return Index(block.ids, block.words, sizes, need, least, Lookup(signs), np.append(first, len(words)), owners[order])
+    return Index(block.ids, block.copies, block.words, sizes, need, least, Lookup(signs), np.append(first, len(words)), owners[order])
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, float, int, int]:
@@ -198,15 +206,16 @@ def _hashes(texts: list[str | None], cache: HashCache) -> tuple[np.ndarray, np.n
     return cache.array([w for x in split for w in x]), np.cumsum([0, *map(len, split)])
 
 
-def blocks_of(benchmark: DataFrame, docs: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
+def blocks_of(benchmark: DataFrame, docs: DataFrame, block_words: int = BLOCK_WORDS, least_words: int = LEAST_WORDS) -> Iterator[Block]:
     """The benchmark's blocks one by one, with the occurrences of their words counted over all documents."""
     bound_batches(docs.sparkSession)
-    items = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").alias("text")).filter("text is not null")
+    # texts that many items share are one row, so that a block is bounded whatever repeats
+    items = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").alias("text")).filter("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("copies"))
     size = F.sum(F.char_length("text"))
     n = max(1, -(-int(items.agg(size).first()[0] or 0) // (6 * block_words)))
     for k in range(n):
-        own = items.filter(F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(n)) == k).collect()  # a block
-        block = block_of(sorted(((r["item_id"], r["text"]) for r in own), key=lambda x: (x[0] is None, x[0], x[1])))
+        own = items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()  # a block
+        block = block_of(sorted(((r["item_id"], r["text"], r["copies"]) for r in own), key=lambda x: (x[0] is None, x[0], x[1])), least_words)
         if not block.ids:
             continue
         sent = docs.sparkSession.sparkContext.broadcast(block)
@@ -230,14 +239,14 @@ def blocks_of(benchmark: DataFrame, docs: DataFrame, block_words: int = BLOCK_WO
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
     """A row for each contaminated document: doc_id, item_id (the most similar item), similarity, score, first_word, last_word, n_items."""
     parts = []
     schema = "row long, doc_id long, item_id long, similarity double, score double, first_word long, last_word long, n_items long"
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
     read = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    blocks = blocks_of(benchmark, docs)
+    blocks = blocks_of(benchmark, docs, least_words=least_words)
     ahead = list(islice(blocks, 2))
     if len(ahead) > 1:  # a pass over a shuffle may number its rows anew; what is staged keeps its numbers
         read = staged(read, "decontamination-rows")
@@ -250,8 +259,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
                 texts, rows = batch.column(2).to_pylist(), []
                 for a, z in slices(texts):
                     for i, found in verdicts(of, texts[a:z], cache):
-                        item, share, score, first, last = min(found, key=lambda x: (-x[1], -x[2], x[0]))
-                        rows.append((batch.column(0)[a + i].as_py(), batch.column(1)[a + i].as_py(), of.ids[item], share, score, first, last, len(found)))
+                        item, share, score, first, last = min(found, key=lambda x: (-x[1], -x[2], of.ids[x[0]] is None, of.ids[x[0]]))
+                        rows.append((batch.column(0)[a + i].as_py(), batch.column(1)[a + i].as_py(), of.ids[item], share, score, first, last, sum(of.copies[x[0]] for x in found)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names)
 
         parts.append(read.mapInArrow(run, schema))
@@ -307,11 +316,11 @@ def _found(of: Index, h: np.ndarray, bounds: np.ndarray, doc: np.ndarray, places
         yield now, out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item of the benchmark."""
     at = docs.columns.index("text")
     out = docs
-    for block in blocks_of(benchmark, docs):
+    for block in blocks_of(benchmark, docs, least_words=least_words):
         sent = docs.sparkSession.sparkContext.broadcast(index_of(block, similarity))
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -169,7 +169,7 @@ def test_decontamination(spark, tmp_path, empty):
             if len(w) >= decontamination.LEAST_WORDS and len(h) and decontamination.align(w, h)[0] >= 0.8 * len(w):
                 expected.add(i)
     assert set(found) == expected >= dirty | {None}
-    assert found[16]["n_items"] == 2 and found[16]["item_id"] in (2, 60) and all(r["similarity"] >= 0.8 for r in found.values())
+    assert found[16]["n_items"] >= 2 and found[16]["item_id"] == 2 and all(r["similarity"] >= 0.8 for r in found.values())
     clean = decontamination.keep_clean(docs, bench)
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {r[0] for r in rows} - expected
     blocks = list(decontamination.blocks_of(bench, docs, block_words=20))
@@ -186,14 +186,24 @@ EDITS = {
 }
 
 
+def in_order(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
 @pytest.mark.parametrize("edit", sorted(EDITS))
 def test_evenly_edited_copies_are_found(spark, tmp_path, edit):
     """Whatever the whole-text alignment finds, also where a third of all rows are copies."""
     rng = random.Random(12)
-    items = [(n, " ".join(rng.choice(["the", "of", "and", f"w{rng.randrange(4000)}", f"w{rng.randrange(60)}"]) for _ in range(n))) for n in (5, 6, 7, 10, 11, 15, 20, 34, 50)] + [(99, "a " * 9 + "bee")]
+    items = [(n, " ".join(rng.choice(["the", "of", "and", f"w{rng.randrange(4000)}", f"w{rng.randrange(60)}"]) for _ in range(n))) for n in (1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 15, 20, 34, 50)] + [(99, "a " * 9 + "bee")]
     noise = lambda n: [f"w{rng.randrange(4000)}" if rng.random() < 0.6 else rng.choice(["the", "of", "and"]) for _ in range(n)]
     rows = [(i, " ".join([*noise(30), *EDITS[edit](t.split()), *noise(40)]), "en", "s") for i, t in items]
-    rows += [(1000 + k, rows[6][1], "en", "s") for k in range(40)] + [(2000 + k, " ".join(noise(120)), "en", "s") for k in range(70)]
+    rows += [(1000 + k, rows[10][1], "en", "s") for k in range(40)] + [(2000 + k, " ".join(noise(120)), "en", "s") for k in range(70)]
     path = str(tmp_path / "d.parquet")
     frame(spark, rows).repartition(3).write.parquet(path)
     got = {r["doc_id"]: r["n_items"] for r in decontamination.contaminated(spark.read.parquet(path), spark.createDataFrame(items, "item_id long, text string")).collect()}
@@ -202,13 +212,19 @@ def test_evenly_edited_copies_are_found(spark, tmp_path, edit):
         for _, t in items:
             w = cache.array(plain_words(t))
             expected[i] += decontamination.align(w, cache.array(plain_words(text)))[0] >= 0.8 * len(w)
-    assert got == +expected and set(got) >= {i for i, _ in items[:-1]} | set(range(1000, 1040))
+    assert set(got) >= {i for i, _ in items[:-1]} | set(range(1000, 1040)) and all(got.get(i, 0) >= n for i, n in expected.items())
+    # of alignments that score alike one may have more equal words: what is found beyond has them in order within reach
+    for i, text, _, _ in rows:
+        if got.get(i, 0) > expected[i]:
+            h = plain_words(text)
+            reach = [any(in_order(w, h[a : a + 3 * len(w)]) >= 0.8 * len(w) for a in range(len(h))) for w in (plain_words(t) for _, t in items)]
+            assert got[i] <= sum(reach)
 
 
 @settings(deadline=None, max_examples=200)
-@given(st.lists(st.integers(0, 9), min_size=5, max_size=14), st.lists(st.integers(0, 12), max_size=60), st.lists(st.integers(0, 30), min_size=13, max_size=13))
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=14), st.lists(st.integers(0, 12), max_size=60), st.lists(st.integers(0, 30), min_size=13, max_size=13))
 def test_signatures_lose_nothing(item, text, often):
-    block = decontamination.block_of([(1, " ".join(f"w{x}" for x in item))])
+    block = decontamination.block_of([(1, " ".join(f"w{x}" for x in item), 1)])
     cache = decontamination.word_cache()
     rate = {cache[b"w%d" % x]: often[x] for x in range(10)}
     block.often[:] = [rate[int(w)] for w in block.known.words]
@@ -218,6 +234,24 @@ def test_signatures_lose_nothing(item, text, often):
         assert [i for i, _ in decontamination.verdicts(of, ["", " ".join(f"w{x}" for x in text)], cache)] == [1]
 
 
+def test_copies_of_an_item_are_one(spark):
+    """A benchmark most of whose items are one text has small blocks, and counts all of them."""
+    rng = random.Random(16)
+    texts = [sentence(rng, "en", 12) for _ in range(8)]
+    bench = spark.createDataFrame([(i, texts[0]) for i in range(3000)] + [(5000 + i, t) for i, t in enumerate(texts[1:])], "item_id long, text string").repartition(3)
+    docs = spark.createDataFrame([(1, f"so {texts[0]} it ended"), (2, texts[3].upper()), (3, "nothing of it")], "doc_id long, text string")
+    blocks = list(decontamination.blocks_of(bench, docs, block_words=500))
+    assert sum(len(b.ids) for b in blocks) == 8 and all(len(b.ids) <= 8 for b in blocks)
+    got = {r["doc_id"]: (r["item_id"], r["n_items"]) for r in decontamination.contaminated(docs, bench).collect()}
+    assert got == {1: (0, 3000), 2: (5002, 1)}
+
+
+def test_short_items_can_be_left_out(spark):
+    docs, bench = spark.createDataFrame([(1, "a yes b"), (2, "no")], "doc_id long, text string"), spark.createDataFrame([(1, "yes"), (2, "yes yes no no yes"), (3, ""), (4, "...")], "item_id long, text string")
+    assert [r["doc_id"] for r in decontamination.contaminated(docs, bench).collect()] == [1]
+    assert decontamination.contaminated(docs, bench, least_words=5).collect() == []
+
+
 def test_decontamination_in_blocks(spark, tmp_path, monkeypatch):
     rng = random.Random(6)
     items = [(i, sentence(rng, "en", 20)) for i in range(6)]
@@ -226,7 +260,7 @@ def test_decontamination_in_blocks(spark, tmp_path, monkeypatch):
     frame(spark, rows).write.parquet(path)
     bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.read.parquet(path)
     whole = decontamination.blocks_of
-    monkeypatch.setattr(decontamination, "blocks_of", lambda b, d: whole(b, d, 10))
+    monkeypatch.setattr(decontamination, "blocks_of", lambda b, d, **k: whole(b, d, 10, **k))
     got = {r["doc_id"]: r["n_items"] for r in decontamination.contaminated(docs, bench).collect()}
     assert got == dict.fromkeys(range(12), 2)
     assert [r["doc_id"] for r in decontamination.keep_clean(docs, bench).collect()] == [99]
@@ -243,7 +277,7 @@ def test_verdicts_of_blocks_meet_whatever_the_order_of_rows(spark, tmp_path, mon
     bench.write.parquet(str(folder / "benchmark.parquet"))
     docs = spark.read.parquet(str(folder / "documents.parquet")).select("doc_id", "text")
     whole = decontamination.blocks_of
-    monkeypatch.setattr(decontamination, "blocks_of", lambda b, d: whole(b, d, 10))
+    monkeypatch.setattr(decontamination, "blocks_of", lambda b, d, **k: whole(b, d, 10, **k))
 
     def any_order(frames):
         for pdf in frames:
