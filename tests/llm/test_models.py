@@ -250,28 +250,71 @@ def test_language_model_learns(many):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def plain_log10(model, counts, text):
+    """A text's log10 probability, a token at a time, over all clusters and all units of a cluster."""
+    u, dim = model.units, language_model.DIM
+    n = len(u)
+    r, b, s, a = model.table[:n, :dim], model.table[:n, dim], model.table[n : n + u.clusters, :dim], model.table[n : n + u.clusters, dim]
+    c1, c2 = model.table[n + u.clusters :][:dim, :dim], model.table[n + u.clusters :][dim:, :dim]
+
+    def unit(w):
+        k = sum(x <= w for x in u.words[language_model.MEMBERS :: language_model.MEMBERS])
+        own = u.words[k * language_model.MEMBERS : (k + 1) * language_model.MEMBERS]
+        first = sum(min(language_model.MEMBERS, len(u.words) - j * language_model.MEMBERS) + 1 for j in range(k))
+        return k, first, first + (own.index(w) if w in own else len(own)), w not in own, len(own) + 1
+
+    total, one, two = 0.0, b" ", b" "
+    for w in [*(text or "").encode().lower().split(), b" "]:
+        q = r[unit(one)[2]] @ c1 + r[unit(two)[2]] @ c2
+        k, first, i, other, size = unit(w)
+        top, low = q @ s.T + a, q @ r[first : first + size].T + b[first : first + size]
+        total += math.log10(np.exp(top[k]) / np.exp(top).sum() * np.exp(low[i - first]) / np.exp(low).sum())
+        if other:
+            rest = [c for x, c in counts.items() if unit(x)[2] == i]
+            total += math.log10((counts.get(w, 0) + 1) / (sum(rest) + len(rest) + 1))
+        one, two = w, one
+    return total
+
+
+def test_language_model_scores_texts(docs, rows, monkeypatch):
+    """Scores of whole texts against a plain version, with clusters of few words; they don't depend on the table's layout."""
+    for name, value in (("MEMBERS", 5), ("VOCABULARY", 23), ("LEAST", 2), ("HEAD", 2000), ("SHARD_TOKENS", 1500), ("PIECE", 7), ("BATCH", 64)):
+        monkeypatch.setattr(language_model, name, value)
+    held = language_model.held_out()
+    counts = language_model.count_tokens(docs, ~held)
+    model, _ = language_model.fit_model(docs, ~held, counts)
+    known = {r["word"].encode(): r["n"] for r in counts.collect()}
+    assert len(model.units.words) == 23 and model.units.clusters == 5 and b" " in model.units.words
+    got = language_model.score_documents(docs).collect()
+    texts = {r[0]: r[1] for r in rows}
+    for r in got:
+        if r["n_tokens"] < 300 and texts[r["doc_id"]] is not None and sum(x["doc_id"] == r["doc_id"] for x in got) == 1:
+            assert r["score"] == pytest.approx(plain_log10(model, known, texts[r["doc_id"]]), rel=1e-4)
+    for n in (2, 5):
+        again = language_model.score_documents(docs.repartition(n)).collect()
+        key = lambda r: (str(r["doc_id"]), r["n_tokens"], r["score"])
+        for x, y in zip(sorted(again, key=key), sorted(got, key=key), strict=True):
+            assert x["doc_id"] == y["doc_id"] and x["score"] == pytest.approx(y["score"], rel=1e-6, abs=1e-4)
+
+
 def test_language_model_is_normalised(docs):
     counts = language_model.count_tokens(docs, F.lit(True))
     model, tail = language_model.fit_model(docs, F.lit(True), counts)
     scorer = language_model.Scorer(model)
-    k = model.known + language_model.CLASSES
-    for one, two in ((0, 0), (1, 2), (k - 1, 0)):
-        p = np.exp(scorer.one[one].astype(float) + scorer.two[two] - scorer.normal[one, two])
-        assert len(p) == k and p.sum() == pytest.approx(1, abs=1e-4)
-    # a class is shared out among its tokens outside the vocabulary and one for unseen ones
-    rest = Counter({r["word"]: r["n"] for r in counts.collect()})
-    for w in model.words[: model.known]:
-        del rest[w.decode()]
-    shares = 1 / (model.class_tokens + model.class_types + 1)
+    n = len(model.units)
+    for one, two in ((0, 0), (1, 2), (n - 1, 0)):
+        p = np.exp(scorer.unit_logs(np.arange(n), np.full(n, one), np.full(n, two)))
+        assert p.sum() == pytest.approx(1, abs=1e-4)
+    # a cluster's unit for others is shared out among its words outside the vocabulary and one for unseen ones
+    rest = Counter({r["word"].encode(): r["n"] for r in counts.collect()})
+    for w in model.units.words:
+        del rest[w]
+    whole = model.units.counts[model.units.others] + model.other_types + 1
+    shares = 1 / whole
     for w, c in rest.items():
-        i = language_model.class_of(w.encode())
-        shares[i] += (c + 1) / (model.class_tokens[i] + model.class_types[i] + 1)
+        k = model.units.cluster_of(w)
+        shares[k] += (c + 1) / whole[k]
     assert np.allclose(shares, 1) and tail.columns == ["word", "n"]
-    # the tables give the scores that the vectors give
-    r, c = model.vectors, model.places
-    z = (r[2] @ c[0] + r[1] @ c[1]) @ r.T + model.bias
-    log = z - np.log(np.exp(z).sum())
-    assert np.allclose(scorer.one[2] + scorer.two[1] - scorer.normal[2, 1], log, atol=1e-3)
 
 
 def test_language_model_empty(empty, docs):
