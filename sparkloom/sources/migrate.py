@@ -2,12 +2,14 @@
 
 A ledger table holds the version of each aggregate. A migration is one transaction under a lock of its own: it reads the
 ledger, creates what isn't there or carries rows along the history, forward or back, and records every version it passes.
+An aggregate's child tables have histories of their own, whose versions are some of the root's; they are carried with it.
+Keys, references, checks and defaults of a plan's tables hold at every version that has their columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +33,26 @@ class Action:
     back: Callable[[Transaction], None] | None = None
 
 
+@dataclass(frozen=True)
+class Child:
+    """A child table: at a version that its history doesn't have it is as at the one before."""
+
+    history: History
+    table: Table
+
+    def at(self, versions: Sequence[str]) -> str | None:
+        """Its version when the root has passed ``versions``; None before its first."""
+        own = [v for v in versions if v in self.history.versions()]
+        return own[-1] if own else None
+
+
 @dataclass(frozen=True)
 class Plan:
     history: History
     table: Table
     target: str | None = None  # the latest, if not stated
     actions: tuple[Action, ...] = ()
+    children: tuple[Child, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -65,6 +81,9 @@ def apply(store: Store, plans: Sequence[Plan], ledger: str = LEDGER) -> list[Rep
         raise Refusal("an aggregate is planned twice")
     for p in plans:
         p.history.place(p.target or p.history.latest().version)
+        for c in p.children:
+            if unknown := [v for v in c.history.versions() if v not in p.history.versions()]:
+                raise Refusal(f"{c.history.name} has versions that {p.history.name} doesn't: {', '.join(unknown)}")
     table = ledger_table(ledger)
     store.describes(table)
     out = []
@@ -76,22 +95,51 @@ def apply(store: Store, plans: Sequence[Plan], ledger: str = LEDGER) -> list[Rep
     return out
 
 
+def ruled(table: Table, schema: T.StructType) -> Table:
+    """The table with another schema, and those of its rules whose columns are there."""
+    has = set(schema.names)
+    if not set(table.key) <= has:
+        raise Refusal(f"{table.name} has no {', '.join(k for k in table.key if k not in has)} to be known by")
+    return replace(
+        table,
+        columns=tuple((f.name, f.dataType, f.nullable) for f in schema.fields),
+        unique=tuple(u for u in table.unique if set(u) <= has),
+        foreign_keys=tuple(k for k in table.foreign_keys if set(k.columns) <= has),
+        checks=tuple(c for c in table.checks if c.column in has),
+        defaults={k: v for k, v in table.defaults.items() if k in has},
+    )
+
+
+def _step(t: Transaction, history: History, table: Table, here: str | None, there: str | None) -> None:
+    if there is None:
+        t.drop(table.name)
+    elif here is None:
+        t.create(ruled(table, history.at(there).schema))
+    elif here != there:
+        df: DataFrame = migrate_rows(history, t.table(table.name), here, there)
+        t.replace(table.name, df, ruled(table, history.at(there).schema))
+
+
 def _one(store: Store, t: Transaction, plan: Plan, ledger: str) -> Report:
     h, target = plan.history, plan.target or plan.history.latest().version
-    here = current(store, h.name, ledger)
+    here, versions = current(store, h.name, ledger), h.versions()
     record = lambda v: t.upsert(ledger, rows_of(t, ledger, [{"aggregate": h.name, "version": v}]))
     if here is None:
-        schema = h.at(target).schema
-        t.create(Table(plan.table.name, tuple((f.name, f.dataType, f.nullable) for f in schema.fields), plan.table.key, plan.table.unique, plan.table.foreign_keys))
+        _step(t, h, plan.table, None, target)
+        for c in plan.children:
+            if (v := c.at(versions[: h.place(target) + 1])) is not None:
+                _step(t, c.history, c.table, None, v)
         record(target)
         return Report(h.name, None, target, (target,))
     a, z = h.place(here), h.place(target)
-    steps, versions = [], h.versions()
+    steps = []
     while a != z:
         b = a + 1 if a < z else a - 1
-        df: DataFrame = migrate_rows(h, t.table(plan.table.name), versions[a], versions[b])
-        schema = h.at(versions[b]).schema
-        t.replace(plan.table.name, df, Table(plan.table.name, tuple((f.name, f.dataType, f.nullable) for f in schema.fields), plan.table.key))
+        _step(t, h, plan.table, versions[a], versions[b])
+        for c in plan.children:
+            old, new = c.at(versions[: a + 1]), c.at(versions[: b + 1])
+            if old != new:
+                _step(t, c.history, c.table, old, new)
         for action in plan.actions:
             if action.version == versions[max(a, b)]:
                 work = action.forward if a < b else action.back

@@ -420,8 +420,21 @@ class Repository:
         return transact(self.store, lambda t: t.delete(self.name, self._is(t.table(self.name), identity)))
 
     def check(self) -> list[str]:
-        """Tables of the layout that the store lacks."""
-        return [n for n in self.tables if n not in self.store.names()]
+        """What of the layout the store lacks: tables, columns, their types, keys."""
+        out, names = [], self.store.names()
+        for name, table in self.tables.items():
+            if name not in names:
+                out.append(f"{name} is not there")
+                continue
+            there = {f.name: f.dataType for f in self.store.table(name).schema.fields}
+            for column, kind, _ in table.columns:
+                if column not in there:
+                    out.append(f"{name}.{column} is not there")
+                elif there[column] != kind:
+                    out.append(f"{name}.{column} is {there[column].simpleString()}, not {kind.simpleString()}")
+            if tuple(key := self.store.key(name)) != table.key:
+                out.append(f"{name} has the key ({', '.join(key)}), not ({', '.join(table.key)})")
+        return out
 
     def bulk(self, values: Sequence[Mapping]) -> int:
         """Many new or changed aggregates, replaced whole: one write per table."""

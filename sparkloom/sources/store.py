@@ -1,7 +1,8 @@
 """A store of tables as immutable Parquet layers under one manifest.
 
 A table is a list of layers: each holds rows that replace those of the same key beneath it, or keys that are gone. A small
-change writes a small layer and leaves the rest alone; after ``COMPACT`` layers a table is written whole again. A
+change writes a small layer and leaves the rest alone. Beyond ``COMPACT`` layers those above the first are merged, and the
+table is written whole only once they hold half as many rows as the first: a row is rewritten a few times, not every few writes. A
 transaction reads the manifest once, writes layers of its own, checks what it changed (required columns, checks, keys,
 references, after cascades), and commits all tables by one atomic rename of the manifest. Nothing that readers use is
 ever overwritten. A transaction that fails, or that loses to another one, leaves files that no manifest names.
@@ -12,6 +13,7 @@ The manifest and its lock are small files on a file system that all writers shar
 from __future__ import annotations
 
 import contextlib
+import fcntl
 import json
 import os
 import time
@@ -51,20 +53,18 @@ class Snapshot:
 
 @contextlib.contextmanager
 def locked(root: str, seconds: float = 10.0, name: str = LOCK) -> Iterator[None]:
-    """An exclusive lock file; waits for it, then gives up."""
+    """An exclusive lock on a file; waits for it, then gives up. The system lets go of it when its owner ends, however it ends."""
     path, until = os.path.join(root, name), time.monotonic() + seconds
-    while True:
-        try:
-            os.close(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
-            break
-        except FileExistsError:
-            if time.monotonic() > until:
-                raise Conflict(f"{path} is held by another writer") from None
-            time.sleep(0.05)
-    try:
+    with open(path, "a") as f:
+        while True:
+            try:
+                fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+                break
+            except BlockingIOError:
+                if time.monotonic() > until:
+                    raise Conflict(f"{path} is held by another writer") from None
+                time.sleep(0.05)
         yield
-    finally:
-        os.unlink(path)
 
 
 class Store:
@@ -103,6 +103,9 @@ class Store:
     def names(self) -> list[str]:
         return sorted((self.open.snapshot if self.open else Snapshot.read(self.root)).tables)
 
+    def key(self, name: str) -> list[str]:
+        return (self.open.snapshot if self.open else Snapshot.read(self.root)).tables[name]["key"]
+
     @contextlib.contextmanager
     def transaction(self) -> Iterator[Transaction]:
         """Joins the open transaction, if there is one; otherwise commits at the end, or abandons on an error."""
@@ -168,7 +171,19 @@ class Transaction:
         own = self.snapshot.tables[name]
         own["layers"].append(layer)
         if len(own["layers"]) > COMPACT:
-            own["layers"] = [self._write(name, self.table(name))]  # rows that were checked before are checked once more
+            own["layers"] = self._merged(name, own)
+
+    def _merged(self, name: str, own: dict) -> list[dict]:
+        """The layers above the first as one of rows and one of keys that are gone; or all as one, if they are large beside it."""
+        first, above = own["layers"][0], {**own, "layers": own["layers"][1:]}
+        rows = self._write(name, self.store.read(Snapshot(self.base, {name: above}), name))
+        n, held = (self.store.spark.read.parquet(os.path.join(self.store.root, x["path"])).count() for x in (rows, first))
+        if not own["key"] or 2 * n >= held:
+            return [self._write(name, self.table(name))]
+        schema = T.StructType([self._schema(name)[k] for k in own["key"]])
+        keys = self.store.spark.read.schema(schema).parquet(*[os.path.join(self.store.root, x["path"]) for x in above["layers"]])
+        gone = self._write(name, keys.distinct(), "keys")  # those of rows that follow are no harm
+        return [first, gone, rows]
 
     def _schema(self, name: str) -> T.StructType:
         if name not in self.snapshot.tables:
@@ -228,6 +243,7 @@ class Transaction:
         n = written.count()
         if not n:
             return 0
+        self._add(name, layer)  # before what refers to it: rows that refer to each other end here
         for child in list(self.store.known.values()):
             if child.name not in self.snapshot.tables:
                 continue
@@ -243,7 +259,6 @@ class Transaction:
                         self.upsert(child.name, hit.select(*[(F.lit(None).cast(f.dataType) if f.name in ref.columns else F.col(quoted(f.name))).alias(f.name) for f in hit.schema.fields]))
                 elif hit.limit(1).collect():
                     raise BrokenRule(f"{child.name} refers to rows of {name} that would go")
-        self._add(name, layer)
         return n
 
     # the end

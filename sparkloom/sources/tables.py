@@ -164,11 +164,9 @@ class Table:
 
 
 def _check_name(table: str, column: str, rule: str) -> str:
+    """Spelled out, or where that is too long the rule and a digest of the whole."""
     name = f"{table}_{column}_{rule}"
-    if len(name.encode()) <= LONGEST_NAME:
-        return name
-    tail = hashlib.blake2b(name.encode(), digest_size=4).hexdigest()
-    return name.encode()[: LONGEST_NAME - 9].decode("utf-8", "ignore") + "_" + tail
+    return name if len(name.encode()) <= LONGEST_NAME else f"{rule}_{hashlib.sha256(name.encode()).hexdigest()[:24]}"
 
 
 class Deriving:

@@ -14,7 +14,8 @@ from sparkloom.engine import Engine
 from sparkloom.operators.expr import Expr, param
 from sparkloom.plans.compile import Compiler, Scope, quoted
 from sparkloom.plans.select import Source
-from sparkloom.refusal import Refusal
+from sparkloom.refusal import AlreadyThere, Refusal
+from sparkloom.sources.tables import repeated
 
 
 def _known(table: DataFrame, columns: Sequence[str]) -> None:
@@ -34,11 +35,13 @@ def inserted(table: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def upserted(table: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows replaced by key or added. Columns that ``rows`` doesn't have keep their values; rows of keys alone change nothing that is there."""
+    """Rows replaced by key or added. Columns that ``rows`` doesn't have keep their values; rows of keys alone change nothing that is there. Two new rows of one key are refused."""
     _known(table, rows.columns)
     missing = [k for k in key if k not in rows.columns]
     if not key or missing:
         raise Refusal(f"an upsert needs its key: {', '.join(missing) or 'none is given'}")
+    if repeated(key, rows):
+        raise AlreadyThere(f"an upsert is given one ({', '.join(key)}) twice")
     new = rows.select(*[F.col(quoted(c)).cast(table.schema[c].dataType).alias(f"_new_{i}") for i, c in enumerate(rows.columns)], F.lit(True).alias("_new"))
     place = {c: f"_new_{i}" for i, c in enumerate(rows.columns)}
     kept = table.withColumn("_old", F.lit(True))

@@ -1,5 +1,7 @@
 """The store, repositories, collections, derivation, evolution and migration on small values."""
 
+import os
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -21,15 +23,16 @@ from sparkloom.sources.evolve import Addition, History, Recomputation, Removal,
 from sparkloom.sources.execute import execute
 from sparkloom.sources.mapping import arguments_of, columns_of, flattened, snake_case, unflattened
 from sparkloom.sources.repository import Repository
-from sparkloom.sources.store import Snapshot, Store, rows_of, transact
-from sparkloom.sources.tables import Field, Index, Object, Reference, Rule, Scalar, Sequence_, derive, join_by_key
+from sparkloom.sources.store import Snapshot, Store, locked, rows_of, transact
+from sparkloom.sources.tables import Field, ForeignKey, Index, Object, Reference, Rule, Scalar, Sequence_, Table, derive, join_by_key
+from sparkloom.sources.writes import upserted
 
 ID, TEXT, INT = Scalar("int64"), Scalar("text"), Scalar("int32")
-TRACK = Object("track", (Field("id", ID, identity=True), Field("title", TEXT), Field("seconds", Scalar("int32", (Rule("at_least", 1),)))))
-COVER = Object("cover", (Field("id", ID, identity=True), Field("caption", TEXT)))
-TAG = Object("tag", (Field("id", ID, identity=True), Field("name", Scalar("text", (Rule("max_length", 20),)), unique=True)))
+LEG = Object("leg", (Field("id", ID, identity=True), Field("harbour", TEXT), Field("miles", Scalar("int32", (Rule("at_least", 1),)))))
+VESSEL = Object("vessel", (Field("id", ID, identity=True), Field("sign", TEXT)))
+SAILOR = Object("sailor", (Field("id", ID, identity=True), Field("name", Scalar("text", (Rule("max_length", 20),)), unique=True)))
 PLACE = Object("place", (Field("city", TEXT), Field("zip", TEXT)))
-LIST = Object("playlist", (Field("id", ID, identity=True), Field("name", TEXT), Field("homePlace", PLACE, optional=True), Field("tracks", Sequence_(TRACK)), Field("cover", COVER, optional=True), Field("tags", Sequence_(Reference("tag")))))
+VOYAGE = Object("voyage", (Field("id", ID, identity=True), Field("name", TEXT), Field("berth", PLACE, optional=True), Field("legs", Sequence_(LEG)), Field("vessel", VESSEL, optional=True), Field("crew", Sequence_(Reference("sailor")))))
 
 
 @given(st.lists(st.integers(0, 400), max_size=30))
@@ -74,20 +77,20 @@ def test_moving_one_of_many_changes_one_position():
 
 
 def test_derivation():
-    t = derive(LIST, TAG)
-    assert list(t) .index("playlist") < list(t).index("track") and t["track"].key == ("playlist_id", "id")
-    assert [c[0] for c in t["playlist"].columns] == ["id", "name", "home_place_city", "home_place_zip"] and t["playlist"].columns[2][2]
-    assert t["cover"].single and t["cover"].unique == (("playlist_id",),) and "position" not in [c[0] for c in t["cover"].columns]
-    assert [c[0] for c in t["playlist_tags"].columns] == ["playlist_id", "tag_id", "position"]
-    assert "NOT NULL" in t["track"].statement() and "on delete cascade" in t["track"].statement()
+    t = derive(VOYAGE, SAILOR)
+    assert list(t) .index("voyage") < list(t).index("leg") and t["leg"].key == ("voyage_id", "id")
+    assert [c[0] for c in t["voyage"].columns] == ["id", "name", "berth_city", "berth_zip"] and t["voyage"].columns[2][2]
+    assert t["vessel"].single and t["vessel"].unique == (("voyage_id",),) and "position" not in [c[0] for c in t["vessel"].columns]
+    assert [c[0] for c in t["voyage_crew"].columns] == ["voyage_id", "sailor_id", "position"]
+    assert "NOT NULL" in t["leg"].statement() and "on delete cascade" in t["leg"].statement()
     with pytest.raises(Refusal) as e:
         derive(Object("bare", (Field("a", TEXT), Field("r", Reference("nobody")), Field("u", Scalar("uint64")))))
     assert len(e.value.reasons) >= 3
     assert Scalar("int64", (Rule("at_least", 0), Rule("at_most", 100))).data_type() == T.ByteType()
     assert Scalar("uint64", (Rule("at_most", 1000),)).data_type() == T.ShortType() and Scalar("uint32").data_type() == T.LongType()
-    assert snake_case("fallbackArtwork") == "fallback_artwork" and snake_case("HTTPPort") == "http_port"
+    assert snake_case("secondHarbour") == "second_harbour" and snake_case("HTTPPort") == "http_port"
     with pytest.raises(Refusal, match="0 references"):
-        join_by_key(t["tag"], t["tag"].source(), t["cover"], t["cover"].source())
+        join_by_key(t["sailor"], t["sailor"].source(), t["vessel"], t["vessel"].source())
 
 
 def test_nullable_value_object_round_trip(spark):
@@ -107,54 +110,54 @@ def store(spark, tmp_path):
     return Store(spark, str(tmp_path / "store"))
 
 
-def song(i, title=None, seconds=10):
-    return {"id": i, "title": title or f"t{i}", "seconds": seconds}
+def leg(i, harbour=None, miles=10):
+    return {"id": i, "harbour": harbour or f"t{i}", "miles": miles}
 
 
 @pytest.fixture
-def lists(store):
-    repo = Repository(store, LIST, TAG)
+def voyages(store):
+    repo = Repository(store, VOYAGE, SAILOR)
     repo.create()
     with store.transaction() as t:
-        t.insert("tag", rows_of(t, "tag", [{"id": i, "name": f"n{i}"} for i in (1, 2, 3)]))
+        t.insert("sailor", rows_of(t, "sailor", [{"id": i, "name": f"n{i}"} for i in (1, 2, 3)]))
     return repo
 
 
-def test_aggregate_life(lists):
-    value = {"id": 1, "name": "one", "homePlace": None, "tracks": [song(1), song(2), song(3)], "cover": {"id": 9, "caption": "c"}, "tags": [2, 1]}
-    assert lists.save(value) == 4 and lists.find(1) == value
-    assert lists.save(value) == 0
-    changed = {**value, "name": "uno", "tracks": [song(3), song(1, "new"), song(4)], "cover": None, "tags": [1, 2, 3]}
-    assert lists.save(changed) <= 6 and lists.find(1) == changed
-    leaf = {**changed, "tracks": [song(3), song(1, "newer"), song(4)]}
-    assert lists.save_changes(changed, leaf) == 1 and lists.find(1) == leaf
-    assert lists.save_root({"id": 1, "name": "root", "tracks": [], "tags": []}) == 1 and lists.find(1)["tracks"] == leaf["tracks"]
-    lists.insert({"id": 2, "name": "two", "tracks": [song(1)], "tags": []})
-    assert [v["id"] for v in lists.find_by(cr.above(lists.source().of("id"), 0))] == [1, 2]
-    assert lists.find_one_by(F.col("name") == "two")["tracks"] == [song(1)]
+def test_aggregate_life(voyages):
+    value = {"id": 1, "name": "one", "berth": None, "legs": [leg(1), leg(2), leg(3)], "vessel": {"id": 9, "sign": "c"}, "crew": [2, 1]}
+    assert voyages.save(value) == 4 and voyages.find(1) == value
+    assert voyages.save(value) == 0
+    changed = {**value, "name": "uno", "legs": [leg(3), leg(1, "new"), leg(4)], "vessel": None, "crew": [1, 2, 3]}
+    assert voyages.save(changed) <= 6 and voyages.find(1) == changed
+    leaf = {**changed, "legs": [leg(3), leg(1, "newer"), leg(4)]}
+    assert voyages.save_changes(changed, leaf) == 1 and voyages.find(1) == leaf
+    assert voyages.save_root({"id": 1, "name": "root", "legs": [], "crew": []}) == 1 and voyages.find(1)["legs"] == leaf["legs"]
+    voyages.insert({"id": 2, "name": "two", "legs": [leg(1)], "crew": []})
+    assert [v["id"] for v in voyages.find_by(cr.above(voyages.source().of("id"), 0))] == [1, 2]
+    assert voyages.find_one_by(F.col("name") == "two")["legs"] == [leg(1)]
     with pytest.raises(SeveralRows):
-        lists.find_one_by(F.col("id") > 0)
+        voyages.find_one_by(F.col("id") > 0)
     with pytest.raises(AlreadyThere):
-        lists.insert({"id": 2, "name": "again", "tracks": [], "tags": []})
-    assert lists.delete(1) == 1 and lists.store.table("track").count() == 1
+        voyages.insert({"id": 2, "name": "again", "legs": [], "crew": []})
+    assert voyages.delete(1) == 1 and voyages.store.table("leg").count() == 1
     with pytest.raises(NoRows):
-        lists.find(1)
-    assert lists.check() == []
+        voyages.find(1)
+    assert voyages.check() == []
 
 
-def test_rules_hold(lists):
+def test_rules_hold(voyages):
     with pytest.raises(BrokenRule):
-        lists.save({"id": 5, "name": "x", "tracks": [song(1, seconds=0)], "tags": []})
+        voyages.save({"id": 5, "name": "x", "legs": [leg(1, miles=0)], "crew": []})
     with pytest.raises(BrokenRule):
-        lists.save({"id": 5, "name": "x", "tracks": [], "tags": [77]})
+        voyages.save({"id": 5, "name": "x", "legs": [], "crew": [77]})
     with pytest.raises(BrokenRule):
-        lists.save({"id": 5, "name": None, "tracks": [], "tags": []})
-    lists.save({"id": 5, "name": "x", "tracks": [], "tags": [1]})
-    with pytest.raises(BrokenRule, match="refers to"), lists.store.transaction() as t:
-        t.delete("tag", rows_of(t, "tag", [{"id": 1}]))
-    with pytest.raises(AlreadyThere), lists.store.transaction() as t:
-        t.insert("tag", rows_of(t, "tag", [{"id": 8, "name": "n1"}]))
-    assert lists.store.table("tag").count() == 3
+        voyages.save({"id": 5, "name": None, "legs": [], "crew": []})
+    voyages.save({"id": 5, "name": "x", "legs": [], "crew": [1]})
+    with pytest.raises(BrokenRule, match="refers to"), voyages.store.transaction() as t:
+        t.delete("sailor", rows_of(t, "sailor", [{"id": 1}]))
+    with pytest.raises(AlreadyThere), voyages.store.transaction() as t:
+        t.insert("sailor", rows_of(t, "sailor", [{"id": 8, "name": "n1"}]))
+    assert voyages.store.table("sailor").count() == 3
 
 
 def test_transactions(store, spark):
@@ -181,56 +184,56 @@ def test_transactions(store, spark):
 
 
 def test_statements(store, spark):
-    t = derive(TAG)["tag"]
+    t = derive(SAILOR)["sailor"]
     with store.transaction() as x:
         x.create(t)
     s = t.source()
-    assert execute(store, InsertQuery("tag", ["id", "name"], [(1, "a"), (2, "b"), (3, "c")])) == 3
-    assert execute(store, UpsertQuery("tag", ["id", "name"], [(3, "cc"), (4, "d")], ["id"])) == 2
-    assert execute(store, UpsertQuery("tag", ["id"], [(3,), (1,)], ["id"])) == 0
+    assert execute(store, InsertQuery("sailor", ["id", "name"], [(1, "a"), (2, "b"), (3, "c")])) == 3
+    assert execute(store, UpsertQuery("sailor", ["id", "name"], [(3, "cc"), (4, "d")], ["id"])) == 2
+    assert execute(store, UpsertQuery("sailor", ["id"], [(3,), (1,)], ["id"])) == 0
     assert execute(store, UpdateQuery(s, ["name"], [fn.concat(s.of("name"), "!")], cr.at_most(s.of("id"), 2))) == 2
     assert execute(store, DeleteQuery(s, cr.equal(s.of("id"), 4))) == 1 and execute(store, DeleteQuery(s, cr.equal(s.of("id"), 4))) == 0
-    assert sorted(map(tuple, store.table("tag").collect())) == [(1, "a!"), (2, "b!"), (3, "cc")]
-    for wrong in (InsertQuery("tag", ["id", "name"], [(1,)]), UpdateQuery(s, ["name", "id"], ["x"]), UpsertQuery("tag", ["name"], [("x",)], ["id"]), InsertQuery("tag", [], []), DeleteQuery(s, cr.equal(s.of("nope"), 1))):
+    assert sorted(map(tuple, store.table("sailor").collect())) == [(1, "a!"), (2, "b!"), (3, "cc")]
+    for wrong in (InsertQuery("sailor", ["id", "name"], [(1,)]), UpdateQuery(s, ["name", "id"], ["x"]), UpsertQuery("sailor", ["name"], [("x",)], ["id"]), InsertQuery("sailor", [], []), DeleteQuery(s, cr.equal(s.of("nope"), 1))):
         with pytest.raises(Refusal):
             execute(store, wrong)
     with pytest.raises(AlreadyThere):
-        execute(store, InsertQuery("tag", ["id", "name"], [(1, "x")]))
+        execute(store, InsertQuery("sailor", ["id", "name"], [(1, "x")]))
     e = Engine(spark, store)
-    assert e.query_row(compose("SELECT count(*) AS n FROM ", table("tag"), " WHERE id > ", bind(1), " AND name < ", bind("z")))["n"] == 2
+    assert e.query_row(compose("SELECT count(*) AS n FROM ", table("sailor"), " WHERE id > ", bind(1), " AND name < ", bind("z")))["n"] == 2
     with pytest.raises(Refusal):
         e.query(compose("SELECT ", bind(object())))
-    assert store.table("tag").alias("tag").filter(e.column(s, cr.like(s.of("name"), "%!"))).count() == 2
+    assert store.table("sailor").alias("sailor").filter(e.column(s, cr.like(s.of("name"), "%!"))).count() == 2
     assert compose("b").with_prefix("a").text == "ab"
 
 
-def test_whole_aggregates_in_a_page(lists, spark):
-    lists.bulk([{"id": i, "name": f"l{i}", "tracks": [song(k) for k in range(i)], "tags": [1]} for i in range(1, 6)])
-    lst = lists.listing().page_size(2).sort("name", lists.source().of("name").desc())
-    e = Engine(spark, lists.store)
-    page = lists.page(e, lst)
-    assert [(v["id"], len(v["tracks"]), v["tags"]) for v in page.items] == [(5, 5, [1]), (4, 4, [1])]
-    assert [v["id"] for v in lists.page(e, lst, PageQuery(after=page.next)).items] == [3, 2]
+def test_whole_aggregates_in_a_page(voyages, spark):
+    voyages.bulk([{"id": i, "name": f"l{i}", "legs": [leg(k) for k in range(i)], "crew": [1]} for i in range(1, 6)])
+    lst = voyages.listing().page_size(2).sort("name", voyages.source().of("name").desc())
+    e = Engine(spark, voyages.store)
+    page = voyages.page(e, lst)
+    assert [(v["id"], len(v["legs"]), v["crew"]) for v in page.items] == [(5, 5, [1]), (4, 4, [1])]
+    assert [v["id"] for v in voyages.page(e, lst, PageQuery(after=page.next)).items] == [3, 2]
 
 
-def test_nested_rows_in_bulk(lists, spark):
-    values = [{"id": i, "name": f"l{i}", "homePlace": {"city": "c", "zip": None} if i % 2 else None, "tracks": [song(k) for k in range(i)][::-1], "cover": {"id": i, "caption": "x"} if i % 3 == 0 else None, "tags": [3, 1][: i % 3]} for i in range(1, 8)]
-    track, place = "array<struct<id:long,title:string,seconds:int>>", "struct<city:string,zip:string>"
-    nested = spark.createDataFrame(values, f"id long, name string, homePlace {place}, tracks {track}, cover struct<id:long,caption:string>, tags array<long>")
-    assert lists.load(nested) == 7
+def test_nested_rows_in_bulk(voyages, spark):
+    values = [{"id": i, "name": f"l{i}", "berth": {"city": "c", "zip": None} if i % 2 else None, "legs": [leg(k) for k in range(i)][::-1], "vessel": {"id": i, "sign": "x"} if i % 3 == 0 else None, "crew": [3, 1][: i % 3]} for i in range(1, 8)]
+    legs, place = "array<struct<id:long,harbour:string,miles:int>>", "struct<city:string,zip:string>"
+    nested = spark.createDataFrame(values, f"id long, name string, berth {place}, legs {legs}, vessel struct<id:long,sign:string>, crew array<long>")
+    assert voyages.load(nested) == 7
     for v in values:
-        assert lists.find(v["id"]) == v
-    got = sorted((r.asDict(recursive=True) for r in lists.nested().collect()), key=lambda v: v["id"])
+        assert voyages.find(v["id"]) == v
+    got = sorted((r.asDict(recursive=True) for r in voyages.nested().collect()), key=lambda v: v["id"])
     assert got == values
-    assert lists.save(values[3]) == 0
+    assert voyages.save(values[3]) == 0
 
 
 def test_represented_fields(store):
-    o = Object("shelf", (Field("id", ID, identity=True), Field("tags", TEXT, optional=True)))
-    repo = Repository(store, o, represent={"shelf.tags": (",".join, lambda t: t.split(","))})
+    o = Object("shelf", (Field("id", ID, identity=True), Field("crew", TEXT, optional=True)))
+    repo = Repository(store, o, represent={"shelf.crew": (",".join, lambda t: t.split(","))})
     repo.create()
-    assert repo.save({"id": 1, "tags": ["a", "b"]}) == 1 and repo.save({"id": 1, "tags": ["a", "b"]}) == 0
-    assert repo.find(1) == {"id": 1, "tags": ["a", "b"]} and store.table("shelf").first()["tags"] == "a,b"
+    assert repo.save({"id": 1, "crew": ["a", "b"]}) == 1 and repo.save({"id": 1, "crew": ["a", "b"]}) == 0
+    assert repo.find(1) == {"id": 1, "crew": ["a", "b"]} and store.table("shelf").first()["crew"] == "a,b"
 
 
 def test_index_layout(spark):
@@ -251,11 +254,11 @@ def test_stored_search(spark, tmp_path):
 
 
 def test_collection(store, spark):
-    film, watch = (derive(Object(n, (Field("id", ID, identity=True),)))[n] for n in ("film", "watchlist"))
-    c = Collection(store, watch, "films", film)
+    stamp, album_ = (derive(Object(n, (Field("id", ID, identity=True),)))[n] for n in ("stamp", "album"))
+    c = Collection(store, album_, "stamps", stamp)
     with store.transaction() as t:
-        t.create(film, spark.range(1, 30).toDF("id"))
-        t.create(watch, spark.range(1, 3).toDF("id"))
+        t.create(stamp, spark.range(1, 30).toDF("id"))
+        t.create(album_, spark.range(1, 3).toDF("id"))
     c.create()
     for f in (1, 3, 4):
         c.insert(1, f)
@@ -264,14 +267,14 @@ def test_collection(store, spark):
     c.move(1, 1, LAST)
     c.move(1, 5, before(3))
     e = Engine(spark, store)
-    assert [r["film_id"] for r in c.listing(1).page(e, PageQuery(sort="placed")).items] == [5, 3, 4, 6, 1]
+    assert [r["stamp_id"] for r in c.listing(1).page(e, PageQuery(sort="placed")).items] == [5, 3, 4, 6, 1]
     assert c.remove(1, 5) == 1 and not c.has(1, 5) and c.has(1, 3)
     for wrong in (lambda: c.move(1, 99, FIRST), lambda: c.insert(1, 7, after(99))):
         with pytest.raises(NotInCollection):
             wrong()
     with pytest.raises(AlreadyThere):
         c.insert(1, 3)
-    assert [r["film_id"] for r in c.listing(1).page(e, PageQuery(sort="value", size=2)).items] == [1, 3]
+    assert [r["stamp_id"] for r in c.listing(1).page(e, PageQuery(sort="value", size=2)).items] == [1, 3]
 
 
 START = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("reference", T.StringType(), False), T.StructField("stored", T.StringType(), True)])
@@ -313,5 +316,95 @@ def test_migration(store, spark):
     assert store.table("pallet").first()["reference"] == "P-2"
 
 
+def test_rules_survive_migrations(store):
+    """Keys, checks and defaults hold at every version that has their columns; child tables go with their root."""
+    root = derive(Object("depot", (Field("id", ID, identity=True), Field("code", Scalar("text", (Rule("max_length", 4),)), unique=True), Field("bays", Sequence_(Object("bay", (Field("id", ID, identity=True), Field("tons", INT)))))), ))
+    depot, bay = root["depot"], root["bay"]
+    h = History.start("depot", "1", depot.schema()).then("2", Addition("note", "string", default="")).then("3", Rename("note", "remark"))
+    child = migrate.Child(History.start("bay", "2", bay.schema()).then("3", Addition("closed", "boolean", default=False)), bay)
+    plan = lambda v: [migrate.Plan(h, depot, v, children=(child,))]
+    migrate.apply(store, plan("1"))
+    assert store.names() == ["depot", "schema_version"]
+    for v in ("2", "3"):
+        migrate.apply(store, plan(v))
+        assert store.known["depot"].unique == depot.unique and store.known["depot"].checks == depot.checks and store.known["bay"].foreign_keys == bay.foreign_keys
+    assert store.table("bay").columns[-1] == "closed" and store.table("depot").columns[-1] == "remark"
+    execute(store, InsertQuery("depot", ["id", "code", "remark"], [(1, "a", "")]))
+    with pytest.raises(AlreadyThere):
+        execute(store, InsertQuery("depot", ["id", "code", "remark"], [(2, "a", "")]))
+    with pytest.raises(BrokenRule):
+        execute(store, InsertQuery("depot", ["id", "code", "remark"], [(2, "too long", "")]))
+    migrate.apply(store, plan("1"))
+    assert store.names() == ["depot", "schema_version"] and store.table("depot").columns == ["id", "code"]
+    with pytest.raises(Refusal, match="has versions that"):
+        migrate.apply(store, [migrate.Plan(h, depot, children=(migrate.Child(History.start("bay", "9", bay.schema()), bay),))])
+
+
+def test_a_cascade_over_a_cycle_ends(store):
+    of = lambda name, column, other: Table(name, (("id", T.LongType(), False), (column, T.LongType(), True)), ("id",), foreign_keys=(ForeignKey((column,), other, ("id",), "cascade"),))
+    node, left, right = of("node", "next", "node"), of("left_side", "of", "right_side"), of("right_side", "of", "left_side")
+    with store.transaction() as t:
+        for table_ in (node, left, right):
+            t.create(table_)
+        t.insert("node", rows_of(t, "node", [{"id": i, "next": (i + 1) % 4} for i in range(4)] + [{"id": 9, "next": 9}, {"id": 10, "next": None}]))
+        t.insert("left_side", rows_of(t, "left_side", [{"id": 1, "of": 1}, {"id": 2, "of": None}]))
+        t.insert("right_side", rows_of(t, "right_side", [{"id": 1, "of": 1}]))
+    with store.transaction() as t:
+        t.delete("node", rows_of(t, "node", [{"id": 2}, {"id": 9}]))
+        t.delete("left_side", rows_of(t, "left_side", [{"id": 1}]))
+    assert [r["id"] for r in store.table("node").collect()] == [10] and [r["id"] for r in store.table("left_side").collect()] == [2] and store.table("right_side").count() == 0
+
+
+def test_small_writes_leave_the_first_layer_alone(store, spark):
+    from sparkloom.sources.store import COMPACT
+
+    note = Table("note", (("id", T.LongType(), False), ("text", T.StringType(), True)), ("id",))
+    with store.transaction() as t:
+        t.create(note, spark.range(500).selectExpr("id", "'first' AS text"))
+    path = Snapshot.read(store.root).tables["note"]["layers"][0]["path"]
+    for i in range(COMPACT + 3):
+        with store.transaction() as t:
+            t.upsert("note", rows_of(t, "note", [{"id": i, "text": f"new {i}"}]))
+            t.delete("note", rows_of(t, "note", [{"id": 100 + i}]))
+    layers = Snapshot.read(store.root).tables["note"]["layers"]
+    assert layers[0]["path"] == path and len(layers) <= COMPACT
+    got = {r["id"]: r["text"] for r in store.table("note").collect()}
+    n = COMPACT + 3
+    assert got == {i: f"new {i}" if i < n else "first" for i in range(500) if not 100 <= i < 100 + n}
+    with store.transaction() as t:
+        t.upsert("note", spark.range(400).selectExpr("id", "'all' AS text"))
+    for i in range(COMPACT):
+        transact(store, lambda t, i=i: t.upsert("note", rows_of(t, "note", [{"id": i, "text": "last"}])))
+    assert Snapshot.read(store.root).tables["note"]["layers"][0]["path"] != path and store.table("note").count() == 500
+
+
+def test_a_lock_ends_with_its_owner(tmp_path):
+    import subprocess
+    import sys
+
+    code = f"import os; from sparkloom.sources.store import locked\nwith locked({str(tmp_path)!r}): os._exit(1)"
+    subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), check=False)
+    with locked(str(tmp_path), 1.0), pytest.raises(Conflict), locked(str(tmp_path), 0.1):
+        pass
+
+
+def test_two_new_rows_of_one_key_are_refused(spark):
+    old, new = spark.createDataFrame([(1, "a")], "id long, text string"), spark.createDataFrame([(2, "x"), (2, "y")], "id long, text string")
+    with pytest.raises(AlreadyThere):
+        upserted(old, new, ["id"])
+
+
+def test_what_a_layout_lacks_is_told(store, spark):
+    repo = Repository(store, Object("crate", (Field("id", ID, identity=True), Field("name", TEXT), Field("parts", Sequence_(Object("part", (Field("id", ID, identity=True),)))))))
+    assert repo.check() == ["crate is not there", "part is not there"]
+    repo.create()
+    assert repo.check() == []
+    with Store(spark, store.root).transaction() as t:  # which knows no rules
+        t.replace("crate", spark.range(1).selectExpr("id", "1 AS name"), Table("crate", (("id", T.LongType(), False), ("name", T.IntegerType(), True)), ("name",)))
+        t.replace("part", spark.range(1))
+    told = repo.check()
+    assert "crate.name is int, not string" in told and "crate has the key (name), not (id)" in told and "part.crate_id is not there" in told
+
+
 settings.register_profile("quick", deadline=None)
 settings.load_profile("quick")
