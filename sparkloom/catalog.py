@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as SF
 
 from sparkloom import functions as fn
+from sparkloom import stored_catalog
 from sparkloom.engine import Engine
 from sparkloom.kinds import Kind
 from sparkloom.operators import criteria as cr
@@ -65,14 +66,6 @@ def named(source, *names: str) -> list[Selection]:
 # filter, projection, top-k
 
 
-@registered("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_totalprice >= 150000 AND o_totalprice < 200000 AND o_orderstatus <> 'F' AND o_orderkey <= 50000 AND o_custkey > 10")
-def filter_compare(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    o = t["orders"]
-    where = cr.and_(cr.at_least(o.of("o_totalprice"), 150000.0), cr.below(o.of("o_totalprice"), 200000.0), cr.not_equal(o.of("o_orderstatus"), "F"), cr.at_most(o.of("o_orderkey"), 50000), cr.above(o.of("o_custkey"), 10))
-    return t.run(select=named(o, "o_orderkey", "o_totalprice", "o_orderstatus"), source=o, where=where)
-
-
 @registered("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_totalprice >= 150000 AND o_totalprice < 200000 AND o_orderstatus <> 'F' AND o_totalprice <= 190000 AND o_custkey > 10")
 def filter_compare_all(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -342,14 +335,6 @@ def integer_div(spark, sf_dir):
     return t.run(select=[*named(p, "p_partkey"), fn.div(p.of("p_size"), 7).as_("whole"), fn.div(fn.minus(0, p.of("p_size")), 7).as_("negative")], source=p)
 
 
-@registered("SELECT a.event_id, (epoch_us(b.ts) - epoch_us(a.ts)) / 1e6 AS gap FROM events a JOIN events b ON a.user_id = b.user_id WHERE a.event_id < b.event_id AND b.event_id <= a.event_id + 500 AND a.event_id <= 2000")
-def seconds_between(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    a, b = t["events"].as_("a"), t["events"].as_("b")
-    where = cr.and_(cr.below(a.of("event_id"), b.of("event_id")), cr.at_most(b.of("event_id"), fn.plus(a.of("event_id"), 500)), cr.at_most(a.of("event_id"), 2000))
-    return t.run(select=[*named(a, "event_id"), fn.seconds(b.of("ts"), a.of("ts")).as_("gap")], source=a, joins=[inner_join(b, columns_equal(a, "user_id", b, "user_id"))], where=where)
-
-
 @registered("SELECT event_id, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id))) / 1e6 AS gap FROM events")
 def seconds_since_first(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -582,13 +567,6 @@ def keyset_inside_nulls(spark, sf_dir):
     return _page(t, lst, sort="best", size=100, after=lst.cursor_at([None, 400], PageQuery(sort="best")))
 
 
-@registered(_NULLABLE + "ORDER BY q ASC NULLS FIRST, doc_id LIMIT 700")
-def nulls_first(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    r, _ = _nullable(t)
-    return t.run(select=named(r, "doc_id", "q"), source=r, order_by=[r.of("q").asc().nulls_first(), r.of("doc_id").asc()], limit=700)
-
-
 @registered("SELECT d.doc_id, l.quality AS q, count(*) OVER (ORDER BY l.quality ASC NULLS FIRST) AS place FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def nulls_first_over_all(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -722,8 +700,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | stored_catalog.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | stored_catalog.oracle_sql()
