@@ -28,6 +28,8 @@ Tables = Callable[[str], DataFrame]
 
 #: How parts of an aggregate are put together.
 COMBINED = {op.ROW_COUNT: F.sum, op.VALUE_COUNT: F.sum, op.SUMMATION: F.sum, op.WHOLE_TOTAL: F.sum, op.MAXIMUM: F.max, op.MINIMUM: F.min}
+#: Ranges that the distinct order values of a window over all rows are cut into.
+RANGES = 256
 
 
 def quoted(name: str) -> str:
@@ -132,7 +134,9 @@ class Compiler:
         """A window without partitions, without sending all rows to one task.
 
         Without an order it is one value of all rows: a scalar subquery. With one it depends on the order's values alone, as
-        peers share it: rows are aggregated by those values, the window runs over the distinct values, and joins back.
+        peers share it: rows are aggregated by those values, the window runs over the distinct values, and joins back. The
+        distinct values are cut into ranges of the first order value, at a sample of them: the window runs inside each range,
+        and what the ranges before add up to is put before it. Values that share the first order value are in one range.
         """
         part = self._applied(w.expr, scope, named, hidden)
         if not w.window.order_by:
@@ -141,8 +145,18 @@ class Compiler:
         keys = [f"{name}_k{j}" for j in range(len(orders))]
         values = df.groupBy(*[c.alias(k) for c, k in zip(orders, keys, strict=True)]).agg(part.alias("_p"))
         by = [self.ordering(Ordering(Col(k), o.descending, o.nulls), Scope({}), {}) for k, o in zip(keys, w.window.order_by, strict=True)]
-        total = COMBINED[w.expr.op](F.col("_p")).over(SparkWindow.orderBy(*by))
-        values = values.select(*keys, self._finished(w.expr, total).alias(name))
+        first, combine = w.window.order_by[0], COMBINED[w.expr.op]
+        marks = values.filter(F.col(keys[0]).isNotNull()).orderBy(F.xxhash64(*keys), *keys).limit(RANGES - 1).agg(F.collect_list(keys[0])).scalar()
+        beyond = F.array_position(F.sort_array(F.array_append(marks, F.col(keys[0]))), F.col(keys[0])).cast("int") - 1  # marks below the value
+        nulls_first = first.nulls is Nulls.FIRST or (first.nulls is Nulls.UNSTATED and not first.descending)
+        place = F.when(F.col(keys[0]).isNull(), F.lit(-1 if nulls_first else RANGES)).otherwise(F.lit(RANGES - 1) - beyond if first.descending else beyond)
+        ranged = values.withColumn("_range", place)
+        before = combine("_whole").over(SparkWindow.orderBy("_range").rowsBetween(SparkWindow.unboundedPreceding, -1))
+        wholes = ranged.groupBy("_range").agg(combine("_p").alias("_whole")).select(F.col("_range").alias("_of"), before.alias("_before"))  # RANGES rows and two at most
+        own = combine("_p").over(SparkWindow.partitionBy("_range").orderBy(*by)).alias("_own")
+        running = ranged.select(*keys, "_range", own).join(F.broadcast(wholes), F.col("_range") == F.col("_of"))
+        together = {F.max: F.greatest, F.min: F.least}.get(combine, lambda x, y: F.coalesce(x + y, x, y))
+        values = running.select(*keys, self._finished(w.expr, together(F.col("_before"), F.col("_own"))).alias(name))
         same = F.lit(True)
         for c, k in zip(orders, keys, strict=True):
             same = same & c.eqNullSafe(F.col(k))

@@ -53,6 +53,15 @@ def test_bounded_queries_have_whole_ones(spark):
     assert "o_orderkey <=" not in plan(catalog.queries()["filter_compare_all"](spark, SF))
 
 
+@pytest.mark.parametrize("ranges", [1, 2, 7])
+def test_windows_over_all_rows_in_ranges(spark, duck, monkeypatch, ranges):
+    """Whatever the ranges that order values are cut into; within a range, not over all values, is one task's window."""
+    monkeypatch.setattr("sparkloom.plans.compile.RANGES", ranges)
+    for name in ("window_over_all", "window_over_all_nulls", "nulls_first_over_all"):
+        test_query_equals_sql(spark, duck, name)
+    assert "partitionBy" not in plan(catalog.window_over_all(spark, SF)) and plan(catalog.window_over_all(spark, SF)).count("windowspecdefinition(_range") >= 2
+
+
 def plan(df):
     return df._jdf.queryExecution().toString()
 
