@@ -47,10 +47,10 @@ from sparkloom.llm.common import bound_batches, crc_mod, lower_words, slices, st
 VOCABULARY, LEAST, DIM = 1 << 15, 5, 16
 MEMBERS = 128
 HEAD = 1 << 20
-BATCH, NOISE, UNIT_NOISE, RATE = 2048, 32, 4, 0.1
+BATCH, NOISE, UNIT_NOISE, RATE = 2048, 32, 2, 0.1
 SHARD_TOKENS, SHARDS = 3_000_000, 4096
 PIECE = 256
-CHUNK = 8192
+CHUNK = 1024
 COUNTER = 300_000
 END = b" "  # no word holds a space
 LOG10 = float(np.log(10))
@@ -334,10 +334,12 @@ class Scorer:
     def __init__(self, m: Model):
         u, self.units = m.units, m.units
         n, k = len(u), u.clusters
-        self.r, self.b = m.table[:n, :DIM].astype(np.float32), m.table[:n, DIM].astype(np.float32)
-        self.s, self.a = np.ascontiguousarray(m.table[n : n + k, :DIM].T, np.float32), m.table[n : n + k, DIM].astype(np.float32)
-        self.ahead = self.r @ m.table[n + k : n + k + DIM, :DIM].astype(np.float32), self.r @ m.table[n + k + DIM :, :DIM].astype(np.float32)
-        self.within = [(np.ascontiguousarray(self.r[i:j].T), self.b[i:j]) for i, j in zip(u.starts, u.starts[1:], strict=False)]
+        r = m.table[:n, :DIM].astype(np.float32)
+        # biases are one more dimension, in which every prediction is 1
+        self.s = np.ascontiguousarray(m.table[n : n + k].T, np.float32)
+        self.ahead = r @ m.table[n + k : n + k + DIM, :DIM].astype(np.float32), r @ m.table[n + k + DIM :, :DIM].astype(np.float32)
+        self.within = [np.ascontiguousarray(m.table[i:j].T, np.float32) for i, j in zip(u.starts, u.starts[1:], strict=False)]
+        self.longest = float(np.sqrt((m.table[: n + k] ** 2).sum(axis=1)).max())
         self.find = Lookup(dict(zip(m.words, range(len(m.words)), strict=True)), u.bounds)
         self.logs = np.append(np.log10(m.counts + 1), 0.0)  # the last is for those not in the head
         place = dict(zip(u.words, u.of_word.tolist(), strict=True))
@@ -355,17 +357,21 @@ class Scorer:
         out = np.empty(len(ids))
         cluster = self.units.cluster[ids]
         order = np.argsort(cluster.astype(np.uint16), kind="stable")
-        q = np.empty((len(ids), DIM), np.float32)
+        q = np.ones((len(ids), DIM + 1), np.float32)
+        q[:, :DIM] = self.ahead[0][one[order]]
+        q[:, :DIM] += self.ahead[1][two[order]]
+        # no score is beyond the product of the longest vectors, so that exponentials mostly need no scaling
+        small = len(q) == 0 or self.longest * float(np.sqrt((q * q).sum(axis=1).max())) < 80
+        at, place = cluster[order], (ids - self.units.starts[cluster])[order]
+        logs = np.empty(len(ids))
         for i in range(0, len(ids), CHUNK):
-            part = order[i : i + CHUNK]
-            q[i : i + CHUNK] = own = self.ahead[0][one[part]] + self.ahead[1][two[part]]
-            out[part] = _log_softmax(own @ self.s + self.a, cluster[part])
-        ends = np.searchsorted(cluster[order], np.arange(self.units.clusters + 1))
+            logs[i : i + CHUNK] = _log_softmax(q[i : i + CHUNK] @ self.s, at[i : i + CHUNK], small)
+        ends = np.searchsorted(at, np.arange(self.units.clusters + 1))
         for c in np.flatnonzero(np.diff(ends)):
-            vectors, bias = self.within[c]
             for i in range(ends[c], ends[c + 1], CHUNK):
-                part = order[i : min(i + CHUNK, ends[c + 1])]
-                out[part] += _log_softmax(q[i : i + len(part)] @ vectors + bias, ids[part] - self.units.starts[c])
+                j = min(i + CHUNK, ends[c + 1])
+                logs[i:j] += _log_softmax(q[i:j] @ self.within[c], place[i:j], small)
+        out[order] = logs
         return out
 
     def __call__(self, texts: list[str | None]) -> tuple:
@@ -385,11 +391,10 @@ class Scorer:
         return n, n - per, np.add.reduceat(logs, starts) - n * self.base, np.add.reduceat(p, starts), [tokens[i] for i in tail], per
 
 
-def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each row, the logarithm of the share of one column."""
-    top = z.max(axis=1, keepdims=True) if len(z) and z.max() > 60 else None
-    if top is not None:
-        z -= top
+def _log_softmax(z: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
+    """Of each row, the logarithm of the share of one column; ``small``: no exponential can overflow."""
+    if not small:
+        z -= z.max(axis=1, keepdims=True)
     own = z[np.arange(len(z)), at]
     np.exp(z, out=z)
     return own - np.log(z.sum(axis=1))
