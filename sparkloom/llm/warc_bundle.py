@@ -5,6 +5,10 @@ of its own), then a skippable frame with the seek table of the public seekable f
 frame, their number, and the magic 0x8F92EAB1. A record is found by (bundle, frame, offset in the frame, length): that
 index is a Parquet table beside the bundles.
 
+A response holds the page as an HTTP response does, a head and then the payload, as readers of such archives expect; digest
+and length are the payload's. A record's id is its page_id and the beginning of its payload's digest, so that pages that share an id
+but not a payload are told apart.
+
 Of records with equal payloads of at least ``MIN_DEDUP`` bytes, the one with the smallest page_id is a ``response``; the
 others are ``revisit`` records without payload that name it (WARC-Refers-To) and keep the payload's digest and length.
 
@@ -34,27 +38,33 @@ from sparkloom.llm.files import make_dir, open_in, open_out
 
 FRAME_BYTES = 1 << 19
 BUNDLE_BYTES = 1 << 30
-TASK_BYTES = 1 << 25
+TASK_BYTES, TASKS = 1 << 25, 20_000
 MIN_DEDUP = 100
 LEVEL = 3
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 RECORD_ID = "urn:page:"
+HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 INDEX = "page_id long, bundle string, frame int, start long, length long"
 
 
+def _named(page_id: int | None, digest: str) -> str:
+    return f"<{RECORD_ID}{'' if page_id is None else page_id}:{digest[:16]}>"
+
+
 def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One record; a revisit (``refers_to`` given) has no payload."""
     revisit = refers_to is not None
-    body = b"" if revisit else payload
+    body = b"" if revisit else HTTP_HEAD % len(payload) + payload
     url = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{RECORD_ID}{'' if page_id is None else page_id}>", f"WARC-Target-URI: {url}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: text/html"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_named(page_id, digest)}", f"WARC-Target-URI: {url}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response"]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{RECORD_ID}{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_named(refers_to, digest)}"]
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
+    """A record's fields and its payload."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode("utf-8").split("\r\n")
     if lines[0] != "WARC/1.1":
@@ -63,11 +73,11 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     n = int(fields["Content-Length"])
     if rest[n:] != b"\r\n\r\n":
         raise ValueError("a WARC record doesn't end where it should")
-    return fields, rest[:n]
+    return fields, rest[:n].partition(b"\r\n\r\n")[2]
 
 
 def _id(field: str) -> int | None:
-    got = field.removeprefix(f"<{RECORD_ID}").removesuffix(">")
+    got = field.removeprefix(f"<{RECORD_ID}").rpartition(":")[0]
     return int(got) if got else None
 
 
@@ -200,9 +210,9 @@ def read_bundles(index: DataFrame) -> DataFrame:
         if file is not None:
             file.close()
 
-    # a frame's records go to one task, and frames are of one size; tasks by what they will read, as index rows are small
+    # a frame's records go to one task, which reads on from frame to frame; tasks by what they will read, as index rows are small
     total = index.agg(F.sum("length")).first()[0] or 0
-    near = index.repartition(max(1, -(-total // TASK_BYTES)), "bundle", "frame").sortWithinPartitions("bundle", "frame", "start")
+    near = index.repartitionByRange(max(1, min(TASKS, -(-total // TASK_BYTES))), "bundle", "frame").sortWithinPartitions("bundle", "frame", "start")
     return near.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
