@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from urllib.parse import unquote, urlparse
 
 
@@ -37,3 +38,17 @@ def open_in(uri: str):
 
     where, path = fs.FileSystem.from_uri(uri)
     return where.open_input_file(path)
+
+
+def put(uri: str, data: bytes) -> None:
+    """A whole file at once, under its name only when it is complete; writing the same again does no harm."""
+    part = f"{uri}.{uuid.uuid4().hex}"
+    with open_out(part) as f:
+        f.write(data)
+    if (path := _local(uri)) is not None:
+        os.replace(_local(part), path)
+    else:
+        from pyarrow import fs
+
+        where, path = fs.FileSystem.from_uri(part)
+        where.move(path, path[: path.rindex(".")])

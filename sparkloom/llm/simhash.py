@@ -34,7 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import bound_batches, lower_words, slices, staged
+from sparkloom.llm.common import bound_batches, fresh_path, lower_words, slices, staged
+from sparkloom.llm.files import make_dir, open_in, put
 
 BITS, DISTANCE, SEGMENTS, SHINGLE, SEED = 64, 2, 8, 3, 42
 PAIRS_BELOW = 16
@@ -175,6 +176,52 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = staged(docs.mapInArrow(run, schema).withColumn(uid, F.monotonically_increasing_id()), "simhash-rows")  # the row numbers are fixed by this
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(uid).alias("u"))
     nodes = staged(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first")), "simhash-nodes")
-    stay = staged(classes(nodes, F.min("first")).select(F.col("first.u").alias(uid)).distinct(), "simhash-stay")
-    # sorted and merged at every size: a switch between plans as inputs grow would hide what a larger run needs
-    return rows.join(stay.hint("merge"), uid, "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    first = staged(classes(nodes, F.min("first")).select("fp", F.col("first.u").alias("u")), "simhash-stay")
+    ids = rows.select(F.col(fp).alias("fp"), F.col(uid).alias("uid"))
+    return without(rows, uid, ids.join(first, "fp").filter("uid <> u").select("uid")).select(*[F.col(f"`{c}`") for c in names])
+
+
+def without(rows: DataFrame, uid: str, gone: DataFrame) -> DataFrame:
+    """Staged ``rows`` less those whose number ``uid`` is among ``gone`` (uid). Only numbers are shuffled: a number's upper bits
+    name the part of the table that the row was written in, so each part's numbers are a file that its reader looks into.
+    """
+    folder = fresh_path(rows.sparkSession, "simhash-gone")
+    make_dir(folder)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = -1, []
+        for batch in batches:
+            parts, numbers = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for p in np.unique(parts).tolist():
+                if p != part and held:
+                    put(f"{folder}/{part}", np.concatenate(held).astype("<i8").tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64())], ["part"])
+                    held = []
+                part = p
+                held.append(numbers[parts == p])
+        if held:
+            put(f"{folder}/{part}", np.concatenate(held).astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64())], ["part"])
+
+    numbered = gone.select(F.shiftright("uid", 33).alias("part"), "uid").repartition("part").sortWithinPartitions("part", "uid")
+    told = frozenset(r["part"] for r in numbered.mapInArrow(write, "part long").collect())  # a number for each part of the table
+    sent = rows.sparkSession.sparkContext.broadcast(told)
+    at = rows.columns.index(uid)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, numbers = -1, None
+        for batch in batches:
+            own = batch.column(at).to_numpy()
+            stay = np.ones(len(own), bool)
+            for p in np.unique(own >> 33).tolist():
+                if p not in sent.value:
+                    continue
+                if p != part:
+                    with open_in(f"{folder}/{p}") as f:
+                        part, numbers = p, np.frombuffer(f.read(), "<i8")
+                inside = own >> 33 == p
+                place = np.minimum(np.searchsorted(numbers, own[inside]), len(numbers) - 1)
+                stay[inside] = numbers[place] != own[inside]
+            yield batch.filter(pa.array(stay))
+
+    return rows.mapInArrow(keep, rows.schema)

@@ -59,6 +59,26 @@ def test_simhash_empty(empty):
     assert simhash.near_duplicates(empty).collect() == [] and simhash.keep_one(empty).collect() == []
 
 
+def test_one_of_each_class_stays(spark, docs, rows):
+    """Against the classes of all documents; copies, repeated rows and null ids among them."""
+    classes = Counter(r["component_id"] for r in simhash.near_duplicates(docs).collect())
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(classes.keys())
+
+
+@pytest.mark.parametrize("share", [0.0, 0.4, 1.0])
+def test_rows_without_some(spark, tmp_path, share):
+    from sparkloom.llm.common import staged
+
+    rows = staged(spark.range(3000).repartition(5).withColumn("uid", F.monotonically_increasing_id()), "numbered")
+    gone = rows.filter(F.rand(3) < share).select("uid")
+    gone.write.parquet(str(tmp_path / "gone"))
+    gone = spark.read.schema("uid long").parquet(str(tmp_path / "gone"))
+    left = simhash.without(rows, "uid", gone)
+    assert sorted(r["uid"] for r in left.collect()) == sorted(r["uid"] for r in rows.join(gone, "uid", "left_anti").collect())
+
+
 @pytest.mark.parametrize("pairs_below", [16, 1])
 def test_links_and_components(spark, pairs_below):
     """Clusters of many fingerprints a bit or two apart, chains, and noise; in small buckets and in dense ones."""
@@ -407,3 +427,9 @@ def test_pipeline(spark, docs, rows, tmp_path):
     assert corpus_pipeline.run(spark, str(folder)).count() == kept[-1]
     ids = {r["doc_id"] for r in spark.read.parquet(str(tmp_path / "decontamination")).collect()}
     assert 9 not in ids
+
+
+def test_pipeline_of_nothing(spark, empty, tmp_path):
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
