@@ -6,6 +6,10 @@ Each stage works on all that the one before kept, written as Parquet and read ag
 of ``documents``.
 
 The language model is fitted on the stage's own documents, whatever their fold: a pipeline has no held-out part.
+
+Defined cases: texts that are null or have no letter go in the first stage; rows with a null doc_id go through all stages
+and come first in the token file; a null source is a source; of repeated rows one stays; an empty table gives an empty
+result; columns beside doc_id, text, lang and source are carried along, whatever their names, up to the token file.
 """
 
 from __future__ import annotations
