@@ -149,7 +149,7 @@ def sample_texts(docs: DataFrame, may_learn: Column, train_docs: int = TRAIN_DOC
         return None
     each = max(LEAST_EACH, train_docs // len(counts))
     # twice as many as wanted pass a threshold on the hash, so that no sort of all rows is needed; where few do, all are taken
-    shares = spark.createDataFrame([(r["lang"], min(1.0, 2 * (each + LEAST_EACH) / max(1, r["n"]))) for r in counts], "lang string, share double")
+    shares = F.broadcast(spark.createDataFrame([(r["lang"], min(1.0, 2 * (each + LEAST_EACH) / max(1, r["n"]))) for r in counts], "lang string, share double"))  # a row for each language
     drawn = F.shiftrightunsigned("hash", 11) / float(1 << 53)
     few = labelled.select("lang", "hash").join(shares, "lang").filter(drawn < F.col("share")).groupBy("lang", "hash").agg(F.count(F.lit(1)).alias("n"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("hash", 11), "hash"))  # of about twice ``each``
