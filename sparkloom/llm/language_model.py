@@ -47,11 +47,12 @@ from sparkloom.llm.common import bound_batches, crc_mod, lower_words, slices, st
 VOCABULARY, LEAST, DIM = 1 << 15, 5, 16
 MEMBERS = 128
 HEAD = 1 << 20
-BATCH, NOISE, UNIT_NOISE, RATE = 2048, 32, 2, 0.1
+BATCH, NOISE, UNIT_NOISE, RATE = 3072, 32, 2, 0.1
 SHARD_TOKENS, SHARDS = 3_000_000, 4096
 PIECE = 256
 CHUNK = 1024
 COUNTER = 300_000
+SLICE = 1 << 22
 END = b" "  # no word holds a space
 LOG10 = float(np.log(10))
 
@@ -194,27 +195,31 @@ class Trainer:
         gn = false((rn @ q[:, :, None])[:, :, 0] + b[near] - self.offset[near])
         dq = gk[:, None] * sk + gf @ sf + gw[:, None] * rw + (gn[:, None, :] @ rn)[:, 0]
         dc = np.stack([r1.T @ dq, r2.T @ dq]) / n
-        rows = np.concatenate([w, near.ravel(), one, two])
+        rows = np.concatenate([w, near.ravel(), one, two]).astype(np.uint16)  # which sorts faster; units are fewer
         d = np.concatenate([gw[:, None] * q, (gn[:, :, None] * q[:, None, :]).reshape(-1, DIM), dq @ c[0].T, dq @ c[1].T])
         g = np.concatenate([gw, gn.ravel(), np.zeros(2 * n, np.float32)])
         self._rows(r, b, seen_r, seen_b, rows, d, g, n, self.uses)
-        self._rows(s, a, seen_s, seen_a, np.concatenate([k, far]), np.concatenate([gk[:, None] * q, gf.T @ q]), np.concatenate([gk, gf.sum(axis=0)]), n)
+        self._rows(s, a, seen_s, seen_a, np.concatenate([k, far]).astype(np.uint16), np.concatenate([gk[:, None] * q, gf.T @ q]), np.concatenate([gk, gf.sum(axis=0)]), n)
         seen_c += (dc * dc).mean(axis=(1, 2))
         c -= RATE * 0.1 * dc / np.sqrt(seen_c)[:, None, None]
         self.tokens += n
 
     @staticmethod
     def _rows(x, bias, seen, seen_bias, rows, d, g, n, count=None) -> None:
-        order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort; units are fewer
-        first = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) != 0]))
-        ids, uses = rows[order][first], np.diff(np.concatenate([first, [len(rows)]]))
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        ids, uses = rows[first], np.diff(np.concatenate([first, [len(rows)]]))
         # by the root of its uses, so that frequent rows don't run away within a batch
-        dx = np.add.reduceat(d[order], first, axis=0) / np.sqrt(uses)[:, None].astype(np.float32)
+        dx = np.add.reduceat(d[order], first, axis=0)
         db = np.add.reduceat(g[order], first) / np.float32(np.sqrt(n))
-        seen[ids] += (dx * dx).mean(axis=1)
-        x[ids] -= RATE * dx / np.sqrt(seen[ids])[:, None]
-        seen_bias[ids] += db * db
-        bias[ids] -= RATE * 0.2 * db / np.sqrt(seen_bias[ids])
+        own = seen[ids] + np.einsum("nd,nd->n", dx, dx) / (uses * DIM).astype(np.float32)
+        seen[ids] = own
+        dx *= (RATE / np.sqrt(uses * own)).astype(np.float32)[:, None]
+        x[ids] -= dx
+        own = seen_bias[ids] + db * db
+        seen_bias[ids] = own
+        bias[ids] -= np.float32(RATE * 0.2) * db / np.sqrt(own)
         if count is not None:
             count[ids] += uses
 
@@ -336,7 +341,8 @@ class Scorer:
         n, k = len(u), u.clusters
         r = m.table[:n, :DIM].astype(np.float32)
         # biases are one more dimension, in which every prediction is 1
-        self.s = np.ascontiguousarray(m.table[n : n + k].T, np.float32)
+        self.top = m.table[n : n + k].astype(np.float32)
+        self.s = np.ascontiguousarray(self.top.T)
         self.ahead = r @ m.table[n + k : n + k + DIM, :DIM].astype(np.float32), r @ m.table[n + k + DIM :, :DIM].astype(np.float32)
         self.within = [np.ascontiguousarray(m.table[i:j].T, np.float32) for i, j in zip(u.starts, u.starts[1:], strict=False)]
         self.longest = float(np.sqrt((m.table[: n + k] ** 2).sum(axis=1)).max())
@@ -363,14 +369,19 @@ class Scorer:
         # no score is beyond the product of the longest vectors, so that exponentials mostly need no scaling
         small = len(q) == 0 or self.longest * float(np.sqrt((q * q).sum(axis=1).max())) < 80
         at, place = cluster[order], (ids - self.units.starts[cluster])[order]
-        logs = np.empty(len(ids))
-        for i in range(0, len(ids), CHUNK):
-            logs[i : i + CHUNK] = _log_softmax(q[i : i + CHUNK] @ self.s, at[i : i + CHUNK], small)
+        # clusters' normalisers depend on the context alone, and contexts repeat
+        _, some, same = np.unique((one * len(self.units) + two)[order], return_index=True, return_inverse=True)
+        whole = np.empty(len(some))
+        for i in range(0, len(some), CHUNK):
+            whole[i : i + CHUNK] = _log_total(q[some[i : i + CHUNK]] @ self.s, small)
+        logs = np.einsum("nd,nd->n", q, self.top[at]) - whole[same]
         ends = np.searchsorted(at, np.arange(self.units.clusters + 1))
         for c in np.flatnonzero(np.diff(ends)):
             for i in range(ends[c], ends[c + 1], CHUNK):
                 j = min(i + CHUNK, ends[c + 1])
-                logs[i:j] += _log_softmax(q[i:j] @ self.within[c], place[i:j], small)
+                z = q[i:j] @ self.within[c]
+                logs[i:j] += z[np.arange(j - i), place[i:j]]
+                logs[i:j] -= _log_total(z, small)
         out[order] = logs
         return out
 
@@ -391,13 +402,13 @@ class Scorer:
         return n, n - per, np.add.reduceat(logs, starts) - n * self.base, np.add.reduceat(p, starts), [tokens[i] for i in tail], per
 
 
-def _log_softmax(z: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
-    """Of each row, the logarithm of the share of one column; ``small``: no exponential can overflow."""
+def _log_total(z: np.ndarray, small: bool) -> np.ndarray:
+    """Of each row, the logarithm of the sum of its exponentials; ``small``: none can overflow."""
+    top = 0.0 if small else z.max(axis=1)
     if not small:
-        z -= z.max(axis=1, keepdims=True)
-    own = z[np.arange(len(z)), at]
+        z -= top[:, None]
     np.exp(z, out=z)
-    return own - np.log(z.sum(axis=1))
+    return top + np.log(z.sum(axis=1))
 
 
 _scorers: dict[str, Scorer] = {}
@@ -416,7 +427,7 @@ def score_texts(docs: DataFrame, model: Model, tail: DataFrame, held_out: Column
         score = _scorers[key]
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, z in slices(texts):
+            for a, z in slices(texts, SLICE):
                 n, known, base, own, words, per = score(texts[a:z])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), pa.array(words, pa.binary()).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:z], batch.column(2)[a:z], pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(own), lists], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"])
