@@ -233,3 +233,8 @@ def aggregates_of(e: Expr) -> list[Apply]:
         inner = [x for a in e.expr.children() for x in aggregates_of(a)]
         return inner + [x for c in e.children()[1:] for x in aggregates_of(c)]
     return [x for c in e.children() for x in aggregates_of(c)]
+
+
+def queries_of(e: Expr) -> list[object]:
+    """The queries inside an expression."""
+    return [e.query] if isinstance(e, Sub) else [q for c in e.children() for q in queries_of(c)]

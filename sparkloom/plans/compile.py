@@ -201,6 +201,8 @@ class Compiler:
     def _applied(self, e: Expr, scope: Scope, named: dict[str, DataFrame], hidden: dict[tuple, str] | None) -> Column:
         if not isinstance(e, Apply):
             return self.column(e, scope, named, hidden)
+        if e.op is op.NEGATION and (outside := self._outside(e, scope, named, hidden)) is not None:
+            return outside
         if self.registry.builder(e.op) is None and e.op in (op.ONE_OF_QUERY, op.EXISTENCE):
             sub = self.query(e.args[-1].query, named, scope)
             return sub.exists() if e.op is op.EXISTENCE else self.column(e.args[0], scope, named, hidden).isin(sub.select(quoted(e.args[-1].query.selections()[0].name)))
@@ -211,6 +213,39 @@ class Compiler:
             args = [c.cast("timestamp_ntz") if isinstance(a, Val) and a.kind is Kind.MOMENT else c for a, c in zip(e.args, args, strict=True)]
         return self.registry.build(e.op, args, kinds, e.detail)
 
+    def _outside(self, e: Apply, scope: Scope, named: dict[str, DataFrame], hidden: dict[tuple, str] | None) -> Column | None:
+        """NOT IN a query, without the null-aware join that sends all the query's rows to the driver: an anti join on equality,
+        and null where no equal row was found but there is a null: among the query's rows, or as the term and the query has rows.
+
+        None leaves it to Spark: what isn't that, a query or a term that refers to queries around, and a query whose rows may
+        differ each time it runs, as it runs for each of the parts here.
+        """
+        inner = e.args[0] if len(e.args) == 1 else None
+        while isinstance(inner, Apply) and inner.op is op.BRACKET and len(inner.args) == 1:
+            inner = inner.args[0]
+        if not isinstance(inner, Apply) or inner.op is not op.ONE_OF_QUERY or {op.NEGATION, op.BRACKET, op.ONE_OF_QUERY} & {*self.registry.taught}:
+            return None
+        member, query = inner.args[0], inner.args[-1].query
+        if query.cuts() or not self._near(member, scope):
+            return None
+        try:
+            sub = self.query(query, named, Scope({}))
+        except Refusal:  # of a source that is around it; any other is raised again by the usual way
+            return None
+        if not sub._jdf.queryExecution().analyzed().deterministic():
+            return None
+        among = sub.select(F.col(quoted(query.selections()[0].name)).alias("_among")).alias("_of")  # no name of it hides one of the term's
+        c = self.column(member, scope, named, hidden)
+        unknown = among.filter(F.col("_among").isNull()).exists() | (c.isNull() & among.exists())
+        equal = among.filter(F.col("_among").isNotNull()).filter(F.col("_among") == c.outer())  # nulls would all be dealt to one task
+        return ~equal.exists() & F.when(unknown, F.lit(None)).otherwise(F.lit(True))
+
+    def _near(self, e: Expr, scope: Scope) -> bool:
+        """Whether an expression is of the query's own columns alone."""
+        if isinstance(e, Col):
+            return e.source is None or scope.depth(e.source) == 0
+        return not isinstance(e, Sub) and all(self._near(c, scope) for c in e.children())
+
     def _named(self, c: Col, scope: Scope, grouped: bool) -> Column:
         if grouped:
             raise Refusal(f"{c.name} is neither grouped by nor aggregated")

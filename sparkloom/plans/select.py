@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 
 from sparkloom.kinds import Kind
 from sparkloom.operators.criteria import and_, equal, every_row
-from sparkloom.operators.expr import Col, Expr, Ordering, Refused, Selection
+from sparkloom.operators.expr import Col, Expr, Ordering, Refused, Selection, queries_of
 
 
 @dataclass(frozen=True, eq=False)
@@ -129,6 +129,11 @@ class SelectQuery:
     def expressions(self) -> list[Expr]:
         return [*(s.expr for s in self.selections()), *(j.on for j in self.joins), self.filter(), *self.group_by, self.having, *(o.expr for o in self.order_by)]
 
+    def cuts(self) -> bool:
+        """Whether a limit or an offset, its own or of a query inside, may leave other rows each time it runs."""
+        inside = [*(c.query for c in self.with_), *(s.query for s in self.sources() if s.query is not None), *(q for e in self.expressions() for q in queries_of(e))]
+        return bool(self.limit or self.offset) or any(q.cuts() for q in inside)
+
     def reasons(self) -> list[str]:
         """Everything that forbids this query, found before Spark is asked."""
         out = []

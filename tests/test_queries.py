@@ -7,8 +7,12 @@ import duckdb
 import pytest
 
 from sparkloom import catalog
+from sparkloom import functions as fn
+from sparkloom.engine import Engine
 from sparkloom.operators import criteria as cr
-from sparkloom.plans.select import SelectQuery, columns_equal
+from sparkloom.operators.expr import param
+from sparkloom.plans.select import SelectQuery, columns_equal, from_, inner_join
+from sparkloom.sources.writes import deleted, updated
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -82,5 +86,63 @@ def test_plans(spark):
     assert columns_equal(o, "o_custkey", c, "c_custkey").reasons() == []
 
 
+def test_rows_outside_a_query_are_not_broadcast(spark):
+    """NOT IN is shuffled where its query is too large for a broadcast; one left to Spark is broadcast whatever its size."""
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        physical = catalog.not_in_query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in physical and "LeftAnti" in physical and "Broadcast" not in physical
+
+
+A = [(1, 1), (2, 2), (3, None), (None, 4)]
+B = [(2, 1), (5, 3), (None, None)]
+
+
+@pytest.mark.parametrize("rows", ["TRUE", "k IS NOT NULL", "FALSE"], ids=["with a null", "without nulls", "empty"])
+def test_rows_outside_a_query(spark, rows):
+    """NOT IN wherever it stands, nulls among the query's rows, nulls as the term, no rows."""
+    e = Engine(spark, {"a": spark.createDataFrame(A, "k int, v int"), "b": spark.createDataFrame(B, "k bigint, v int")})
+    a, b, same = from_("a"), from_("b"), from_("a")
+    some = lambda t, c: {"TRUE": cr.every_row(), "FALSE": cr.no_row()}.get(rows, cr.is_not_null(t.of(c)))
+    sub = SelectQuery(select=[b.of("k").as_("k")], source=b, where=some(b, "k"))
+    out = lambda term, query=sub: cr.not_(cr.in_query(term, query))
+    own = SelectQuery(select=[same.of("v").as_("k")], source=same, where=some(same, "v"))
+    near = SelectQuery(select=[b.of("k").as_("k")], source=b, where=cr.and_(some(b, "k"), columns_equal(a, "v", b, "v")))
+    first = SelectQuery(select=[b.of("k").as_("k")], source=b, where=some(b, "k"), order_by=[b.of("k").desc()], limit=1)
+    s = f"(SELECT k FROM b WHERE {rows})"
+    both = cr.and_(columns_equal(a, "v", b, "v"), out(a.of("k"), own))
+    v, select = [a.of("v").as_("v")], lambda where: SelectQuery(select=[a.of("v").as_("v")], source=a, where=where)
+    sub_own = f"(SELECT v FROM a WHERE {rows.replace('k', 'v')})"
+    for query, sql in (
+        (select(out(a.of("k"))), f"SELECT v FROM a WHERE k NOT IN {s}"),
+        (select(cr.not_(cr.bracket(out(a.of("k"))))), f"SELECT v FROM a WHERE NOT (k NOT IN {s})"),
+        (select(cr.or_(out(a.of("k")), cr.equal(a.of("v"), 2))), f"SELECT v FROM a WHERE k NOT IN {s} OR v = 2"),
+        (select(cr.is_null(out(a.of("k")))), f"SELECT v FROM a WHERE (k NOT IN {s}) IS NULL"),
+        (SelectQuery(select=[*v, out(a.of("k")).as_("x")], source=a), f"SELECT v, k NOT IN {s} AS x FROM a"),
+        (select(out(fn.plus(a.of("k"), a.of("v")))), f"SELECT v FROM a WHERE k + v NOT IN {s}"),
+        (select(out(param(5))), f"SELECT v FROM a WHERE 5 NOT IN {s}"),
+        (SelectQuery(select=v, source=a, group_by=[a.of("v")], having=out(fn.max_(a.of("k")))), f"SELECT v FROM a GROUP BY v HAVING max(k) NOT IN {s}"),
+        (select(out(a.of("k"), own)), f"SELECT v FROM a WHERE k NOT IN {sub_own}"),
+        (SelectQuery(select=v, source=a, joins=[inner_join(b, both)]), f"SELECT a.v FROM a JOIN b ON a.v = b.v AND a.k NOT IN {sub_own}"),
+        (select(out(a.of("k"), near)), f"SELECT v FROM a WHERE k NOT IN (SELECT k FROM b WHERE ({rows}) AND b.v = a.v)"),
+        (select(out(a.of("k"), first)), f"SELECT v FROM a WHERE k NOT IN (SELECT k FROM b WHERE {rows} ORDER BY k DESC NULLS LAST LIMIT 1)"),
+    ):
+        assert sorted(map(repr, map(tuple, e.compile(query).collect()))) == sorted(map(repr, of_tables(sql))), sql
+    left = f"SELECT k, v FROM a WHERE NOT coalesce(k NOT IN {s}, FALSE)"
+    assert sorted(map(repr, map(tuple, deleted(e, a, out(a.of("k"))).collect()))) == sorted(map(repr, of_tables(left)))
+    changed = f"SELECT k, CASE WHEN k NOT IN {s} THEN 9 ELSE v END FROM a"
+    assert sorted(map(repr, map(tuple, updated(e, a, {"v": 9}, out(a.of("k"))).collect()))) == sorted(map(repr, of_tables(changed)))
+
+
+def of_tables(sql):
+    c = duckdb.connect()
+    for name, rows in (("a", A), ("b", B)):
+        c.execute(f"CREATE TABLE {name} (k BIGINT, v INT)")
+        c.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    return c.execute(sql).fetchall()
+
+
 def test_entry(spark):
     assert catalog.entry(spark, SF).count() == 150
